@@ -83,12 +83,6 @@ def compress_hextets(groups: Column) -> Column:
     return let(F.array_join(groups, ":"), shorten)
 
 
-def hextets_of_hex(hex_text: Column, start: int) -> Column:
-    """Eight groups out of the hex text of a header, 16 bytes from byte ``start``."""
-    groups = [F.substring(hex_text, 2 * start + 4 * i + 1, 4) for i in range(8)]
-    return F.transform(F.array(*groups), lambda g: F.lower(F.regexp_replace(g, "^0+(?=.)", "")))
-
-
 def _canonical_v4(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(^|\.)0+(?=[0-9])", "$1"), "/32$", "")
 
@@ -132,23 +126,32 @@ def _hextet_number(group: Column) -> Column:
     return F.conv(group, 16, 10).cast("int")
 
 
+def inet_network_host(address: Column) -> Column:
+    """The network of an address without its prefix length: host bits cleared."""
+
+    def shifted(number: Column, drop: Column) -> Column:
+        return F.call_function("shiftleft", F.call_function("shiftright", number, drop), drop)
+
+    def v4(parts: Column) -> Column:
+        return _v4_from_number(shifted(_v4_number(parts["host"]), F.lit(32) - parts["prefix"]))
+
+    def v6(parts: Column) -> Column:
+        def masked(group: Column, i: Column) -> Column:
+            low = F.least(F.lit(16), F.greatest(F.lit(0), (i + 1) * 16 - parts["prefix"]))
+            return F.lower(F.hex(shifted(_hextet_number(group), low).cast("bigint")))
+
+        return compress_hextets(F.transform(_hextets(parts["host"]), masked))
+
+    parts = F.struct(inet_host(address).alias("host"), inet_prefix(address).alias("prefix"))
+    return F.when(address.isNotNull(), let(parts, lambda p: F.when(F.contains(p["host"], F.lit(":")), v6(p)).otherwise(v4(p))))
+
+
 def inet_network(address: Column) -> Column:
-    """The network of an address: host bits cleared, prefix kept."""
-    host, prefix = inet_host(address), inet_prefix(address)
-    drop = F.lit(32) - prefix
-    v4 = _v4_from_number(
-        F.call_function("shiftleft", F.call_function("shiftright", _v4_number(host), drop), drop)
-    )
-
-    def masked(group: Column, i: Column) -> Column:
-        keep = F.greatest(F.lit(0), F.least(F.lit(16), prefix - i * 16))
-        low = F.lit(16) - keep
-        number = F.call_function("shiftleft", F.call_function("shiftright", _hextet_number(group), low), low)
-        return F.lower(F.hex(number.cast("bigint")))
-
-    v6 = compress_hextets(F.transform(_hextets(host), masked))
-    network = F.when(inet_family(address) == 6, v6).when(inet_family(address) == 4, v4)
-    return inet(F.concat(network, F.lit("/"), prefix.cast("string")))
+    """The network of an address, with the prefix length unless it is the full one."""
+    prefix = inet_prefix(address)
+    full = F.when(inet_family(address) == 6, 128).otherwise(32)
+    suffix = F.when(prefix == full, F.lit("")).otherwise(F.concat(F.lit("/"), prefix.cast("string")))
+    return F.concat(inet_network_host(address), suffix)
 
 
 def inet_key(address: Column) -> Column:

@@ -1,7 +1,9 @@
 """Reading big-endian fields out of BINARY columns.
 
 A header is turned into hex text once (``hex_of``) and fields are cut from that text, so decoding
-stays in JVM expressions. Offsets are 0-based bytes, as the RFCs print them.
+stays in JVM expressions. Offsets are 0-based bytes, as the RFCs print them. Functions on hex text
+take the *name* of its column and are written as SQL text: a frame has a hundred fields, and one
+parsed expression each keeps building the plan fast.
 """
 
 from __future__ import annotations
@@ -25,31 +27,36 @@ def hex_of(data: Column, length: int) -> Column:
     return F.hex(cut(data, 0, length))
 
 
-def uint(hex_text: Column, start: int, length: int) -> Column:
+def _uint_sql(hex_name: str, start: int, length: int) -> str:
+    kind = "bigint" if length >= 4 else "int"
+    return f"cast(conv(substring({hex_name}, {2 * start + 1}, {2 * length}), 16, 10) as {kind})"
+
+
+def uint(hex_name: str, start: int, length: int) -> Column:
     """Unsigned integer of ``length`` bytes; BIGINT from 4 bytes on, else INT."""
-    digits = F.substring(hex_text, 2 * start + 1, 2 * length)
-    return F.conv(digits, 16, 10).cast("bigint" if length >= 4 else "int")
+    return F.expr(_uint_sql(hex_name, start, length))
+
 
+def uint_bits(hex_name: str, start: int, length: int, low: int, width: int) -> Column:
+    """``width`` bits from bit ``low`` (0 is the last bit) of an unsigned integer."""
+    return F.expr(f"shiftright({_uint_sql(hex_name, start, length)}, {low}) & {(1 << width) - 1}")
 
-def bits(value: Column, low: int, width: int) -> Column:
-    return F.shiftright(value, low).bitwiseAND((1 << width) - 1)
 
+def mac(hex_name: str, start: int) -> Column:
+    octets = ", ".join(f"substring({hex_name}, {2 * (start + i) + 1}, 2)" for i in range(6))
+    return F.expr(f"lower(concat_ws(':', {octets}))")
 
-def mac(hex_text: Column, start: int) -> Column:
-    octets = [F.substring(hex_text, 2 * (start + i) + 1, 2) for i in range(6)]
-    return F.lower(F.concat_ws(":", *octets))
 
+def ipv4_text(hex_name: str, start: int) -> Column:
+    return F.expr(f"concat_ws('.', {', '.join(_uint_sql(hex_name, start + i, 1) for i in range(4))})")
 
-def ipv4_text(hex_text: Column, start: int) -> Column:
-    return F.concat_ws(".", *[uint(hex_text, start + i, 1).cast("string") for i in range(4)])
+
+def hextets(hex_name: str, start: int) -> Column:
+    """The eight groups of an IPv6 address, lower case and without leading zeros."""
+    groups = ", ".join(f"substring({hex_name}, {2 * start + 4 * i + 1}, 4)" for i in range(8))
+    return F.expr(f"transform(array({groups}), g -> lower(regexp_replace(g, '^0+(?=.)', '')))")
 
 
 def latin1(data: Column) -> Column:
     """One character per byte, so that text functions count bytes."""
     return F.decode(data, "ISO-8859-1")
-
-
-def byte_values(text: Column) -> Column:
-    """ARRAY<SMALLINT> of the byte values of a ``latin1`` text."""
-    values = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("smallint"))
-    return F.when(F.length(text) > 0, values).otherwise(F.array().cast("array<smallint>"))

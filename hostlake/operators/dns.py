@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlake.functions.wire import bits, byte_values, hex_of, latin1, uint
+from hostlake.functions.wire import hex_of, latin1, uint, uint_bits
 from hostlake.operators.stages import bind
 
 # Record type mnemonics by number (IANA registry).
@@ -43,88 +43,85 @@ _RECORDS = (
 )
 
 
-def _mnemonic(number: Column, names: dict[int, str], other: str) -> Column:
+def _mnemonic(number: str, names: dict[int, str], other: str) -> str:
     # Unknown numbers are written as RFC 3597 does: TYPE65280, CLASS9.
-    table = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, number), F.concat(F.lit(other), number.cast("string")))
+    table = ", ".join(f"{code}, '{name}'" for code, name in names.items())
+    return f"coalesce(try_element_at(map({table}), cast({number} as int)), concat('{other}', {number}))"
 
 
-def _number(text: Column, start: Column, length: int) -> Column:
-    """Big-endian integer of ``length`` bytes of a latin-1 text at 0-based ``start``."""
-    value = F.lit(0).cast("bigint")
-    for i in range(length):
-        value = value * 256 + F.ascii(F.substr(text, start + (i + 1), F.lit(1)))
-    return value
+def _number(start: str, length: int) -> str:
+    """Big-endian integer of ``length`` bytes of ``_text`` at 0-based ``start``."""
+    parts = [
+        f"cast(ascii(substring(_text, {start} + {i + 1}, 1)) as bigint) * {256 ** (length - 1 - i)}" for i in range(length)
+    ]
+    return f"({' + '.join(parts)})"
 
 
-def dns_header(hex_text: Column) -> Column:
-    flags = uint(hex_text, 2, 2)
+def _bytes(start: str, length: str) -> str:
+    """ARRAY<SMALLINT> of ``length`` bytes of ``_text`` at 0-based ``start``."""
+    values = f"transform(split(substring(_text, {start} + 1, {length}), ''), c -> cast(ascii(c) as smallint))"
+    return f"if({length} > 0, {values}, cast(array() as array<smallint>))"
+
+
+def dns_header(hex_name: str) -> Column:
     fields = {
-        "id": uint(hex_text, 0, 2),
-        "is_response": bits(flags, 15, 1),
-        "opcode": bits(flags, 11, 4),
-        "is_authoriative": bits(flags, 10, 1),
-        "is_truncated": bits(flags, 9, 1),
-        "is_recursion_desirable": bits(flags, 8, 1),
-        "is_recursion_available": bits(flags, 7, 1),
-        "zero_reserved": bits(flags, 6, 1),
-        "is_answer_authenticated": bits(flags, 5, 1),
-        "is_non_authenticated_data": bits(flags, 4, 1),
-        "rcode": bits(flags, 0, 4),
-        "query_count": uint(hex_text, 4, 2),
-        "response_count": uint(hex_text, 6, 2),
-        "authority_rr_count": uint(hex_text, 8, 2),
-        "additional_rr_count": uint(hex_text, 10, 2),
+        "id": uint(hex_name, 0, 2),
+        "is_response": uint_bits(hex_name, 2, 2, 15, 1),
+        "opcode": uint_bits(hex_name, 2, 2, 11, 4),
+        "is_authoriative": uint_bits(hex_name, 2, 2, 10, 1),
+        "is_truncated": uint_bits(hex_name, 2, 2, 9, 1),
+        "is_recursion_desirable": uint_bits(hex_name, 2, 2, 8, 1),
+        "is_recursion_available": uint_bits(hex_name, 2, 2, 7, 1),
+        "zero_reserved": uint_bits(hex_name, 2, 2, 6, 1),
+        "is_answer_authenticated": uint_bits(hex_name, 2, 2, 5, 1),
+        "is_non_authenticated_data": uint_bits(hex_name, 2, 2, 4, 1),
+        "rcode": uint_bits(hex_name, 2, 2, 0, 4),
+        "query_count": uint(hex_name, 4, 2),
+        "response_count": uint(hex_name, 6, 2),
+        "authority_rr_count": uint(hex_name, 8, 2),
+        "additional_rr_count": uint(hex_name, 10, 2),
     }
     return F.struct(*[value.alias(name) for name, value in fields.items()])
 
 
-def _fold(count: Column, start: Column, items_type: str, step) -> Column:
-    rounds = F.when(count > 0, F.sequence(F.lit(1), count.cast("int"))).otherwise(F.array().cast("array<int>"))
-    initial = F.struct(start.cast("int").alias("pos"), F.array().cast(items_type).alias("items"))
-    return F.aggregate(rounds, initial, lambda state, _: step(state))
-
-
-def _questions(text: Column, count: Column) -> Column:
-    def step(state: Column) -> Column:
-        pos = state["pos"]
-        zero = F.position(F.lit("\x00"), text, pos + 1)  # 1-based place of the closing byte, 0 if none
-        fits = (zero > 0) & (zero + 4 <= F.length(text))
-        item = F.struct(
-            byte_values(F.substr(text, pos + 1, zero - pos)).alias("qname"),
-            _mnemonic(_number(text, zero, 2).cast("int"), TYPE_NAMES, "TYPE").alias("qtype"),
-            _mnemonic(_number(text, zero + 2, 2).cast("int"), CLASS_NAMES, "CLASS").alias("qclass"),
-        )
-        after = F.struct((zero + 4).cast("int").alias("pos"), F.concat(state["items"], F.array(item)).alias("items"))
-        return F.when(fits, after).otherwise(state)
-
-    return _fold(count, F.lit(HEADER), _QUESTIONS, step)
-
-
-def _records(text: Column, count: Column, start: Column, origin: int) -> Column:
-    def step(state: Column) -> Column:
-        pos = state["pos"]
-        room = F.length(text) - pos
-        rdlength = _number(text, pos + 10, 2).cast("int")
-        fits = F.when(room >= MIN_RECORD, room >= rdlength + MIN_RECORD).otherwise(F.lit(False))
-        item = F.struct(
-            F.lit(origin).alias("origin"),
-            _number(text, pos, 2).cast("int").alias("name_tag"),
-            _mnemonic(_number(text, pos + 2, 2).cast("int"), TYPE_NAMES, "TYPE").alias("rtype"),
-            _mnemonic(_number(text, pos + 4, 2).cast("int"), CLASS_NAMES, "CLASS").alias("rclass"),
-            _number(text, pos + 6, 4).alias("ttl"),
-            rdlength.alias("rdlength"),
-            byte_values(F.substr(text, pos + 13, rdlength)).alias("rdata"),
-        )
-        after = F.struct(
-            (pos + rdlength + MIN_RECORD).cast("int").alias("pos"),
-            F.concat(state["items"], F.array(item)).alias("items"),
-        )
-        return F.when(fits, after).otherwise(state)
+def _fold(count: str, start: str, item_type: str, fits: str, item: str, size: str) -> Column:
+    """Read ``count`` entries of ``_text`` from byte ``start``: STRUCT(pos after them, items).
 
+    ``fits``, ``item`` and ``size`` are SQL over the state ``s`` (``s.pos`` is where an entry starts);
+    an entry that does not fit ends the section.
+    """
+    rounds = f"if({count} > 0, sequence(1, cast({count} as int)), cast(array() as array<int>))"
+    initial = f"named_struct('pos', cast({start} as int), 'items', cast(array() as {item_type}))"
+    after = f"named_struct('pos', cast(s.pos + {size} as int), 'items', concat(s.items, array({item})))"
+    folded = f"aggregate({rounds}, {initial}, (s, i) -> if({fits}, {after}, s))"
+    return F.expr(f"if(_text is not null, {folded}, null)")
+
+
+def _questions() -> Column:
+    zero = "position('\\u0000', _text, s.pos + 1)"  # 1-based place of the closing byte, 0 if none
+    item = (
+        f"named_struct('qname', {_bytes('s.pos', f'({zero} - s.pos)')},"
+        f" 'qtype', {_mnemonic(_number(zero, 2), TYPE_NAMES, 'TYPE')},"
+        f" 'qclass', {_mnemonic(_number(f'({zero} + 2)', 2), CLASS_NAMES, 'CLASS')})"
+    )
+    fits = f"{zero} > 0 and {zero} + 4 <= length(_text)"
+    return _fold("_head.query_count", str(HEADER), _QUESTIONS, fits, item, f"({zero} + 4 - s.pos)")
+
+
+def _records(count: str, start: str, origin: int) -> Column:
+    rdlength = _number("s.pos + 10", 2)
+    item = (
+        f"named_struct('origin', {origin}, 'name_tag', cast({_number('s.pos', 2)} as int),"
+        f" 'rtype', {_mnemonic(_number('s.pos + 2', 2), TYPE_NAMES, 'TYPE')},"
+        f" 'rclass', {_mnemonic(_number('s.pos + 4', 2), CLASS_NAMES, 'CLASS')},"
+        f" 'ttl', {_number('s.pos + 6', 4)}, 'rdlength', cast({rdlength} as int),"
+        f" 'rdata', {_bytes('s.pos + 12', f'cast({rdlength} as int)')})"
+    )
+    room = "(length(_text) - s.pos)"
+    fits = f"if({room} >= {MIN_RECORD}, {room} >= {rdlength} + {MIN_RECORD}, false)"
     # No more records than fit can be read, whatever the header announces.
-    possible = F.least(count, F.floor((F.length(text) - start) / MIN_RECORD).cast("int"))
-    return _fold(possible, start, _RECORDS, step)
+    possible = f"least({count}, cast(floor((length(_text) - {start}) / {MIN_RECORD}) as int))"
+    return _fold(possible, start, _RECORDS, fits, item, f"({rdlength} + {MIN_RECORD})")
 
 
 def with_dns(df: DataFrame, payload: str) -> DataFrame:
@@ -135,8 +132,8 @@ def with_dns(df: DataFrame, payload: str) -> DataFrame:
     come in the order answers (origin 0), additional (1), authority (2).
     """
     kept = list(df.columns)
-    h, data = F.col("_h"), F.col(payload)
-    questions, answers = uint(h, 4, 2), uint(h, 6, 2)
+    data = F.col(payload)
+    questions, answers = uint("_h", 4, 2), uint("_h", 6, 2)
     room = F.octet_length(data)
     plausible = (
         (room >= HEADER)
@@ -144,22 +141,16 @@ def with_dns(df: DataFrame, payload: str) -> DataFrame:
         & (questions * MIN_QUESTION + answers * MIN_RECORD + HEADER <= room)
     )
     staged = bind(df, {"_h": hex_of(data, HEADER)})
-    staged = bind(staged, {"_text": F.when(plausible, latin1(data)), "_head": F.when(plausible, dns_header(h))})
-    text = F.col("_text")
-    staged = bind(staged, {"_q": F.when(text.isNotNull(), _questions(text, F.col("_head.query_count")))})
-    staged = bind(staged, {"_text": F.when(F.size("_q.items") == F.col("_head.query_count"), text)})
-
-    def section(name: str, count: str, previous: str, origin: int) -> DataFrame:
-        records = _records(text, F.col(f"_head.{count}"), F.col(f"{previous}.pos"), origin)
-        return bind(staged, {name: F.when(text.isNotNull(), records)})
-
-    staged = section("_an", "response_count", "_q", 0)
-    staged = bind(staged, {"_text": F.when(F.size("_an.items") == F.col("_head.response_count"), text)})
-    staged = section("_ns", "authority_rr_count", "_an", 2)
-    staged = section("_ar", "additional_rr_count", "_ns", 1)
+    staged = bind(staged, {"_text": F.when(plausible, latin1(data)), "_head": F.when(plausible, dns_header("_h"))})
+    staged = bind(staged, {"_q": _questions()})
+    staged = bind(staged, {"_text": F.expr("if(size(_q.items) = _head.query_count, _text, null)")})
+    staged = bind(staged, {"_an": _records("_head.response_count", "_q.pos", 0)})
+    staged = bind(staged, {"_text": F.expr("if(size(_an.items) = _head.response_count, _text, null)")})
+    staged = bind(staged, {"_ns": _records("_head.authority_rr_count", "_an.pos", 2)})
+    staged = bind(staged, {"_ar": _records("_head.additional_rr_count", "_ns.pos", 1)})
     dns = F.struct(
         F.col("_head").alias("header"),
         F.col("_q.items").alias("questions"),
         F.concat("_an.items", "_ar.items", "_ns.items").alias("records"),
     )
-    return bind(staged, {"dns": F.when(text.isNotNull(), dns)}).select(*kept, "dns")
+    return bind(staged, {"dns": F.when(F.col("_text").isNotNull(), dns)}).select(*kept, "dns")

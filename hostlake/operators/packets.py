@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hostlake.functions.ids import row_id
-from hostlake.functions.inet import compress_hextets, hextets_of_hex
-from hostlake.functions.wire import bits, cut, hex_of, ipv4_text, mac, rest, uint
+from hostlake.functions.inet import compress_hextets
+from hostlake.functions.wire import cut, hex_of, hextets, ipv4_text, mac, rest, uint, uint_bits
 from hostlake.operators.dns import with_dns
 from hostlake.operators.http import http_message
 from hostlake.operators.stages import bind
@@ -48,7 +48,7 @@ def packet_base(frames: DataFrame) -> DataFrame:
 
 
 def with_ethernet(frames: DataFrame) -> DataFrame:
-    h = F.col("_eth")
+    h = "_eth"
     size = F.octet_length("frame")
     ethernet = _layer(
         size >= MIN_ETHERNET,
@@ -63,7 +63,7 @@ def with_ethernet(frames: DataFrame) -> DataFrame:
 
 def with_network(frames: DataFrame) -> DataFrame:
     """arp, ipv4, ipv6 and the IP payload (``_proto``, ``_payload``) out of the Ethernet payload."""
-    h, ether = F.col("_net"), F.col("ethernet.ether_type")
+    h, ether = "_net", F.col("ethernet.ether_type")
     size = F.col("ethernet.payload_length")
     staged = bind(frames, {"_net": F.hex(cut(F.col("frame"), MIN_ETHERNET, MIN_IPV6))})
 
@@ -81,14 +81,14 @@ def with_network(frames: DataFrame) -> DataFrame:
     )
     ipv4 = _layer(
         (ether == ETHER_IPV4) & (size >= MIN_IPV4),
-        version=bits(uint(h, 0, 1), 4, 4),
-        header_length=bits(uint(h, 0, 1), 0, 4),
-        dscp=bits(uint(h, 1, 1), 2, 6),
-        ecn=bits(uint(h, 1, 1), 0, 2),
+        version=uint_bits(h, 0, 1, 4, 4),
+        header_length=uint_bits(h, 0, 1, 0, 4),
+        dscp=uint_bits(h, 1, 1, 2, 6),
+        ecn=uint_bits(h, 1, 1, 0, 2),
         total_length=uint(h, 2, 2),
         identification=uint(h, 4, 2),
-        flags=bits(uint(h, 6, 2), 13, 3),
-        fragment_offset=bits(uint(h, 6, 2), 0, 13),
+        flags=uint_bits(h, 6, 2, 13, 3),
+        fragment_offset=uint_bits(h, 6, 2, 0, 13),
         ttl=uint(h, 8, 1),
         next_level_protocol=uint(h, 9, 1),
         checksum=uint(h, 10, 2),
@@ -97,14 +97,14 @@ def with_network(frames: DataFrame) -> DataFrame:
     )
     ipv6 = _layer(
         (ether == ETHER_IPV6) & (size >= MIN_IPV6),
-        version=bits(uint(h, 0, 2), 12, 4),
-        traffic_class=bits(uint(h, 0, 2), 4, 8),
-        flow_label=bits(uint(h, 0, 4), 0, 20).cast("int"),
+        version=uint_bits(h, 0, 2, 12, 4),
+        traffic_class=uint_bits(h, 0, 2, 4, 8),
+        flow_label=uint_bits(h, 0, 4, 0, 20).cast("int"),
         payload_length=uint(h, 4, 2),
         next_header=uint(h, 6, 1),
         hop_limit=uint(h, 7, 1),
-        source=compress_hextets(hextets_of_hex(h, 8)),
-        destination=compress_hextets(hextets_of_hex(h, 24)),
+        source=compress_hextets(hextets(h, 8)),
+        destination=compress_hextets(hextets(h, 24)),
     )
     decoded = bind(staged, {"arp": arp, "ipv4": ipv4, "ipv6": ipv6})
 
@@ -125,7 +125,7 @@ def with_network(frames: DataFrame) -> DataFrame:
 
 def with_transport(packets: DataFrame) -> DataFrame:
     """tcp, udp, icmp and the application payload (``_message``) out of the IP payload."""
-    h, proto, size = F.col("_tp"), F.col("_proto"), F.octet_length("_payload")
+    h, proto, size = "_tp", F.col("_proto"), F.octet_length("_payload")
     staged = bind(packets, {"_tp": hex_of(F.col("_payload"), MIN_TCP)})
 
     tcp_head = F.greatest(uint(h, 12, 1).bitwiseAND(0xF0) / 4, F.lit(MIN_TCP)).cast("int")
@@ -135,8 +135,8 @@ def with_transport(packets: DataFrame) -> DataFrame:
         destination=uint(h, 2, 2),
         sequence=uint(h, 4, 4),
         acknowledgement=uint(h, 8, 4),
-        data_offset=bits(uint(h, 12, 1), 4, 4),
-        reserved=bits(uint(h, 12, 1), 0, 4),
+        data_offset=uint_bits(h, 12, 1, 4, 4),
+        reserved=uint_bits(h, 12, 1, 0, 4),
         flags=uint(h, 13, 1),
         _window=uint(h, 14, 2),
         checksum=uint(h, 16, 2),
@@ -169,11 +169,14 @@ def with_transport(packets: DataFrame) -> DataFrame:
     return bind(decoded, {"_message": message}).drop("_tp", "_payload", "_proto")
 
 
-def tls_record(message: Column) -> Column:
-    """Record header (content type, version, length), NULL unless type and version are known."""
-    h = hex_of(message, MIN_TLS)
+def tls_record(hex_name: str) -> Column:
+    """Record header (content type, version, length) out of the hex text of the first five bytes.
+
+    NULL unless the header is whole and its type and version are known.
+    """
+    h = hex_name
     known = (
-        (F.octet_length(message) >= MIN_TLS)
+        (F.length(h) >= 2 * MIN_TLS)
         & uint(h, 0, 1).isin(*TLS_CONTENT_TYPES)
         & uint(h, 1, 2).isin(*TLS_VERSIONS)
     )
@@ -189,9 +192,15 @@ def with_application(packets: DataFrame, tcp_length_prefix: bool = False) -> Dat
     message, over_tcp = F.col("_message"), F.col("tcp").isNotNull()
     dns_message = F.when(over_tcp, rest(message, 2)).otherwise(message) if tcp_length_prefix else message
     decoded = with_dns(bind(packets, {"_dns_message": dns_message}), "_dns_message")
-    decoded = bind(decoded, {"http": F.when(over_tcp & F.col("dns").isNull(), http_message(message))})
+    decoded = bind(
+        decoded,
+        {
+            "http": F.when(over_tcp & F.col("dns").isNull(), http_message(message)),
+            "_record": hex_of(message, MIN_TLS),
+        },
+    )
     free = over_tcp & F.col("dns").isNull() & F.col("http").isNull()
-    return bind(decoded, {"tls": F.when(free, tls_record(message))}).drop("_message", "_dns_message")
+    return bind(decoded, {"tls": F.when(free, tls_record("_record"))}).drop("_message", "_dns_message", "_record")
 
 
 def decode_packets(frames: DataFrame, tcp_length_prefix: bool = False, depth: str = "application") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from hostlake.functions.clock import AsOf, as_of_column, interval_micros
 from hostlake.functions.ids import entity_id
-from hostlake.functions.inet import inet, inet_host, inet_network
+from hostlake.functions.inet import inet, inet_host, inet_network_host
 from hostlake.functions.names import port_number
 from hostlake.operators.interval_join import interval_join
 from hostlake.operators.keyed import delete_matching, first_per_key
@@ -67,7 +67,7 @@ def gold_dim_network_interface(interfaces: DataFrame, as_of: AsOf) -> DataFrame:
     return first.select(
         entity_id(F.col("interface"), F.col("address")).alias("_id"),
         "interface", "address", "broadcast_address", "destination_address",
-        inet_host(inet_network(F.col("address"))).alias("network"),
+        inet_network_host(F.col("address")).alias("network"),
         "started_at",
         as_of_column(as_of).alias("inserted_at"),
     )

@@ -15,6 +15,12 @@ SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
+# Static settings: they only take effect on a session that is built here.
+STATIC_SETTINGS = {
+    # Do not record a Python call site for every column expression; plans here have thousands.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+
 
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
@@ -26,7 +32,7 @@ def build_session(app: str = "hostlake", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master is not None:
         builder = builder.master(master)
-    for key, value in conf.items():
+    for key, value in {**STATIC_SETTINGS, **conf}.items():
         builder = builder.config(key, value)
     return configure(builder.getOrCreate())
 

@@ -228,19 +228,33 @@ def _references(text: str) -> list[str]:
     return [r for r in dict.fromkeys(_REF.findall(text)) if r != "ntz"]
 
 
+# Plans of fixtures (not their data), by application, folder and name: building one takes a while.
+_PLANS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _PLANS:
+        _PLANS[key] = build()
+    return _PLANS[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _once(spark, sf_dir, name, lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str, sources: dict[str, DataFrame] | None = None) -> DataFrame:
     """A fixture (or test table) as a DataFrame; ``sources`` may stand in for test tables."""
-    sources = sources or {}
-    if name in sources:
+
+    def build() -> DataFrame:
+        parts = {ref: fixture(spark, sf_dir, ref, sources) for ref in _references(FIXTURES[name])}
+        return spark.sql(FIXTURES[name].replace("{ntz}", "_NTZ"), **parts)
+
+    if sources is not None and name in sources:
         return sources[name]
     if name in BASE_TABLES:
         return table(spark, sf_dir, name)
-    parts = {ref: fixture(spark, sf_dir, ref, sources) for ref in _references(FIXTURES[name])}
-    return spark.sql(FIXTURES[name].replace("{ntz}", "_NTZ"), **parts)
+    return build() if sources is not None else _once(spark, sf_dir, name, build)
 
 
 def with_fixtures(sql: str, views: dict[str, str] | None = None) -> str:
