@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,8 +101,8 @@ def _in_parallel(jobs: dict, workers: int = 4) -> dict:
         return {name: future.result() for name, future in futures.items()}
 
 
-def _oldest_day(lake: Lake, layer: str) -> str | None:
-    days = [day for t in tables_of(layer) if not is_versioned(t.name) for day in lake.days(t.name)]
+def _oldest_day(lake: Lake, layer: str) -> date | None:
+    days = [day for t in tables_of(layer) if not is_versioned(t.name) for day in lake.periods(t.name)]
     return min(days, default=None)
 
 
@@ -212,12 +212,12 @@ def retention_plan(seconds: Mapping[str, int] = RETENTION_SECONDS) -> dict[str,
 def run_retention(lake: Lake, as_of: datetime, seconds: Mapping[str, int] = RETENTION_SECONDS) -> None:
     """Apply retention to storage.
 
-    Versioned tables are rewritten without expired rows. Growing tables lose the day partitions
-    whose last row has expired; the rest of a day in progress is hidden by ``retained`` on read.
+    Versioned tables are rewritten without expired rows. Growing tables lose the partitions
+    whose last row has expired; expired rows of a partition in use are hidden by ``retained`` on read.
     """
     for name, keep in retention_plan(seconds).items():
         if not is_versioned(name):
-            lake.drop_days_before(name, (as_of - timedelta(seconds=keep)).date().isoformat())
+            lake.drop_before(name, (as_of - timedelta(seconds=keep)).date())
         elif lake.versions(name):
             lake.replace(name, retained(lake.read(name), keep, as_of))
             lake.drop_old_versions(name)

@@ -2,18 +2,22 @@
 
 Two kinds. *Versioned* tables (dimensions, lookups, technical tables) are rewritten whole: a write
 goes to a new ``v=N`` directory and readers take the newest one that finished, so a path is never
-overwritten while it is read. *Growing* tables (bronze, silver, facts) are appended in ``day=``
-partitions by insert time, so that retention drops whole days and key checks read recent days only.
+overwritten while it is read. *Growing* tables (bronze, silver, facts) are appended in partitions by
+insert time (``period=``, the first day of a day, month or year), so that retention drops whole
+partitions and key checks read recent ones only.
 """
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlake.schemas import TABLES, conform, empty
 
-_DAY = "day"
+_PERIOD = "period"
+_UNITS = ("day", "month", "year")
 
 
 def is_versioned(name: str) -> bool:
@@ -21,9 +25,19 @@ def is_versioned(name: str) -> bool:
 
 
 class Lake:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, unit: str = "day"):
+        """``unit`` is the length of a partition; take a longer one where a day holds few rows."""
+        if unit not in _UNITS:
+            raise ValueError(f"unknown partition unit {unit!r}")
         self.spark = spark
         self.root = root.rstrip("/")
+        self.unit = unit
+
+    def period_of(self, day: date) -> date:
+        """First day of the partition that holds ``day``."""
+        if self.unit == "year":
+            return day.replace(month=1, day=1)
+        return day.replace(day=1) if self.unit == "month" else day
 
     def path(self, name: str) -> str:
         return f"{self.root}/{TABLES[name].layer}/{name}"
@@ -59,18 +73,19 @@ class Lake:
             return empty(self.spark, name)
         return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.names)
 
-    def days(self, name: str) -> list[str]:
-        """Days a growing table holds, oldest first; a look at directory names only."""
-        mark = f"{_DAY}="
-        return sorted(c[len(mark) :] for c in self._children(self.path(name)) if c.startswith(mark))
+    def periods(self, name: str) -> list[date]:
+        """Partitions a growing table holds, oldest first; a look at directory names only."""
+        mark = f"{_PERIOD}="
+        return sorted(date.fromisoformat(c[len(mark) :]) for c in self._children(self.path(name)) if c.startswith(mark))
 
-    def read_since(self, name: str, first_day: str | None) -> DataFrame:
-        """Rows of a growing table inserted on ``first_day`` or later; older partitions are not opened."""
+    def read_since(self, name: str, first_day: date | None) -> DataFrame:
+        """Partitions of a growing table that hold ``first_day`` or later days; older ones are not opened."""
         if first_day is None or not self._finished(self.path(name)):
             return self.read(name)
         schema = TABLES[name].schema
         stored = self.spark.read.schema(schema).parquet(self.path(name))
-        return stored.where(F.col(_DAY) >= F.lit(first_day).cast("date")).select(*schema.names)
+        recent = F.col(_PERIOD) >= F.lit(self.period_of(first_day).isoformat()).cast("date")
+        return stored.where(recent).select(*schema.names)
 
     def replace(self, name: str, df: DataFrame) -> DataFrame:
         """Write a new version of a versioned table and read it back.
@@ -85,10 +100,10 @@ class Lake:
     def append(self, name: str, df: DataFrame, max_records_per_file: int = 5_000_000) -> DataFrame:
         (
             conform(df, name)
-            .withColumn(_DAY, F.to_date("inserted_at"))
+            .withColumn(_PERIOD, F.to_date(F.date_trunc(self.unit, "inserted_at")))
             .write.mode("append")
             .option("maxRecordsPerFile", max_records_per_file)
-            .partitionBy(_DAY)
+            .partitionBy(_PERIOD)
             .parquet(self.path(name))
         )
         return self.read(name)
@@ -102,9 +117,9 @@ class Lake:
             fs, path = self._file_system(f"{self.path(name)}/v={version}")
             fs.delete(path, True)
 
-    def drop_days_before(self, name: str, first_kept_day: str) -> None:
-        """Remove whole expired day partitions of a growing table."""
-        for day in self.days(name):
-            if day < first_kept_day:
-                fs, path = self._file_system(f"{self.path(name)}/{_DAY}={day}")
+    def drop_before(self, name: str, first_kept_day: date) -> None:
+        """Remove whole partitions of a growing table that end before ``first_kept_day``."""
+        for period in self.periods(name):
+            if period < self.period_of(first_kept_day):
+                fs, path = self._file_system(f"{self.path(name)}/{_PERIOD}={period.isoformat()}")
                 fs.delete(path, True)

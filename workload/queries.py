@@ -609,7 +609,7 @@ def fill_bronze(lake: Lake, spark, d) -> None:
 
 def _flushed(spark, d, file_format: str) -> str:
     folder = work_folder(spark, "flush")
-    lake = Lake(spark, f"{folder}/lake")
+    lake = Lake(spark, f"{folder}/lake", unit="year")
     fill_bronze(lake, spark, d)
     lifecycle.final_flush(lake, AS_OF, f"{folder}/export", file_format, bucket_seconds=BUCKET_SECONDS)
     return f"{folder}/export"
