@@ -94,7 +94,7 @@ def refresh_gold(
     }
 
 
-def _in_parallel(jobs: dict, workers: int = 4) -> dict:
+def in_parallel(jobs: dict, workers: int = 8) -> dict:
     """Run independent table writes at once, so that a small table does not wait for a large one."""
     with ThreadPoolExecutor(workers) as pool:
         futures = {name: pool.submit(job) for name, job in jobs.items()}
@@ -123,7 +123,7 @@ def run_silver(lake: Lake, as_of: AsOf) -> None:
 
         return write
 
-    _in_parallel({name: job(name, df) for name, df in silver.refresh_silver(bronze, as_of).items()})
+    in_parallel({name: job(name, df) for name, df in silver.refresh_silver(bronze, as_of).items()})
 
 
 def _write_gold(lake: Lake, name: str, df: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def run_gold(lake: Lake, as_of: AsOf, bucket_seconds: int = 3600, salts: int = 1
         "gold_fact_network_packet": gold.gold_fact_network_packet(packets, as_of),
         "gold_fact_network_ip": gold.gold_fact_network_ip(transport, ip, packets, as_of),
     }
-    written = _in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in first.items()})
+    written = in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in first.items()})
     dim_interface, dim_socket = written["gold_dim_network_interface"], written["gold_dim_network_socket"]
     foreign = _write_foreign_ip(
         lake, gold.gold_dim_network_foreign_ip(ip, interfaces, dim_interface, as_of), dim_interface
@@ -170,10 +170,13 @@ def run_gold(lake: Lake, as_of: AsOf, bucket_seconds: int = 3600, salts: int = 1
             written["gold_fact_network_ip"], dim_interface, dim_socket, as_of, bucket_seconds, salts
         ),
     }
-    _in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in second.items()})
+    in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in second.items()})
     counted = {name: lake.read(name) for name in gold.COUNTED_TABLES}
-    _write_gold(lake, "gold_tech_table_count", gold.gold_tech_table_count(counted, as_of))
-    _write_gold(lake, "gold_tech_chrono", gold.gold_tech_chrono(silver_tables, as_of))
+    technical = {
+        "gold_tech_table_count": gold.gold_tech_table_count(counted, as_of),
+        "gold_tech_chrono": gold.gold_tech_chrono(silver_tables, as_of),
+    }
+    in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in technical.items()})
 
 
 def _write_foreign_ip(lake: Lake, new: DataFrame, dim_interface: DataFrame) -> DataFrame:
@@ -189,10 +192,8 @@ def replace_lookups(lake: Lake, lookups: Mapping[str, DataFrame], as_of: AsOf) -
     for name in lookups:
         if not name.startswith("gold_file_"):
             raise ValueError(f"{name} is no lookup table")
-    return {
-        name: lake.replace(name, df.withColumn("inserted_at", as_of_column(as_of)))
-        for name, df in lookups.items()
-    }
+    stamped = {name: df.withColumn("inserted_at", as_of_column(as_of)) for name, df in lookups.items()}
+    return in_parallel({n: (lambda n=n, df=df: lake.replace(n, df)) for n, df in stamped.items()})
 
 
 def retained(df: DataFrame, seconds: int, as_of: AsOf) -> DataFrame:
@@ -228,14 +229,15 @@ def export_gold(tables: Mapping[str, DataFrame], directory: str, file_format: st
     file_format = file_format.lower()
     if file_format not in EXPORT_FORMATS:
         raise ValueError(f"unsupported export format {file_format!r}")
-    paths = []
-    for table in tables_of("gold"):
-        if table.name in tables:
-            path = f"{directory.rstrip('/')}/{table.name}.{file_format}"
-            writer = tables[table.name].write.mode("overwrite").format(file_format)
-            (writer.option("header", True) if file_format == "csv" else writer).save(path)
-            paths.append(path)
-    return paths
+    paths = {t.name: f"{directory.rstrip('/')}/{t.name}.{file_format}" for t in tables_of("gold") if t.name in tables}
+
+    def job(name: str):
+        writer = tables[name].write.mode("overwrite").format(file_format)
+        writer = writer.option("header", True) if file_format == "csv" else writer
+        return lambda: writer.save(paths[name])
+
+    in_parallel({name: job(name) for name in paths})
+    return list(paths.values())
 
 
 def final_flush(lake: Lake, as_of: AsOf, export_directory: str | None = None, file_format: str = "parquet", **gold_options) -> None:

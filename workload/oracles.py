@@ -381,6 +381,24 @@ SELECT interface, text, address, host, CASE WHEN network IS NOT NULL THEN concat
   FROM (SELECT interface, address AS text, CASE WHEN netmask IS NOT NULL THEN concat(address, netmask) END AS address FROM {{interface}}) d
   LEFT JOIN {{o_dim_interface}} i ON i.interface = d.interface AND i.address = d.address) x""",
 }
+ORACLES |= {
+    "stream_bronze": f"""
+SELECT *, {AS_OF_SQL} AS created_at, {_STAMP}, CAST(0 AS BIGINT) AS brz_ingestion_duration FROM ({ORACLES["parse_process_snapshot"].strip()}) p""",
+    "stream_silver_process": ORACLES["silver_process_list"],
+    "stream_silver_packet": ORACLES["silver_network_packet_decoded"],
+    "stream_socket": f"""
+SELECT f.pid, f.created_at AS started_at, f.uid, f.command, f.inserted_at,
+ CASE WHEN f.ip_source_address <> '*' AND f.ip_source_address <> '' THEN coalesce(h1.address,
+   CASE f.ip_source_address WHEN 'fe80-0-0-0-1-2-3-4' THEN 'fe80::1:2:3:4' ELSE CASE WHEN f.ip_source_address LIKE 'host%' THEN NULL ELSE f.ip_source_address END END) END AS source_address,
+ CASE WHEN f.ip_source_port NOT IN ('*', '') THEN coalesce(s1.port, TRY_CAST(f.ip_source_port AS INTEGER)) END AS source_port,
+ CASE WHEN f.ip_destination_address NOT IN ('*', '') THEN coalesce(h2.address, f.ip_destination_address) END AS destination_address,
+ CASE WHEN f.ip_destination_port NOT IN ('*', '') THEN coalesce(s2.port, TRY_CAST(f.ip_destination_port AS INTEGER)) END AS destination_port
+ FROM (SELECT * FROM {{o_files}} WHERE type <> 'REG') f
+ LEFT JOIN {{o_host}} h1 ON h1.name = lower(f.ip_source_address) LEFT JOIN {{o_host}} h2 ON h2.name = lower(f.ip_destination_address)
+ LEFT JOIN {{o_service}} s1 ON s1.name = lower(f.ip_source_port) LEFT JOIN {{o_service}} s2 ON s2.name = lower(f.ip_destination_port)""",
+    "stream_dim_socket": f"SELECT {_SOCKET_TEXTS}, pid, started_at, uid, command, inserted_at FROM {{o_sockets}}",
+    "stream_process_network": "SELECT pid, packet_id, send FROM {o_process_network}",
+}
 # Of repeated interface keys the smallest row counts, column by column from the left.
 VIEWS["interface_first"] = """
 SELECT interface, address, netmask, broadcast_address, destination_address FROM (

@@ -17,6 +17,7 @@ from hostlake.schemas import TABLES, conform, tables_of
 from hostlake.session import configure
 from hostlake.sources import interfaces, logs, lookups, open_files, processes
 from hostlake.sources.lake import Lake
+from hostlake.streaming import feeds, refine
 from workload.fixtures import AS_OF, fixture, table
 from workload.scratch import work_folder
 
@@ -601,8 +602,8 @@ def retention(spark, d):
 
 
 def fill_bronze(lake: Lake, spark, d) -> None:
-    for name, df in bronze_tables(spark, d).items():
-        lake.write(name, conform(df, name))
+    tables = bronze_tables(spark, d)
+    lifecycle.in_parallel({n: (lambda n=n, df=df: lake.write(n, conform(df, n))) for n, df in tables.items()})
     lookups_ = {f"gold_file_{n}": fixture(spark, d, n) for n in ("service", "host", "user")}
     lifecycle.replace_lookups(lake, lookups_, AS_OF)
 
@@ -664,3 +665,86 @@ def inet_functions(spark, d):
         inet.inet_prefix(address).alias("prefix"), inet.inet_family(address).alias("family"),
         inet.inet_key(address).alias("sort_key"),
     )
+
+
+# ---- streams ------------------------------------------------------------------------------------
+# Each stream reads stored files in several micro-batches, runs until all are processed, and the
+# result is read back from what it wrote.
+
+
+def _stored_stream(spark, df: DataFrame, folder: str, name: str) -> DataFrame:
+    path = f"{folder}/{name}"
+    df.repartition(4).write.parquet(path)
+    return feeds.stream_table(spark, df.schema, path, max_files=2)
+
+
+def _finish(started) -> None:
+    started.awaitTermination()
+
+
+@query
+def stream_bronze(spark, d):
+    folder = work_folder(spark, "stream")
+    fixture(spark, d, "raw_process").repartition(4).write.text(f"{folder}/raw")
+    lines = feeds.stream_lines(spark, f"{folder}/raw", max_files=2)
+
+    def to_bronze(batch: DataFrame) -> DataFrame:
+        return bronze.bronze_process_list(processes.parse_process_lines(batch, as_of()), AS_OF)
+
+    _finish(feeds.write_batches(lines, f"{folder}/bronze", f"{folder}/state", to_bronze))
+    rows = spark.read.parquet(f"{folder}/bronze").drop("batch", "_id")
+    return lags_as_micros(rows.withColumns({c: F.col(c).cast("double") for c in ("pcpu", "pmem")}))
+
+
+@query
+def stream_silver_process(spark, d):
+    """Every row arrives twice; the second is ignored."""
+    folder = work_folder(spark, "stream")
+    once = fixture(spark, d, "process_list")
+    rows = _stored_stream(spark, once.unionByName(once), folder, "bronze")
+    silver_rows = refine.stream_silver_process(rows, AS_OF, "400 days")
+    _finish(feeds.append_to(silver_rows, f"{folder}/silver", f"{folder}/state"))
+    return lags_as_micros(spark.read.parquet(f"{folder}/silver"))
+
+
+@query
+def stream_silver_packet(spark, d):
+    folder = work_folder(spark, "stream")
+    frames = _stored_stream(spark, fixture(spark, d, "frames"), folder, "frames")
+    inserted = F.col("created_at") + F.make_dt_interval(secs=F.lit(1))
+    rows = refine.stream_silver_packets(frames, inserted, AS_OF)["silver_network_packet"]
+    _finish(feeds.append_to(rows, f"{folder}/silver", f"{folder}/state"))
+    return lags_as_micros(spark.read.parquet(f"{folder}/silver"))
+
+
+def _socket_stream(spark, d, folder: str) -> DataFrame:
+    files = _stored_stream(spark, Layers(spark, d).files(), folder, "files")
+    layers = Layers(spark, d)
+    return refine.stream_sockets(files, layers.hosts(), layers.services())
+
+
+@query
+def stream_socket(spark, d):
+    folder = work_folder(spark, "stream")
+    _finish(feeds.append_to(_socket_stream(spark, d, folder), f"{folder}/sockets", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/sockets")
+
+
+@query
+def stream_dim_socket(spark, d):
+    folder = work_folder(spark, "stream")
+    changes = refine.stream_dim_sockets(_socket_stream(spark, d, folder))
+    _finish(feeds.write_batches(changes, f"{folder}/dim", f"{folder}/state", mode="update"))
+    keys = TABLES["gold_dim_network_socket"].key
+    return refine.latest_state(spark.read.parquet(f"{folder}/dim").drop("batch"), keys, ["uid", "command"])
+
+
+@query
+def stream_process_network(spark, d):
+    folder = work_folder(spark, "stream")
+    layers = Layers(spark, d)
+    fact_ip = _stored_stream(spark, layers.fact_ip(), folder, "fact_ip")
+    sockets = _stored_stream(spark, layers.dim_socket(), folder, "dim_socket")
+    owned = refine.stream_process_network(fact_ip, layers.dim_interface(), sockets, "4000 days")
+    _finish(feeds.append_to(owned, f"{folder}/owned", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/owned")
