@@ -33,7 +33,8 @@ def _prefix_part(text: Column) -> Column:
 
 
 def _groups(part: Column) -> Column:
-    return F.filter(F.split(part, ":"), lambda g: g != "")
+    # An empty half has no groups; an empty group inside a half is kept and makes the text invalid.
+    return F.when(part != "", F.split(part, ":")).otherwise(F.array().cast("array<string>"))
 
 
 def _embedded_v4_as_hextets(host: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlake.functions.clock import epoch_micros
@@ -17,6 +17,11 @@ from hostlake.functions.clock import epoch_micros
 _BUCKET, _FROM, _TO = "_bucket", "_from", "_to"
 
 
+def _bucket_of(micros: str, width: int) -> Column:
+    """Number of the bucket that holds a time; integers only, rounding down before 1970 too."""
+    return F.expr(f"({micros} - pmod({micros}, {width}L)) div {width}L")
+
+
 def disjoint_pieces(
     intervals: DataFrame, keys: Sequence[str], owner: Sequence[str], start: str, end: str, bucket_seconds: int
 ) -> DataFrame:
@@ -31,11 +36,8 @@ def disjoint_pieces(
     micros = intervals.select(
         *owner, *keys, epoch_micros(F.col(start)).alias("_s"), epoch_micros(F.col(end)).alias("_e")
     ).where(F.col("_s") <= F.col("_e"))
-
-    def bucket_of(name: str):
-        return F.floor(F.col(name) / F.lit(width)).cast("bigint")
-
-    clipped = micros.withColumn(_BUCKET, F.explode(F.sequence(bucket_of("_s"), bucket_of("_e")))).select(
+    buckets = F.sequence(_bucket_of("_s", width), _bucket_of("_e", width))
+    clipped = micros.withColumn(_BUCKET, F.explode(buckets)).select(
         *group,
         F.greatest(F.col("_s"), F.col(_BUCKET) * width).alias(_FROM),
         F.least(F.col("_e"), (F.col(_BUCKET) + 1) * width).alias(_TO),
@@ -80,7 +82,7 @@ def interval_join(
     width = bucket_seconds * 1_000_000
     pieces = disjoint_pieces(intervals, keys, owner, start, end, bucket_seconds)
     located = points.withColumn("_at", epoch_micros(F.col(point))).withColumn(
-        _BUCKET, F.floor(F.col("_at") / F.lit(width)).cast("bigint")
+        _BUCKET, _bucket_of("_at", width)
     )
     on = [*keys, _BUCKET]
     if salts > 1:

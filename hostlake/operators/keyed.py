@@ -6,10 +6,11 @@ row (ordered by ``order`` and then by all its columns) counts, so a rerun gives
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 _SOURCE = "_src"
 
@@ -20,6 +21,25 @@ def sort_key(col: Column | str) -> list[Column]:
     return [col.isNull(), col]
 
 
+def _ranking(df: DataFrame, ranked: Sequence[str]) -> tuple[list[Column], dict[str, Callable[[str], Column]]]:
+    """Struct fields that order rows by ``ranked``, and how to get each column back out of the struct.
+
+    Maps have no order; their sorted entries do.
+    """
+    maps = {f.name for f in df.schema.fields if isinstance(f.dataType, MapType)}
+    parts, restore = [], {}
+    for i, name in enumerate(ranked):
+        value = F.array_sort(F.map_entries(name)) if name in maps else F.col(name)
+        parts += [part.alias(f"_{i}_{j}") for j, part in enumerate(sort_key(value))]
+
+        def back(struct: str, i: int = i, is_map: bool = name in maps) -> Column:
+            stored = F.col(f"{struct}._{i}_1")
+            return F.map_from_entries(stored) if is_map else stored
+
+        restore[name] = back
+    return parts, restore
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
     """The smallest row of each key.
 
@@ -30,12 +50,9 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ())
     ranked = [*order, *[c for c in values if c not in order]]
     if not ranked:
         return df.select(*keys).distinct()
-    parts = [part.alias(f"_{i}_{j}") for i, c in enumerate(ranked) for j, part in enumerate(sort_key(c))]
+    parts, restore = _ranking(df, ranked)
     grouped = df.groupBy(*keys).agg(F.min(F.struct(*parts)).alias("_first"))
-    place = {c: i for i, c in enumerate(ranked)}
-    return grouped.select(
-        *[F.col(c) if c in keys else F.col(f"_first._{place[c]}_1").alias(c) for c in df.columns]
-    )
+    return grouped.select(*[F.col(c) if c in keys else restore[c]("_first").alias(c) for c in df.columns])
 
 
 def without_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -77,7 +94,7 @@ def upsert_touch(
     incoming = new.withColumn(_SOURCE, F.lit(1))
     values = [c for c in existing.columns if c not in keys and c != touched]
     ranked = [*order, *[c for c in values if c not in order]]
-    parts = [part.alias(f"_{i}_{j}") for i, c in enumerate(ranked) for j, part in enumerate(sort_key(c))]
+    parts, restore = _ranking(existing, ranked)
     latest = F.coalesce(
         F.max(F.when(F.col(_SOURCE) == 1, F.col(touched))), F.max(F.when(F.col(_SOURCE) == 0, F.col(touched)))
     )
@@ -86,14 +103,13 @@ def upsert_touch(
         .groupBy(*keys)
         .agg(F.min(F.struct(F.col(_SOURCE), *parts)).alias("_first"), latest.alias("_touched"))
     )
-    place = {c: i for i, c in enumerate(ranked)}
 
     def column(name: str) -> Column:
         if name in keys:
             return F.col(name)
         if name == touched:
             return F.col("_touched").alias(name)
-        return F.col(f"_first._{place[name]}_1").alias(name)
+        return restore[name]("_first").alias(name)
 
     return grouped.select(*[column(c) for c in existing.columns])
 

@@ -106,6 +106,17 @@ def _oldest_day(lake: Lake, layer: str) -> date | None:
     return min(days, default=None)
 
 
+def load_bronze(lake: Lake, name: str, rows: DataFrame) -> DataFrame:
+    """Add parsed rows to a bronze table; rows that are there already are ignored.
+
+    Loading the same snapshot again changes nothing. Interfaces are known by (interface, address).
+    """
+    incoming = conform(rows, name)
+    if is_versioned(name):
+        return lake.replace(name, upsert_ignore(lake.read(name), incoming, TABLES[name].key))
+    return lake.append(name, new_rows(lake.read(name), incoming, TABLES[name].key))
+
+
 def run_silver(lake: Lake, as_of: AsOf) -> None:
     """One silver refresh: rows of the retained bronze layer whose key silver does not hold yet."""
     bronze = {t.name: lake.read(t.name) for t in tables_of("bronze")}
@@ -117,9 +128,10 @@ def run_silver(lake: Lake, as_of: AsOf) -> None:
             if is_versioned(name):
                 lake.replace(name, upsert_ignore(lake.read(name), rows, TABLES[name].key))
             else:
-                # A silver row is inserted after its bronze row: older days cannot hold its key.
+                # A silver row is inserted after its bronze row: older days cannot hold its key. And
+                # bronze holds each key once (``load_bronze``), so these rows do too.
                 known = lake.read_since(name, oldest_day)
-                lake.append(name, new_rows(known, rows, TABLES[name].key))
+                lake.append(name, new_rows(known, rows, TABLES[name].key, unique=True))
 
         return write
 

@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Some joins fan out widely from small inputs: do not gather those inputs into one task.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Split a hot join key even where that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
