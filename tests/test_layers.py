@@ -5,11 +5,12 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from hostlake.operators.packets import decode_packets
 from hostlake.plans import gold, lifecycle, silver
 from hostlake.schemas import TABLES, conform, empty, tables_of
 from hostlake.sources.lake import Lake
-from workload.fixtures import AS_OF
-from workload.queries import BUCKET_SECONDS, fill_bronze
+from workload.fixtures import AS_OF, fixture
+from workload.queries import BUCKET_SECONDS, bronze_tables, fill_bronze
 
 T0 = datetime(2024, 1, 1)
 
@@ -180,6 +181,26 @@ def test_refresh_twice_changes_nothing_but_last_seen(spark, sf_dir, tmp_path):
     assert lake.read("gold_tech_chrono").count() == 3
 
 
+def test_refreshes_give_the_columns_of_their_tables(spark, sf_dir):
+    silver_tables = silver.refresh_silver(bronze_tables(spark, sf_dir), AS_OF)
+    assert set(silver_tables) == {t.name for t in tables_of("silver")}
+    hosts, services = lookups(spark)
+    gold_tables = lifecycle.refresh_gold(silver_tables, {"gold_file_host": hosts, "gold_file_service": services}, AS_OF)
+    assert len(gold_tables) == 12
+    for name, df in {**silver_tables, **gold_tables}.items():
+        assert set(df.columns) == set(TABLES[name].schema.names), name
+
+
+def test_decoded_and_joined_silver_agree(spark, sf_dir):
+    joined = silver.refresh_silver(bronze_tables(spark, sf_dir), AS_OF)
+    inserted = F.col("created_at") + F.make_dt_interval(secs=F.lit(1))
+    decoded = silver.silver_from_decoded(decode_packets(fixture(spark, sf_dir, "frames")), inserted, AS_OF)
+    for name in ("silver_network_ip", "silver_network_transport", "silver_network_arp", "silver_network_ethernet"):
+        one, two = conform(joined[name], name), conform(decoded[name], name)
+        assert one.count() == two.count() > 0
+        assert one.exceptAll(two).count() == 0, name
+
+
 def test_conform_orders_and_fills(spark):
     got = conform(spark.range(1).selectExpr("'x' as name"), "gold_file_user")
     assert got.columns == ["name", "uid", "inserted_at"]

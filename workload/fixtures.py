@@ -210,10 +210,10 @@ SELECT l_orderkey, l_linenumber, concat('p', CAST(l_suppkey AS STRING), chr(10),
  'f', CAST(l_linenumber AS STRING), 'u', chr(10), 'tIPv4', chr(10), 'n10.0.0.1:', CAST(1024 + l_partkey % 50 AS STRING), chr(10),
  'p', CAST(l_partkey AS STRING), chr(10), 'cother', chr(10), 'u0', chr(10), 'ftxt', chr(10), 's', CAST(l_orderkey AS STRING), chr(10), 'n/bin/x y', chr(10)) AS listing FROM {lineitem}""",
     "raw_hosts": """
-SELECT CASE WHEN n_nationkey % 7 = 0 THEN '# skip me' WHEN n_nationkey % 7 = 1 THEN '10.1.1.1' ELSE
+SELECT CASE WHEN n_regionkey = 0 THEN '# skip me' WHEN n_regionkey = 1 THEN '10.1.1.1' ELSE
  concat('172.16.0.', CAST(n_nationkey % 20 AS STRING), chr(9), lower(n_name), '  alias', CAST(n_nationkey % 3 AS STRING), ' #x') END AS line FROM {nation}""",
     "raw_services": """
-SELECT CASE WHEN p_partkey % 9 = 0 THEN '# comment' WHEN p_partkey % 9 = 1 THEN 'bad eighty/tcp'
+SELECT CASE WHEN p_size = 1 THEN '# comment' WHEN p_size = 2 THEN 'bad eighty/tcp'
  ELSE concat('svc-', CAST(p_partkey % 1000 AS STRING), '   ', CAST(1000 + p_partkey % 1000 AS STRING), '/tcp  # x') END AS line FROM {part}""",
     "raw_users": """
 SELECT CASE WHEN c_nationkey = 0 THEN '# comment' WHEN c_nationkey = 1 THEN '' ELSE

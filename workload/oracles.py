@@ -246,10 +246,10 @@ UNION ALL SELECT 'other', l_partkey, 0, 'txt', '', '', l_orderkey, '', '/bin/x y
 SELECT pid, fd, type, name, created_at, CASE type WHEN 'REG' THEN 'regular' ELSE 'network' END AS class FROM {open_files}
 UNION ALL SELECT pid, fd, type, name, created_at, 'all' FROM {open_files}""",
     "parse_hosts": """
-WITH kept AS (SELECT * FROM nation WHERE n_nationkey % 7 > 1)
+WITH kept AS (SELECT * FROM nation WHERE n_regionkey > 1)
 SELECT DISTINCT unnest([lower(n_name), concat('alias', CAST(n_nationkey % 3 AS VARCHAR)), '#x']) AS name, concat('172.16.0.', CAST(n_nationkey % 20 AS VARCHAR)) AS address FROM kept""",
     "parse_services": """
-SELECT DISTINCT concat('svc-', CAST(p_partkey % 1000 AS VARCHAR)) AS name, CAST(1000 + p_partkey % 1000 AS INT) AS port, 'tcp' AS protocol FROM part WHERE p_partkey % 9 > 1""",
+SELECT DISTINCT concat('svc-', CAST(p_partkey % 1000 AS VARCHAR)) AS name, CAST(1000 + p_partkey % 1000 AS INT) AS port, 'tcp' AS protocol FROM part WHERE p_size > 2""",
     "parse_users": "SELECT lower(c_name) AS name, CAST(c_custkey AS INT) AS uid FROM customer WHERE c_nationkey > 1",
     "parse_users_listing": """
 SELECT concat('_', lower(c_mktsegment), ' user ', CAST(c_custkey % 7 AS VARCHAR)) AS name, CAST(c_custkey AS INT) AS uid FROM customer""",
@@ -259,7 +259,7 @@ SELECT concat_ws(' ', CAST(ts AS VARCHAR), event_type, CAST(event_id AS VARCHAR)
     "snapshot_replace": f"""
 SELECT 'service' AS lookup, name, concat(CAST(port AS VARCHAR), '/', protocol) AS value, {_STAMP} FROM {{service}}
 UNION ALL SELECT DISTINCT 'host', unnest([lower(n_name), concat('alias', CAST(n_nationkey % 3 AS VARCHAR)), '#x']), concat('172.16.0.', CAST(n_nationkey % 20 AS VARCHAR)), {AS_OF_SQL}
- FROM nation WHERE n_nationkey % 7 > 1""",
+ FROM nation WHERE n_regionkey > 1""",
     # packets
     "decode_packets": "SELECT _id, p.interface, length, p.created_at, concat_ws(',', "
     + ", ".join(f"CASE WHEN {condition} THEN '{layer}' END" for layer, condition in _PRESENT.items())
