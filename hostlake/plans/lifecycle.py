@@ -117,9 +117,15 @@ def load_bronze(lake: Lake, name: str, rows: DataFrame) -> DataFrame:
     return lake.append(name, new_rows(lake.read(name), incoming, TABLES[name].key))
 
 
-def run_silver(lake: Lake, as_of: AsOf) -> None:
+def _read_retained(lake: Lake, layer: str, as_of: AsOf, retention: Mapping[str, int] | None) -> dict[str, DataFrame]:
+    """Tables of a layer without the rows that have expired but are still in a partition in use."""
+    seconds = retention_plan(retention) if retention else {}
+    return {t.name: retained(lake.read(t.name), seconds.get(t.name, 0), as_of) for t in tables_of(layer)}
+
+
+def run_silver(lake: Lake, as_of: AsOf, retention: Mapping[str, int] | None = None) -> None:
     """One silver refresh: rows of the retained bronze layer whose key silver does not hold yet."""
-    bronze = {t.name: lake.read(t.name) for t in tables_of("bronze")}
+    bronze = _read_retained(lake, "bronze", as_of, retention)
     oldest_day = _oldest_day(lake, "bronze")
 
     def job(name: str, df: DataFrame):
@@ -148,9 +154,15 @@ def _write_gold(lake: Lake, name: str, df: DataFrame) -> DataFrame:
     return lake.append(name, new_rows(known, rows, TABLES[name].key, unique=True))
 
 
-def run_gold(lake: Lake, as_of: AsOf, bucket_seconds: int = 3600, salts: int = 1) -> None:
+def run_gold(
+    lake: Lake,
+    as_of: AsOf,
+    bucket_seconds: int = 3600,
+    salts: int = 1,
+    retention: Mapping[str, int] | None = None,
+) -> None:
     """One gold refresh. Every table is written before the next stage reads it back."""
-    silver_tables = {t.name: lake.read(t.name) for t in tables_of("silver")}
+    silver_tables = _read_retained(lake, "silver", as_of, retention)
     lookups = {n: lake.read(n) for n in ("gold_file_host", "gold_file_service", "gold_file_user")}
     files, processes = silver_tables["silver_open_files"], silver_tables["silver_process_list"]
     packets, ip = silver_tables["silver_network_packet"], silver_tables["silver_network_ip"]
@@ -226,7 +238,7 @@ def run_retention(lake: Lake, as_of: datetime, seconds: Mapping[str, int] = RETE
     """Apply retention to storage.
 
     Versioned tables are rewritten without expired rows. Growing tables lose the partitions
-    whose last row has expired; expired rows of a partition in use are hidden by ``retained`` on read.
+    whose last row has expired; refreshes given the same ``retention`` skip expired rows still there.
     """
     for name, keep in retention_plan(seconds).items():
         if not is_versioned(name):

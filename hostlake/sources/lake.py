@@ -80,7 +80,8 @@ class Lake:
 
     def read_since(self, name: str, first_day: date | None) -> DataFrame:
         """Partitions of a growing table that hold ``first_day`` or later days; older ones are not opened."""
-        if first_day is None or not self._finished(self.path(name)):
+        # An append of no rows leaves a finished table without partitions.
+        if first_day is None or not self.periods(name):
             return self.read(name)
         schema = TABLES[name].schema
         stored = self.spark.read.schema(schema).parquet(self.path(name))

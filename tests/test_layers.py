@@ -60,6 +60,19 @@ def test_retained_bounds(spark):
     assert lifecycle.retained(rows, 0, at(9999)).count() == 3
 
 
+def test_refresh_skips_expired_rows_of_a_partition_in_use(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path), unit="year")
+    rows = spark.createDataFrame(
+        [("old", at(0)), ("new", at(90))], "_id string, inserted_at timestamp_ntz"
+    ).withColumn("created_at", F.col("inserted_at"))
+    lifecycle.load_bronze(lake, "bronze_process_list", rows)
+    lifecycle.run_silver(lake, at(100), retention={"bronze": 15, "silver": 15, "gold": 0})
+    assert [r._id for r in lake.read("silver_process_list").collect()] == ["new"]
+    assert lake.read("bronze_process_list").count() == 2
+    lifecycle.run_silver(lake, at(100))
+    assert lake.read("silver_process_list").count() == 2
+
+
 def test_socket_edge_rows(spark):
     files = open_files(
         spark,

@@ -212,7 +212,10 @@ def classify_application(spark, d):
 
 @query
 def protocol_fanout(spark, d):
-    tables = packets.protocol_fanout(_decoded(spark, d), as_of())
+    # Stored once, so that the thirteen projections do not decode the frames again.
+    stored = work_folder(spark, "decoded") + "/wide"
+    _decoded(spark, d).write.parquet(stored)
+    tables = packets.protocol_fanout(spark.read.parquet(stored), as_of())
     counts = [
         df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_id").alias("ids")).withColumn("name", F.lit(name))
         for name, df in tables.items()
