@@ -35,8 +35,8 @@ from hostlake.llm.common import arrow_append
 #: White space of Unicode, as the splitting pattern understands it.
 SPACE = "\t-\r \x85\xa0  -     　"
 NO_TOKEN = -1
-MAX_ARCS = 1 << 19
-MAX_PIECES = 1 << 18
+MAX_ARCS = 1 << 18
+MAX_PIECES = 1 << 17
 #: Texts above this many characters are cut into pieces one by one instead of in a list.
 LONG_TEXT = 1 << 20
 
@@ -64,18 +64,16 @@ class Transducer:
     def __init__(self, ranks: dict[bytes, int], max_arcs: int = MAX_ARCS):
         self.ranks, self.max_arcs = ranks, max_arcs
         self.bytes_of = {rank: token for token, rank in ranks.items()}
-        self.child: dict[int, int] = {}  # node * 256 + byte -> node
+        self.child: list[dict[int, int]] = [{}]
         self.token = [NO_TOKEN]
-        self.open = [False]  # whether longer tokens go through the node
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                self.open[node] = True
-                below = self.child.get(node << 8 | byte)
+                below = self.child[node].get(byte)
                 if below is None:
-                    below = self.child[node << 8 | byte] = len(self.token)
+                    below = self.child[node][byte] = len(self.token)
+                    self.child.append({})
                     self.token.append(NO_TOKEN)
-                    self.open.append(False)
                 node = below
             self.token[node] = rank
         self.stable: dict[int, bool] = {}
@@ -87,6 +85,7 @@ class Transducer:
         self.states = [start]
         self.number = {start: 0}
         self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.asked: set[int] = set()
 
     def inner(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for a single byte."""
@@ -132,12 +131,12 @@ class Transducer:
             else:
                 j += 1
 
-    def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """The next state and what is emitted on the way, made on first use."""
-        follow, closed, agree = [], None, True
+    def follow(self, open_places: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+        """The open places after one more byte, and what all of them agree upon."""
+        after, closed, agree = [], None, True
         child, tokens = self.child, self.token
-        for node, last, pending in self.states[state]:
-            below = child.get(node << 8 | byte)
+        for node, last, pending in open_places:
+            below = child[node].get(byte)
             if below is None:
                 continue
             token = tokens[below]
@@ -150,18 +149,23 @@ class Transducer:
                     stable = self.stable[key] = self.pair_is_stable(last, token)
                 if stable:
                     closed = (0, token, (*pending, token))
-            if self.open[below]:
-                follow.append((below, last, pending))
+            if child[below]:  # longer tokens go through this node
+                after.append((below, last, pending))
                 agree = agree and bool(pending)
-        follow.append(closed)
-        agreed = 0
-        if agree:
-            first = follow[0][2]
-            shortest = min([len(p) for _, _, p in follow])
-            while agreed < shortest and all([p[agreed] == first[agreed] for _, _, p in follow]):
-                agreed += 1
-        emitted = follow[0][2][:agreed]
-        target = tuple([(node, last, pending[agreed:]) for node, last, pending in follow]) if agreed else tuple(follow)
+        after.append(closed)
+        if not agree:
+            return tuple(after), ()
+        first, agreed = after[0][2], 0
+        shortest = min([len(p) for _, _, p in after])
+        while agreed < shortest and all([p[agreed] == first[agreed] for _, _, p in after]):
+            agreed += 1
+        if agreed:
+            after = [(node, last, pending[agreed:]) for node, last, pending in after]
+        return tuple(after), first[:agreed]
+
+    def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
+        """Makes the arc of a state: the state it leads to and what is emitted on the way."""
+        target, emitted = self.follow(self.states[state], byte)
         number = self.number.setdefault(target, len(self.states))
         if number == len(self.states):
             self.states.append(target)
@@ -169,18 +173,33 @@ class Transducer:
         return made
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
+        """An arc is made when it is asked for the second time; before that, the open places are followed
+        without keeping states, as most rare pieces end soon after they leave the known states."""
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
         if len(self.arcs) >= self.max_arcs:
             self.reset()
-        state, out, get = 0, [], self.arcs.get
-        for byte in piece:
-            step = get(state << 8 | byte) or self.arc(state, byte)
+        if len(self.asked) >= self.max_arcs:
+            self.asked.clear()
+        state, out, arcs, asked = 0, [], self.arcs, self.asked
+        for at, byte in enumerate(piece):
+            key = state << 8 | byte
+            step = arcs.get(key)
+            if step is None:
+                if key not in asked:
+                    asked.add(key)
+                    places = self.states[state]
+                    for byte in piece[at:]:
+                        places, emitted = self.follow(places, byte)
+                        if emitted:
+                            out.extend(emitted)
+                    return (*out, *places[-1][2])
+                step = self.arc(state, byte)
             state, emitted = step
             if emitted:
                 out.extend(emitted)
-        return tuple(out) + self.states[state][-1][2]
+        return (*out, *self.states[state][-1][2])
 
 
 class Encoder(dict):
