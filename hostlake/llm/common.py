@@ -9,15 +9,18 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import hostlake
 from hostlake.session import shared_folder
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -25,8 +28,22 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BATCH_ROWS = "1024"
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to the executors, once per application: their workers import it."""
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        root = Path(hostlake.__file__).resolve().parent.parent
+        archive = shutil.make_archive(f"{tempfile.mkdtemp(prefix='ship-')}/package", "zip", root, "hostlake")
+        context.addPyFile(archive)
+        _SHIPPED.add(context.applicationId)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings of the operators."""
+    """The package on the executors, and runtime settings of the operators."""
+    ship_package(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
@@ -72,10 +89,6 @@ def text_key(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
 
 
-def with_columns(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
-    return df.withColumns(columns)
-
-
 def arrow_append(
     df: DataFrame,
     fields: Sequence[T.StructField],
@@ -94,7 +107,3 @@ def arrow_append(
 
     return df.mapInArrow(run, schema)
 
-
-def hot_bound(spark: SparkSession, parts: int = 4) -> int:
-    """Partitions of a shuffle, never below what the session asks for."""
-    return max(parts, int(spark.conf.get("spark.sql.shuffle.partitions")))
