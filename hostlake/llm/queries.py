@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm import byte_bpe, decontamination, sharding, token_counts
+from hostlake.llm import byte_bpe, decontamination, line_dedup, sharding, token_counts
 from hostlake.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -53,7 +53,14 @@ def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op10_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs)
+    return found.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op10_perfect_hash": op10_perfect_hash,
     "op1_winnowing": op1_winnowing,
     "op6_sampled_splitters": op6_sampled_splitters,
     "op8_trie_counts": op8_trie_counts,
