@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm import byte_bpe, decontamination, line_dedup, near_dedup, sharding, token_counts
+from hostlake.llm import byte_bpe, decontamination, line_dedup, near_dedup, sharding, substring_dedup, token_counts
 from hostlake.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -64,7 +64,14 @@ def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(docs, size=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = substring_dedup.dedup_substrings(docs)
+    return found.select("doc_id", "n_words", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))
+
+
 QUERIES = {
+    "op9_super_kmers": op9_super_kmers,
     "op3_circulant_minhash": op3_circulant_minhash,
     "op10_perfect_hash": op10_perfect_hash,
     "op1_winnowing": op1_winnowing,
