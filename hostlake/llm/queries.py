@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm import byte_bpe, decontamination, line_dedup, near_dedup, quality, sharding, substring_dedup, token_counts
+from hostlake.llm import byte_bpe, decontamination, line_dedup, lm_scoring, near_dedup, quality, sharding, substring_dedup, token_counts
 from hostlake.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -76,7 +76,13 @@ def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "lang", "n_tokens", "perplexity", "peak_perplexity", "perplexity_limit", "peak_limit", "accepted")
 
 
+def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lm_scoring.score_texts(docs, PIECES).drop("lang")
+
+
 QUERIES = {
+    "op5_subword_lattice": op5_subword_lattice,
     "op7_kneser_ney": op7_kneser_ney,
     "op9_super_kmers": op9_super_kmers,
     "op3_circulant_minhash": op3_circulant_minhash,
