@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm import byte_bpe, decontamination, line_dedup, lm_scoring, near_dedup, quality, sharding, substring_dedup, token_counts
+from hostlake.llm import byte_bpe, cross_polytope, decontamination, line_dedup, lm_scoring, near_dedup, quality, sharding, substring_dedup, token_counts
 from hostlake.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -81,7 +81,12 @@ def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.score_texts(docs, PIECES).drop("lang")
 
 
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op4_cross_polytope": op4_cross_polytope,
     "op5_subword_lattice": op5_subword_lattice,
     "op7_kneser_ney": op7_kneser_ney,
     "op9_super_kmers": op9_super_kmers,
