@@ -76,7 +76,7 @@ class Transducer:
                     self.token.append(NO_TOKEN)
                 node = below
             self.token[node] = rank
-        self.stable: dict[int, bool] = {}
+        self.stable: dict[tuple[int, int], bool] = {}
         self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.reset()
 
@@ -84,7 +84,8 @@ class Transducer:
         start = ((0, NO_TOKEN, ()),)
         self.states = [start]
         self.number = {start: 0}
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.arcs: list[dict[int, tuple]] = [{}]
+        self.made = 0
         self.asked: set[int] = set()
 
     def inner(self, token: int) -> tuple[int, int] | None:
@@ -131,45 +132,48 @@ class Transducer:
             else:
                 j += 1
 
-    def follow(self, open_places: tuple, byte: int) -> tuple[tuple, tuple[int, ...]]:
+    def follow(self, open_places: Iterable[tuple], byte: int) -> tuple[list[tuple], tuple[int, ...]]:
         """The open places after one more byte, and what all of them agree upon."""
         after, closed, agree = [], None, True
-        child, tokens = self.child, self.token
+        child, tokens, known = self.child, self.token, self.stable
         for node, last, pending in open_places:
             below = child[node].get(byte)
             if below is None:
                 continue
-            token = tokens[below]
-            if closed is None and token != NO_TOKEN:
-                key = last << 32 | token
-                stable = self.stable.get(key)
-                if stable is None:
-                    if len(self.stable) >= self.max_arcs:
-                        self.stable.clear()
-                    stable = self.stable[key] = self.pair_is_stable(last, token)
-                if stable:
-                    closed = (0, token, (*pending, token))
+            if closed is None:
+                token = tokens[below]
+                if token != NO_TOKEN:
+                    stable = known.get((last, token))
+                    if stable is None:
+                        if len(known) >= self.max_arcs:
+                            known.clear()
+                        stable = known[last, token] = self.pair_is_stable(last, token)
+                    if stable:
+                        closed = (0, token, (*pending, token))
             if child[below]:  # longer tokens go through this node
                 after.append((below, last, pending))
-                agree = agree and bool(pending)
+                agree = agree and pending
         after.append(closed)
         if not agree:
-            return tuple(after), ()
+            return after, ()
         first, agreed = after[0][2], 0
         shortest = min([len(p) for _, _, p in after])
         while agreed < shortest and all([p[agreed] == first[agreed] for _, _, p in after]):
             agreed += 1
         if agreed:
             after = [(node, last, pending[agreed:]) for node, last, pending in after]
-        return tuple(after), first[:agreed]
+        return after, first[:agreed]
 
-    def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        """Makes the arc of a state: the state it leads to and what is emitted on the way."""
-        target, emitted = self.follow(self.states[state], byte)
+    def arc(self, state: int, byte: int) -> tuple[int, tuple[int, ...], dict]:
+        """Makes the arc of a state: the state it leads to, what is emitted on the way, and the arcs there."""
+        places, emitted = self.follow(self.states[state], byte)
+        target = tuple(places)
         number = self.number.setdefault(target, len(self.states))
         if number == len(self.states):
             self.states.append(target)
-        made = self.arcs[state << 8 | byte] = (number, emitted)
+            self.arcs.append({})
+        made = self.arcs[state][byte] = (number, emitted, self.arcs[number])
+        self.made += 1
         return made
 
     def encode(self, piece: bytes) -> tuple[int, ...]:
@@ -178,17 +182,17 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if len(self.arcs) >= self.max_arcs:
+        if self.made >= self.max_arcs:
             self.reset()
         if len(self.asked) >= self.max_arcs:
             self.asked.clear()
-        state, out, arcs, asked = 0, [], self.arcs, self.asked
+        state, out, arcs = 0, [], self.arcs[0]
         for at, byte in enumerate(piece):
-            key = state << 8 | byte
-            step = arcs.get(key)
+            step = arcs.get(byte)
             if step is None:
-                if key not in asked:
-                    asked.add(key)
+                key = state << 8 | byte
+                if key not in self.asked:
+                    self.asked.add(key)
                     places = self.states[state]
                     for byte in piece[at:]:
                         places, emitted = self.follow(places, byte)
@@ -196,7 +200,7 @@ class Transducer:
                             out.extend(emitted)
                     return (*out, *places[-1][2])
                 step = self.arc(state, byte)
-            state, emitted = step
+            state, emitted, arcs = step
             if emitted:
                 out.extend(emitted)
         return (*out, *self.states[state][-1][2])
@@ -208,19 +212,31 @@ class Encoder(dict):
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_arcs: int = MAX_ARCS):
         super().__init__()
+        self.before: dict[str, tuple[int, ...]] = {}
         self.transducer = Transducer(ranks, max_arcs)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        ids: tuple[int, ...] = ()
-        pieces = self.pieces.findall(chunk)
-        if len(pieces) == 1:
-            ids = self.transducer.encode(chunk.encode())
-        else:
-            ids = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
+        ids = self.before.get(chunk)
+        if ids is None:
+            pieces = self.pieces.findall(chunk)
+            if len(pieces) == 1:
+                ids = self.transducer.encode(chunk.encode())
+            else:
+                ids = ()
+                for piece in pieces:
+                    own = self.get(piece) or self.before.get(piece)
+                    if own is None:
+                        own = self.keep(piece, self.transducer.encode(piece.encode()))
+                    ids += own
+        return self.keep(chunk, ids)
+
+    def keep(self, chunk: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if len(chunk) < 64:
             if len(self) >= MAX_PIECES:
+                # What was in use since the last time stays within reach; the rest goes.
+                self.before = dict(self)
                 self.clear()
             self[chunk] = ids
         return ids
@@ -236,7 +252,7 @@ class StreamDecoder:
     """Text of a stream of tokens; a character cut between two calls comes out with the second."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of = bytes_of
+        self.bytes_of = [bytes_of.get(k, b"") for k in range(max(bytes_of, default=-1) + 1)]
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
