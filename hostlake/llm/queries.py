@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm import byte_bpe, cross_polytope, decontamination, line_dedup, lm_scoring, near_dedup, quality, sharding, substring_dedup, token_counts
+from hostlake.llm import byte_bpe, cross_polytope, decontamination, line_dedup, lm_scoring, near_dedup, oracles, quality, sharding, substring_dedup, token_counts
 from hostlake.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -17,6 +17,12 @@ def sha256(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     coded = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
@@ -29,10 +35,18 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", sha256(F.array_join("items", ",")).alias("items_sha256"), "contaminated")
+    return near_dedup.near_duplicates(docs, size=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return lm_scoring.score_texts(docs, PIECES).drop("lang")
 
 
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,20 +62,15 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
-
-
-def op10_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = line_dedup.dedup_lines(docs)
-    return found.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
+def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_tokens", "perplexity", "peak_perplexity", "perplexity_limit", "peak_limit", "accepted")
 
 
-def op3_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(docs, size=4).select("doc_id", "n_shingles", "component_id", "kept")
+    return token_counts.count_tokens(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
 
 
 def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,32 +79,30 @@ def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
-def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", "n_tokens", "perplexity", "peak_perplexity", "perplexity_limit", "peak_limit", "accepted")
-
-
-def op5_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return lm_scoring.score_texts(docs, PIECES).drop("lang")
-
-
-def op4_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cross_polytope.nearest(table(spark, sf_dir, "embeddings"))
+def op10_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = line_dedup.dedup_lines(docs)
+    return found.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
 QUERIES = {
+    "op1_winnowing": op1_winnowing,
+    "op2_byte_bpe": op2_byte_bpe,
+    "op3_circulant_minhash": op3_circulant_minhash,
     "op4_cross_polytope": op4_cross_polytope,
     "op5_subword_lattice": op5_subword_lattice,
+    "op6_sampled_splitters": op6_sampled_splitters,
     "op7_kneser_ney": op7_kneser_ney,
+    "op8_trie_counts": op8_trie_counts,
     "op9_super_kmers": op9_super_kmers,
-    "op3_circulant_minhash": op3_circulant_minhash,
     "op10_perfect_hash": op10_perfect_hash,
-    "op1_winnowing": op1_winnowing,
-    "op6_sampled_splitters": op6_sampled_splitters,
-    "op8_trie_counts": op8_trie_counts,
-    "op2_byte_bpe": op2_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The others depend on merges, models, hashes or draws that SQL cannot express; tests hold them against
+#: plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op1_winnowing": oracles.OP1,
+    "op3_circulant_minhash": oracles.OP3,
+    "op9_super_kmers": oracles.OP9,
+    "op10_perfect_hash": oracles.OP10,
+}
