@@ -21,7 +21,7 @@ from __future__ import annotations
 import base64
 import codecs
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
@@ -279,7 +279,7 @@ def _once(key: tuple, make):
     return _MADE[key]
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", without: Sequence[str] = ()) -> DataFrame:
     """docs with the token ids of each whole text as an array of int. The ranks are read on the driver and
     broadcast; their size is that of the vocabulary file."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -292,10 +292,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
         values = np.concatenate(found) if found else np.empty(0, np.int32)
         return [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
 
-    return arrow_append(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], compute)
+    return arrow_append(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], compute, without)
 
 
-def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
+def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded", without: Sequence[str] = ()) -> DataFrame:
     """docs with the text of each array of token ids. NULL ids give an empty text; bytes that are no UTF-8
     become U+FFFD."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
@@ -304,7 +304,7 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
         decoder = _once(("decode", ranks_path), lambda: StreamDecoder({r: t for t, r in ranks.value.items()}))
         return [pa.array([decoder.text(x or ()) for x in _lists(batch.column(ids))], pa.string())]
 
-    return arrow_append(docs, [T.StructField(out, T.StringType())], compute)
+    return arrow_append(docs, [T.StructField(out, T.StringType())], compute, without)
 
 
 def _lists(column: pa.Array) -> Iterator[list[int] | None]:

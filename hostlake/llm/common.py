@@ -93,9 +93,11 @@ def arrow_append(
     df: DataFrame,
     fields: Sequence[T.StructField],
     compute: Callable[[pa.RecordBatch], Sequence[pa.Array]],
+    without: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds columns that compute() makes from each Arrow batch; columns of the same name are replaced."""
-    new = {f.name for f in fields}
+    """Adds columns that compute() makes from each Arrow batch; columns of the same name are replaced, those
+    in `without` are not passed on."""
+    new = {f.name for f in fields} | set(without)
     keep = [i for i, f in enumerate(df.schema.fields) if f.name not in new]
     schema = T.StructType([df.schema.fields[i] for i in keep] + list(fields))
     names = [f.name for f in schema.fields]

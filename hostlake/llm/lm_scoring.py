@@ -43,6 +43,8 @@ HELD_WORDS = 300_000
 HEAD_WORDS = 1 << 18
 ROUNDS = 2
 MOST_LANGUAGES = 8
+#: Uses that every piece has besides those found.
+ADDED = 0.01
 
 
 def read_vocabulary(path: str) -> dict[str, float]:
@@ -62,13 +64,13 @@ class Pieces:
         self.first = np.array([p.startswith(BLANK) for p in self.names] + [False, False])
         self.longest = max(map(len, self.names))
         zipf = np.array([vocabulary.get(p, 1e-6) for p in self.names])
-        #: First counts: the vocabulary's order, on a scale on which added half counts are small.
+        #: First counts: the vocabulary's order, on a scale on which the added uses are small.
         self.start = np.r_[1e6 * zipf / zipf.sum(), 1e3, 4e5]
 
     def weights(self, counts: np.ndarray) -> np.ndarray:
         """Log probabilities: initial pieces share out the first step of a word; the other pieces, bytes and
         the end share out every later one."""
-        counts = counts + 0.5
+        counts = counts + ADDED
         logs = np.log(counts) - np.where(self.first, np.log(counts[self.first].sum()), np.log(counts[~self.first].sum()))
         logs[self.byte] -= math.log(256)  # a byte piece is any of the bytes
         return logs
@@ -312,7 +314,7 @@ def score_texts(
     made = ("held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", text)
     names = [c for c in docs.columns if c not in made and c not in ("_train", "_lang")]
     # Rows are numbered as they are written, so that the numbers stay what they are.
-    headed = stored(arrow_append(docs, fields, compute).select(*names, "_train", *(f.name for f in fields), F.monotonically_increasing_id().alias("_row")), "headed")
+    headed = stored(arrow_append(docs, fields, compute, [text]).select(*names, "_train", *(f.name for f in fields), F.monotonically_increasing_id().alias("_row")), "headed")
     cells = [F.col("known").cast("double"), F.col("base"), *(F.col("score")[k] for k in range(languages))]
     tail = (
         headed.select("_row", F.explode("_tail").alias("word"))

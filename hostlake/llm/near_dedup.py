@@ -87,7 +87,7 @@ def _band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def signed(docs: DataFrame, text: str, size: int, bands: int, rows: int) -> DataFrame:
-    """docs with n_shingles, set_id (16 bytes; NULL without shingles) and bands (hashes)."""
+    """docs, without the text, with n_shingles, set_id (16 bytes; NULL without shingles) and bands (hashes)."""
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         hashes, circulant = _tools(bands * rows)
@@ -103,7 +103,7 @@ def signed(docs: DataFrame, text: str, size: int, bands: int, rows: int) -> Data
         return [pa.array(counts, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(codes))]
 
     fields = [T.StructField("n_shingles", T.LongType()), T.StructField("set_id", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    return arrow_append(docs, fields, compute)
+    return arrow_append(docs, fields, compute, [text])
 
 
 def _allowed(a: Column, b: Column, percent: int) -> Column:
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, doc_id: s
     """docs with n_shingles, component_id and kept. Linked: intersection >= percent/100 of the union."""
     names = [c for c in docs.columns if c not in ("n_shingles", "component_id", "kept")]
     narrow = docs.select(F.col(doc_id).cast("bigint").alias("doc"), text_key(F.col(text)).alias("key"), F.col(text).alias("text"))
-    sets = stored(signed(narrow, "text", size, bands, rows).drop("text"), "sets")
+    sets = stored(signed(narrow, "text", size, bands, rows), "sets")
     nodes = stored(
         sets.where(F.col("set_id").isNotNull())
         .groupBy("set_id")

@@ -25,7 +25,7 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
+    coded = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN, without=["text"])
     back = byte_bpe.decode(coded, BYTE_RANKS)
     return back.select(
         "doc_id",
@@ -64,18 +64,18 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    found = quality.classify(docs, table(spark, sf_dir, "labels"))
+    found = quality.classify(docs, table(spark, sf_dir, "labels"), without=["text"])
     return found.select("doc_id", "lang", "n_tokens", "perplexity", "peak_perplexity", "perplexity_limit", "peak_limit", "accepted")
 
 
 def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
+    return token_counts.count_tokens(docs, PIECES, without=["text"]).select("doc_id", "n_pretokens", "n_tokens")
 
 
 def op9_super_kmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = substring_dedup.dedup_substrings(docs)
+    found = substring_dedup.dedup_substrings(docs, without=["text"])
     return found.select("doc_id", "n_words", "n_removed", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 

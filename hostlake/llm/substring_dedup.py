@@ -19,7 +19,7 @@ their own, so their windows repeat. Other columns pass through; those called lik
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -268,29 +268,30 @@ def repeated_runs(docs: DataFrame, width: int, text: str) -> DataFrame:
     return stored(runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs")), "runs")
 
 
-def dedup_substrings(docs: DataFrame, width: int = 35, text: str = "text", out: str = "kept_text") -> DataFrame:
+def dedup_substrings(docs: DataFrame, width: int = 35, text: str = "text", out: str = "kept_text", without: Sequence[str] = ()) -> DataFrame:
     """docs with n_words, n_removed and the kept words joined by one blank."""
     runs = repeated_runs(docs, width, text)
     if runs.count() <= BROADCAST_ROWS:
         runs = F.broadcast(runs)
-    names = [c for c in docs.columns if c not in ("n_words", "n_removed", out)]
-    source = docs.select(*names, text_key(F.col(text)).alias("_text_key"), F.col(text).alias("_text"))
-    joined = source.join(runs, source["_text_key"] == runs["key"], "left").drop("key", "_text_key")
+    runs = runs.select(F.col("key").alias("_runs_key"), F.col("runs").alias("_runs"))
+    names = [c for c in docs.columns if c not in ("n_words", "n_removed") and (c == text or c != out)]
+    source = docs.select(*names, text_key(F.col(text)).alias("_text_key"))
+    joined = source.join(runs, source["_text_key"] == runs["_runs_key"], "left").drop("_runs_key", "_text_key")
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         counts, removed, kept = [], [], []
-        texts, cuts = batch.column("_text").to_pylist(), batch.column("runs").to_pylist()
-        for text, cut in zip(texts, cuts, strict=True):
-            words = (text or "").encode().split()
+        texts, cuts = batch.column(text).to_pylist(), batch.column("_runs").to_pylist()
+        for each, cut in zip(texts, cuts, strict=True):
+            words = (each or "").encode().split()
             counts.append(len(words))
             parts, at = [], 0
-            for each in cut or ():
-                parts += words[at : max(at, each["start"])]
-                at = max(at, each["end"])
+            for run in cut or ():
+                parts += words[at : max(at, run["start"])]
+                at = max(at, run["end"])
             parts += words[at:]
             removed.append(len(words) - len(parts))
             kept.append(b" ".join(parts).decode())
         return [pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())]
 
     fields = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField(out, T.StringType())]
-    return arrow_append(joined, fields, compute).drop("_text", "runs")
+    return arrow_append(joined, fields, compute, ["_runs", *without])

@@ -18,6 +18,7 @@ through, those called like results are replaced.
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import pyarrow as pa
 import sentencepiece
@@ -99,7 +100,7 @@ class Counter(dict):
 _MADE: dict[str, Counter] = {}
 
 
-def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", without: Sequence[str] = ()) -> DataFrame:
     """docs with n_pretokens and n_tokens of each whole text."""
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary))  # as large as the vocabulary
 
@@ -110,4 +111,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
         found = [count(t) if t else (0, 0) for t in batch.column(text).to_pylist()]
         return [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
 
-    return arrow_append(docs, [T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())], compute)
+    return arrow_append(docs, [T.StructField("n_pretokens", T.LongType()), T.StructField("n_tokens", T.LongType())], compute, without)
