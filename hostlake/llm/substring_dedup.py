@@ -104,7 +104,7 @@ class Block:
         _, first, back, times = np.unique(digest[:, 0] ^ mix(digest[:, 1]), return_index=True, return_inverse=True, return_counts=True)
         known = times[back] > 1
         repeats = np.flatnonzero(known)
-        yield -1, self.keys, doc[repeats], start[repeats] - self.ends[doc[repeats]], count[repeats], None, None, None
+        yield int(least[0] % np.uint64(self.buckets)), self.keys, doc[repeats], start[repeats] - self.ends[doc[repeats]], count[repeats], None, None, None
         bucket = (mix(least[first]) % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
@@ -120,7 +120,7 @@ def _packed(values: np.ndarray, kind: str, squeeze) -> bytes:
 
 
 def sent(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """One row for each block and bucket; bucket -1 has the runs a block settles by itself."""
+    """One row for each block and bucket, and one without words for the runs that a block settles by itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -199,16 +199,6 @@ class Parcel:
         )
 
 
-def settled(rows: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                parcel = Parcel(row)
-                yield parcel.output(np.ones(int(parcel.windows.sum()), bool), width)
-
-    return rows.mapInArrow(run, "key binary, start int, end int")
-
-
 def counted(rows: DataFrame, width: int) -> DataFrame:
     """Runs of windows found more than once, from partitions that hold whole buckets. Compressed parcels are
     kept; windows are opened and sorted by ranges of their hash, as many ranges as their number calls for."""
@@ -218,6 +208,10 @@ def counted(rows: DataFrame, width: int) -> DataFrame:
         bucket, parcels = None, []
         for batch in batches:
             for row in batch.to_pylist():
+                if row["ids"] is None:
+                    parcel = Parcel(row)
+                    yield parcel.output(np.ones(int(parcel.windows.sum()), bool), width)
+                    continue
                 if row["bucket"] != bucket and parcels:
                     yield from _count_bucket(parcels, words, width)
                     parcels = []
@@ -262,9 +256,8 @@ def repeated_runs(docs: DataFrame, width: int, text: str) -> DataFrame:
     source = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
-    rows = stored(sent(source, width, buckets), "superkmers")
-    travelling = rows.where(F.col("bucket") >= 0).repartition("bucket").sortWithinPartitions("bucket")
-    runs = settled(rows.where(F.col("bucket") < 0), width).unionByName(counted(travelling, width))
+    travelling = sent(source, width, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    runs = counted(travelling, width)
     return stored(runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs")), "runs")
 
 
