@@ -18,10 +18,11 @@ from hostlake.operators.keyed import (
     upsert_ignore,
     upsert_replace,
     upsert_touch,
+    without_keys,
 )
 from hostlake.plans import gold, silver
 from hostlake.schemas import TABLES, conform, tables_of
-from hostlake.sources.lake import Lake, is_versioned
+from hostlake.sources.lake import KEEP_SECONDS, Lake, is_versioned
 
 # Default retention in seconds per layer; 0 keeps everything.
 RETENTION_SECONDS = {"bronze": 15, "silver": 15, "gold": 600}
@@ -144,14 +145,20 @@ def run_silver(lake: Lake, as_of: AsOf, retention: Mapping[str, int] | None = No
     in_parallel({name: job(name, df) for name, df in silver.refresh_silver(bronze, as_of).items()})
 
 
-def _write_gold(lake: Lake, name: str, df: DataFrame) -> DataFrame:
+def _write_gold(lake: Lake, name: str, df: DataFrame, first_day: date | None = None) -> DataFrame:
+    """Merge new rows into a gold table under its write rule.
+
+    Rows of facts replace those of the same key, insert time included. They are made of rows inserted on
+    ``first_day`` or later, and a fact is inserted after what it is made of, so older periods cannot hold
+    their keys and stay as they are.
+    """
     rows = conform(df, name)
     if is_versioned(name):
         return lake.replace(name, merge_gold(name, lake.read(name), rows))
-    # Facts are functions of their key's silver row, so replacing a row would write the same row;
-    # and they hold each key once by the way they are made.
-    known = lake.read_since(name, _oldest_day(lake, "silver"))
-    return lake.append(name, new_rows(known, rows, TABLES[name].key, unique=True))
+    covered = [p for p in lake.periods(name) if first_day is None or p >= lake.period_of(first_day)]
+    # Facts hold each key once by the way they are made.
+    others = without_keys(lake.read_since(name, first_day), rows, TABLES[name].key)
+    return lake.rewrite(name, others.unionByName(rows), covered)
 
 
 def run_gold(
@@ -181,7 +188,8 @@ def run_gold(
         "gold_fact_network_packet": gold.gold_fact_network_packet(packets, as_of),
         "gold_fact_network_ip": gold.gold_fact_network_ip(transport, ip, packets, as_of),
     }
-    written = in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in first.items()})
+    day = _oldest_day(lake, "silver")
+    written = in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df, day)) for n, df in first.items()})
     dim_interface, dim_socket = written["gold_dim_network_interface"], written["gold_dim_network_socket"]
     foreign = _write_foreign_ip(
         lake, gold.gold_dim_network_foreign_ip(ip, interfaces, dim_interface, as_of), dim_interface
@@ -194,7 +202,9 @@ def run_gold(
             written["gold_fact_network_ip"], dim_interface, dim_socket, as_of, bucket_seconds, salts
         ),
     }
-    in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df)) for n, df in second.items()})
+    # Attributions are made of all packets that gold still holds, not only of those in silver.
+    packet_day = min(lake.periods("gold_fact_network_ip"), default=None)
+    in_parallel({n: (lambda n=n, df=df: _write_gold(lake, n, df, packet_day)) for n, df in second.items()})
     counted = {name: lake.read(name) for name in gold.COUNTED_TABLES}
     technical = {
         "gold_tech_table_count": gold.gold_tech_table_count(counted, as_of),
@@ -234,7 +244,9 @@ def retention_plan(seconds: Mapping[str, int] = RETENTION_SECONDS) -> dict[str,
     return {t.name: seconds[t.layer] for t in TABLES.values() if t.expires and seconds.get(t.layer, 0) > 0}
 
 
-def run_retention(lake: Lake, as_of: datetime, seconds: Mapping[str, int] = RETENTION_SECONDS) -> None:
+def run_retention(
+    lake: Lake, as_of: datetime, seconds: Mapping[str, int] = RETENTION_SECONDS, keep_seconds: float = KEEP_SECONDS
+) -> None:
     """Apply retention to storage.
 
     Versioned tables are rewritten without expired rows. Growing tables lose the partitions
@@ -245,7 +257,9 @@ def run_retention(lake: Lake, as_of: datetime, seconds: Mapping[str, int] = RETE
             lake.drop_before(name, (as_of - timedelta(seconds=keep)).date())
         elif lake.versions(name):
             lake.replace(name, retained(lake.read(name), keep, as_of))
-            lake.drop_old_versions(name)
+    # Lookups and technical tables do not expire, but their old versions go too.
+    for name in TABLES:
+        lake.drop_superseded(name, keep_seconds)
 
 
 def export_gold(tables: Mapping[str, DataFrame], directory: str, file_format: str = "parquet") -> list[str]:

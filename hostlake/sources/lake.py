@@ -1,14 +1,21 @@
 """Tables on storage: Parquet directories under one root, ``root/layer/table/``.
 
-Two kinds. *Versioned* tables (dimensions, lookups, technical tables) are rewritten whole: a write
+Three kinds. *Versioned* tables (dimensions, lookups, technical tables) are rewritten whole: a write
 goes to a new ``v=N`` directory and readers take the newest one that finished, so a path is never
-overwritten while it is read. *Growing* tables (bronze, silver, facts) are appended in partitions by
+overwritten while it is read. *Growing* tables (bronze, silver) are appended in partitions by
 insert time (``period=``, the first day of a day, month or year), so that retention drops whole
-partitions and key checks read recent ones only.
+partitions and key checks read recent ones only. *Replaced* tables (facts) have such partitions too, but
+their rows may be replaced: a write goes to a new ``batch=N`` directory that covers some periods whole, and
+readers take each period from the newest finished batch that covers it.
+
+What newer versions or batches have taken the place of is removed by age, so that a job that began to read
+it can end.
 """
 
 from __future__ import annotations
 
+import time
+from collections.abc import Iterable, Iterator
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,13 +24,21 @@ from pyspark.sql import functions as F
 from hostlake.schemas import TABLES, conform, empty
 
 _PERIOD = "period"
+_BATCH = "batch="
+_VERSION = "v="
 _UNITS = ("day", "month", "year")
+#: How long what was replaced stays readable.
+KEEP_SECONDS = 6 * 3600
 
 
 def is_versioned(name: str) -> bool:
     return name.startswith(("gold_dim_", "gold_file_", "gold_tech_")) or name.endswith("_interface")
 
 
+def is_replaced(name: str) -> bool:
+    return name.startswith("gold_fact_")
+
+
 class Lake:
     def __init__(self, spark: SparkSession, root: str, unit: str = "day"):
         """``unit`` is the length of a partition; take a longer one where a day holds few rows."""
@@ -57,6 +72,36 @@ class Lake:
         fs, marker = self._file_system(f"{path}/_SUCCESS")
         return fs.exists(marker)
 
+    def _finished_before(self, path: str, seconds: float) -> bool:
+        """Whether a directory was finished at least so long ago."""
+        if not self._finished(path):
+            return False
+        fs, marker = self._file_system(f"{path}/_SUCCESS")
+        return time.time() - fs.getFileStatus(marker).getModificationTime() / 1000 >= seconds
+
+    def _numbers(self, name: str, mark: str) -> list[int]:
+        """Numbers of the versions or batches, newest first, finished or not."""
+        return sorted((int(c[len(mark) :]) for c in self._children(self.path(name)) if c.startswith(mark)), reverse=True)
+
+    def _batches(self, name: str) -> Iterator[tuple[int, list[date]]]:
+        """Finished batches, newest first, with the periods they cover."""
+        for number in self._numbers(name, _BATCH):
+            path = f"{self.path(name)}/{_BATCH}{number}"
+            if self._finished(path):
+                yield number, self._periods_in(path)
+
+    def _current(self, name: str) -> dict[date, str]:
+        """Where each period of a replaced table is."""
+        found: dict[date, str] = {}
+        for number, periods in self._batches(name):
+            for period in periods:
+                found.setdefault(period, f"{self.path(name)}/{_BATCH}{number}/{_PERIOD}={period.isoformat()}")
+        return found
+
+    def _periods_in(self, path: str) -> list[date]:
+        mark = f"{_PERIOD}="
+        return sorted(date.fromisoformat(c[len(mark) :]) for c in self._children(path) if c.startswith(mark))
+
     def versions(self, name: str) -> list[int]:
         """Finished versions, oldest first."""
         numbers = [int(c[2:]) for c in self._children(self.path(name)) if c.startswith("v=")]
@@ -65,21 +110,29 @@ class Lake:
     def read(self, name: str) -> DataFrame:
         schema = TABLES[name].schema
         if is_versioned(name):
-            versions = self.versions(name)
-            if not versions:
-                return empty(self.spark, name)
-            return self.spark.read.schema(schema).parquet(f"{self.path(name)}/v={versions[-1]}")
+            finished = (f"{self.path(name)}/{_VERSION}{n}" for n in self._numbers(name, _VERSION))
+            newest = next((path for path in finished if self._finished(path)), None)
+            return empty(self.spark, name) if newest is None else self.spark.read.schema(schema).parquet(newest)
+        if is_replaced(name):
+            return self._read_paths(name, self._current(name).values())
         if not self._finished(self.path(name)):
             return empty(self.spark, name)
         return self.spark.read.schema(schema).parquet(self.path(name)).select(*schema.names)
 
+    def _read_paths(self, name: str, paths: Iterable[str]) -> DataFrame:
+        paths = list(paths)
+        schema = TABLES[name].schema
+        return self.spark.read.schema(schema).parquet(*paths) if paths else empty(self.spark, name)
+
     def periods(self, name: str) -> list[date]:
-        """Partitions a growing table holds, oldest first; a look at directory names only."""
-        mark = f"{_PERIOD}="
-        return sorted(date.fromisoformat(c[len(mark) :]) for c in self._children(self.path(name)) if c.startswith(mark))
+        """Partitions a growing or replaced table holds, oldest first; a look at directory names only."""
+        return sorted(self._current(name)) if is_replaced(name) else self._periods_in(self.path(name))
 
     def read_since(self, name: str, first_day: date | None) -> DataFrame:
-        """Partitions of a growing table that hold ``first_day`` or later days; older ones are not opened."""
+        """Partitions that hold ``first_day`` or later days; older ones are not opened."""
+        if is_replaced(name) and first_day is not None:
+            first = self.period_of(first_day)
+            return self._read_paths(name, [path for period, path in self._current(name).items() if period >= first])
         # An append of no rows leaves a finished table without partitions.
         if first_day is None or not self.periods(name):
             return self.read(name)
@@ -93,34 +146,63 @@ class Lake:
 
         The number follows the newest directory, finished or not, so a failed write is passed over.
         """
-        numbers = [int(c[2:]) for c in self._children(self.path(name)) if c.startswith("v=")]
-        target = f"{self.path(name)}/v={max(numbers, default=0) + 1}"
+        target = f"{self.path(name)}/{_VERSION}{max(self._numbers(name, _VERSION), default=0) + 1}"
         conform(df, name).write.mode("error").parquet(target)
         return self.spark.read.schema(TABLES[name].schema).parquet(target)
 
+    def _write_periods(self, name: str, df: DataFrame, path: str, max_records_per_file: int) -> None:
+        dated = conform(df, name).withColumn(_PERIOD, F.to_date(F.date_trunc(self.unit, "inserted_at")))
+        # Rows of a period are brought together, in as many files as their size calls for.
+        dated = dated.hint("rebalance", _PERIOD)
+        dated.write.mode("append").option("maxRecordsPerFile", max_records_per_file).partitionBy(_PERIOD).parquet(path)
+
     def append(self, name: str, df: DataFrame, max_records_per_file: int = 5_000_000) -> DataFrame:
-        (
-            conform(df, name)
-            .withColumn(_PERIOD, F.to_date(F.date_trunc(self.unit, "inserted_at")))
-            .write.mode("append")
-            .option("maxRecordsPerFile", max_records_per_file)
-            .partitionBy(_PERIOD)
-            .parquet(self.path(name))
-        )
+        if is_replaced(name):
+            return self.rewrite(name, self.read(name).unionByName(conform(df, name)), self.periods(name), max_records_per_file)
+        self._write_periods(name, df, self.path(name), max_records_per_file)
+        return self.read(name)
+
+    def rewrite(self, name: str, df: DataFrame, covered: list[date], max_records_per_file: int = 5_000_000) -> DataFrame:
+        """Write all rows of the covered periods, and of new ones, of a replaced table. A covered period that
+        has lost its rows is an empty directory, made before the batch is finished."""
+        path = f"{self.path(name)}/{_BATCH}{max(self._numbers(name, _BATCH), default=0) + 1}"
+        for period in covered:
+            fs, target = self._file_system(f"{path}/{_PERIOD}={period.isoformat()}")
+            fs.mkdirs(target)
+        self._write_periods(name, df, path, max_records_per_file)
         return self.read(name)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
         return self.replace(name, df) if is_versioned(name) else self.append(name, df)
 
-    def drop_old_versions(self, name: str, keep: int = 2) -> None:
-        """Remove versions no reader can still need."""
-        for version in self.versions(name)[:-keep]:
-            fs, path = self._file_system(f"{self.path(name)}/v={version}")
-            fs.delete(path, True)
+    def _delete(self, path: str) -> None:
+        fs, target = self._file_system(path)
+        fs.delete(target, True)
+
+    def drop_superseded(self, name: str, seconds: float = KEEP_SECONDS) -> None:
+        """Remove versions, or periods of batches, whose successor was finished ``seconds`` ago or earlier. Take
+        more seconds than the longest job lasts."""
+        if is_versioned(name):
+            numbers = self._numbers(name, _VERSION)
+            old = next((k for k, n in enumerate(numbers) if self._finished_before(f"{self.path(name)}/{_VERSION}{n}", seconds)), len(numbers))
+            for number in numbers[old + 1 :]:
+                self._delete(f"{self.path(name)}/{_VERSION}{number}")
+        elif is_replaced(name):
+            settled: set[date] = set()
+            for number, periods in list(self._batches(name)):
+                path = f"{self.path(name)}/{_BATCH}{number}"
+                for period in settled & set(periods):
+                    self._delete(f"{path}/{_PERIOD}={period.isoformat()}")
+                if settled.issuperset(periods) and settled:
+                    self._delete(path)
+                elif self._finished_before(path, seconds):
+                    settled |= set(periods)
 
     def drop_before(self, name: str, first_kept_day: date) -> None:
-        """Remove whole partitions of a growing table that end before ``first_kept_day``."""
-        for period in self.periods(name):
-            if period < self.period_of(first_kept_day):
-                fs, path = self._file_system(f"{self.path(name)}/{_PERIOD}={period.isoformat()}")
-                fs.delete(path, True)
+        """Remove whole partitions of a growing or replaced table that end before ``first_kept_day``."""
+        first = self.period_of(first_kept_day)
+        roots = [f"{self.path(name)}/{_BATCH}{n}" for n, _ in self._batches(name)] if is_replaced(name) else [self.path(name)]
+        for root in roots:
+            for period in self._periods_in(root):
+                if period < first:
+                    self._delete(f"{root}/{_PERIOD}={period.isoformat()}")

@@ -162,7 +162,9 @@ def test_lookups_are_replaced_and_old_versions_stay_readable(spark, tmp_path):
     first = lifecycle.replace_lookups(lake, {"gold_file_host": lookups(spark)[0]}, AS_OF)["gold_file_host"]
     lifecycle.replace_lookups(lake, {"gold_file_host": lookups(spark)[0].limit(1)}, AS_OF)
     assert (first.count(), lake.read("gold_file_host").count()) == (3, 1)
-    lake.drop_old_versions("gold_file_host", keep=1)
+    lake.drop_superseded("gold_file_host")
+    assert lake.versions("gold_file_host") == [1, 2] and first.count() == 3
+    lake.drop_superseded("gold_file_host", seconds=0)
     assert lake.versions("gold_file_host") == [2]
     with pytest.raises(ValueError):
         lifecycle.replace_lookups(lake, {"gold_dim_process": first}, AS_OF)
@@ -194,6 +196,40 @@ def test_refresh_twice_changes_nothing_but_last_seen(spark, sf_dir, tmp_path):
     assert lake.read("gold_tech_chrono").count() == 3
 
 
+def test_facts_are_replaced_over_several_days(spark, tmp_path):
+    """One packet a day on a socket that lives on; all defaults, gold kept."""
+    lake = Lake(spark, str(tmp_path))
+    lifecycle.replace_lookups(lake, dict(zip(("gold_file_host", "gold_file_service"), lookups(spark), strict=True)), T0)
+    day = 86400
+    for d in range(3):
+        now = at(d * day + 100)
+        lifecycle.run_gold(lake, now)  # nothing new: nothing may change
+        silver_rows = {
+            "silver_open_files": open_files(spark, [(1, "IPv4", "10.0.0.1:50->8.8.8.8:443", d * day)]),
+            "silver_process_list": spark.createDataFrame([("p1", 1, at(0), at(d * day), now)], "_id string, pid bigint, lstart timestamp_ntz, created_at timestamp_ntz, inserted_at timestamp_ntz"),
+            "silver_network_packet": spark.createDataFrame([(f"k{d}", at(d * day + 1), now)], "_id string, created_at timestamp_ntz, inserted_at timestamp_ntz"),
+            "silver_network_ip": spark.createDataFrame([(f"k{d}", 4, "10.0.0.1", "8.8.8.8", at(d * day + 1), now)], "_id string, version int, source string, destination string, created_at timestamp_ntz, inserted_at timestamp_ntz"),
+            "silver_network_transport": spark.createDataFrame([(f"k{d}", "tcp", 50, 443, at(d * day + 1), now)], "_id string, protocol string, source int, destination int, created_at timestamp_ntz, inserted_at timestamp_ntz"),
+        }
+        for name, rows in silver_rows.items():
+            lake.append(name, rows.withColumn("inserted_at", F.lit(now)))
+        lake.replace("silver_network_interface", spark.createDataFrame([("eth0", "10.0.0.1/24", now)], "interface string, address string, inserted_at timestamp_ntz"))
+        for later in (now, now + timedelta(seconds=10)):
+            lifecycle.run_gold(lake, later)
+            for name in ("gold_fact_process_network", "gold_fact_network_ip", "gold_fact_network_packet", "gold_fact_process"):
+                rows = lake.read(name)
+                assert rows.count() == rows.select(*TABLES[name].key).distinct().count() == d + 1, name
+                # Rows still made of what silver holds are replaced, insert time included.
+                assert {r.inserted_at for r in rows.collect()} == {later}, name
+        old = lake.read("gold_fact_process_network")
+        lifecycle.run_retention(lake, now, {"bronze": 0, "silver": 0, "gold": 0})
+        assert old.count() == d + 1  # a job that began to read before goes on
+    assert max(lake._numbers("gold_fact_process", "batch=")) > 6
+    lifecycle.run_retention(lake, now, {"bronze": 0, "silver": 0, "gold": 0}, keep_seconds=0)
+    assert len(lake._numbers("gold_fact_process", "batch=")) == 1
+    assert lake.read("gold_fact_process_network").count() == 3
+
+
 def test_refreshes_give_the_columns_of_their_tables(spark, sf_dir):
     silver_tables = silver.refresh_silver(bronze_tables(spark, sf_dir), AS_OF)
     assert set(silver_tables) == {t.name for t in tables_of("silver")}
