@@ -5,23 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The log files read by default.
-LOG_FILES = [
-    "/var/log/alternatives.log",
-    "/var/log/auth.log",
-    "/var/log/user.log",
-    "/var/log/syslog",
-    "/var/log/dmesg",
-    "/var/log/boot.log",
-    "/var/log/cron",
-    "/var/log/daemon.log",
-    "/var/log/apt/term.log",
-    "/var/log/apt/history.log",
-    "/var/log/dpkg.log",
-    "/var/log/faillog",
-    "/var/log/kern.log",
-]
-
 
 def _shape(lines: DataFrame) -> DataFrame:
     return lines.select(
@@ -31,8 +14,9 @@ def _shape(lines: DataFrame) -> DataFrame:
     )
 
 
-def log_lines(spark: SparkSession, paths: list[str] | str | None = None) -> DataFrame:
-    return _shape(spark.read.text(paths if paths is not None else LOG_FILES))
+def log_lines(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """Rows of files in a store that all executors read."""
+    return _shape(spark.read.text(paths))
 
 
 def stream_log_lines(spark: SparkSession, directory: str, max_files: int = 1000) -> DataFrame:

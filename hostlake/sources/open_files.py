@@ -34,14 +34,14 @@ def parse_open_files(listings: DataFrame, created_at: Column, text: str = "listi
         found = F.filter(
             F.slice("lines", 2, F.size("lines")), lambda line: F.startswith(line, F.lit(char))
         )
-        return F.coalesce(F.substring(F.try_element_at(found, F.lit(-1)), 2, 1 << 30), F.lit(missing))
+        return F.coalesce(F.substr(F.try_element_at(found, F.lit(-1)), F.lit(2)), F.lit(missing))
 
     values = {name: label(char, missing) for char, (name, missing) in _FILE_LABELS.items()}
     return lines.select(
         *keep,
-        F.substring(F.col("head")[1], 2, 1 << 30).alias("command"),
+        F.substr(F.col("head")[1], F.lit(2)).alias("command"),
         F.regexp_replace(F.col("head")[0], "p", "").cast("bigint").alias("pid"),
-        F.substring(F.col("head")[2], 2, 1 << 30).cast("int").alias("uid"),
+        F.substr(F.col("head")[2], F.lit(2)).cast("int").alias("uid"),
         F.col("lines")[0].alias("fd"),
         values["type"].alias("type"),
         values["device"].alias("device"),

@@ -123,3 +123,13 @@ def test_interface_addresses(spark):
     )
     got = {(r.interface, r.address): r.netmask for r in interfaces.interface_addresses(devices, now()).collect()}
     assert got == {("eth0", "10.0.0.1"): "/24", ("eth0", "fe80::1"): "/64", ("lo", "127.0.0.1"): None}
+
+
+def test_no_local_folder_off_local_sessions():
+    from types import SimpleNamespace
+
+    from workload.scratch import work_folder
+
+    cluster = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:1"))
+    with pytest.raises(ValueError):
+        work_folder(cluster, "x")
