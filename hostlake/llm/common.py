@@ -73,6 +73,12 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def broadcast_if_small(df: DataFrame, values: str, most: int) -> DataFrame:
+    """A stored table for broadcast if its rows and the elements of an array column are counted to be few."""
+    elements = df.agg(F.coalesce(F.sum(F.size(values) + 1), F.lit(0))).first()[0]
+    return F.broadcast(df) if elements <= most else df
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower case of A-Z only. lower() is the same, and faster, where all characters are ASCII."""
     plain = F.octet_length(text) == F.char_length(text)

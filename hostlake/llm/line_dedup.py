@@ -28,12 +28,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlake.llm.common import let, stored, text_key
+from hostlake.llm.common import broadcast_if_small, let, stored, text_key
 
 BLANKS = " \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 1 << 16
 #: Lines that one copy of a shard serves.
 LINES_PER_COPY = 1 << 21
+#: Documents and lines to drop that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
 LEVELS = 64
@@ -214,8 +215,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id", te
     dropped = stored(
         probe(lines, shards, n_shards).groupBy("doc", "key").agg(F.collect_set("line").alias("_lines")), "dropped"
     ).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_lines")
-    if dropped.count() <= BROADCAST_ROWS:
-        dropped = F.broadcast(dropped)
+    dropped = broadcast_if_small(dropped, "_lines", BROADCAST_ROWS)
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped", out)]
     base = docs.select(*names, _ids(doc_id).alias("_id"), text_key(F.col(text)).alias("_text_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     joined = base.join(dropped, (base["_id"] == dropped["_doc"]) & (base["_text_key"] == dropped["_key"]), "left")

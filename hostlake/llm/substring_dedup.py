@@ -29,13 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlake.llm.common import arrow_append, stored, text_key
+from hostlake.llm.common import arrow_append, broadcast_if_small, stored, text_key
 from hostlake.llm.wordhash import WordHashes, grams, mix
 
 RUN_WORDS = 6
 #: Bytes of text in a block, and text for each bucket.
 BLOCK_BYTES = 12_000_000
 BUCKET_BYTES = 24_000_000
+#: Texts and runs that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 1_000_000
 #: Windows counted at once in a bucket; a larger bucket is counted in several passes over its rows.
 PASS_WINDOWS = 2_000_000
@@ -264,9 +265,7 @@ def repeated_runs(docs: DataFrame, width: int, text: str) -> DataFrame:
 def dedup_substrings(docs: DataFrame, width: int = 35, text: str = "text", out: str = "kept_text", without: Sequence[str] = ()) -> DataFrame:
     """docs with n_words, n_removed and the kept words joined by one blank."""
     runs = repeated_runs(docs, width, text)
-    if runs.count() <= BROADCAST_ROWS:
-        runs = F.broadcast(runs)
-    runs = runs.select(F.col("key").alias("_runs_key"), F.col("runs").alias("_runs"))
+    runs = broadcast_if_small(runs.select(F.col("key").alias("_runs_key"), F.col("runs").alias("_runs")), "_runs", BROADCAST_ROWS)
     names = [c for c in docs.columns if c not in ("n_words", "n_removed") and (c == text or c != out)]
     source = docs.select(*names, text_key(F.col(text)).alias("_text_key"))
     joined = source.join(runs, source["_text_key"] == runs["_runs_key"], "left").drop("_runs_key", "_text_key")
