@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,7 +15,7 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder below the one the cluster names; a local one only in a local session (tests)."""
     shared = shared_folder(spark)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         return tempfile.mkdtemp(prefix=f"hostlake-{purpose}-")
     return f"{shared.rstrip('/')}/hostlake-{purpose}-{uuid.uuid4().hex}"
