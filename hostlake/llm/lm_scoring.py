@@ -37,12 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hostlake.llm.common import arrow_append, stored
+from hostlake.llm.wordhash import STEP
 
 BLANK = "▁"
 HELD_WORDS = 300_000
-HEAD_WORDS = 1 << 18
+HEAD_WORDS = 1 << 17
 ROUNDS = 2
 MOST_LANGUAGES = 8
+SLOT_BITS = 18
 #: Uses that every piece has besides those found.
 ADDED = 0.01
 
@@ -66,6 +68,31 @@ class Pieces:
         zipf = np.array([vocabulary.get(p, 1e-6) for p in self.names])
         #: First counts: the vocabulary's order, on a scale on which the added uses are small.
         self.start = np.r_[1e6 * zipf / zipf.sum(), 1e3, 4e5]
+        # Pieces are looked up by a hash of their letters, many at a time: a few tables of places, each for
+        # those that found theirs taken in the ones before.
+        self.hashes = np.array([self._hash(p) for p in self.names], np.uint64)
+        self.tables: list[tuple[np.uint64, np.ndarray]] = []
+        left = np.arange(len(self.names))
+        while left.size:
+            factor = np.uint64((2 * len(self.tables) + 1) * int(STEP) % (1 << 64))
+            table = np.full(1 << SLOT_BITS, -1, np.int32)
+            slots = (self.hashes[left] * factor) >> np.uint64(64 - SLOT_BITS)
+            table[slots[::-1]] = left[::-1]
+            self.tables.append((factor, table))
+            left = left[table[slots] != left]
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        """Letters from the right, so that hashes grow to the left."""
+        return sum((ord(c) + 1) * pow(int(STEP), k, 1 << 64) for k, c in enumerate(reversed(piece))) % (1 << 64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces with these hashes; -1 where there is none."""
+        out = np.full(hashes.shape, -1, np.int32)
+        for factor, table in self.tables:
+            at = table[(hashes * factor) >> np.uint64(64 - SLOT_BITS)]
+            np.copyto(out, at, where=(at >= 0) & (self.hashes[at] == hashes))
+        return out
 
     def weights(self, counts: np.ndarray) -> np.ndarray:
         """Log probabilities: initial pieces share out the first step of a word; the other pieces, bytes and
@@ -76,7 +103,7 @@ class Pieces:
         return logs
 
 
-def by_length(words: list[str], most: int = 1 << 15) -> Iterator[list[int]]:
+def by_length(words: list[str], most: int = 1 << 16) -> Iterator[list[int]]:
     """Places of words of equal length, in groups of bounded size."""
     order = sorted(range(len(words)), key=lambda k: len(words[k]))
     at = 0
@@ -96,54 +123,76 @@ class Lattice:
         self.pieces = pieces
         size = len(words[0]) + 1
         self.size, self.reach = size, min(pieces.longest, size)
-        get = pieces.number.get
-        flat = []
-        for word in words:
-            word = BLANK + word
-            for end in range(1, size + 1):
-                flat.extend([get(word[start:end], -1) for start in range(end - 1, max(0, end - self.reach) - 1, -1)])
-                flat.extend([-1] * (self.reach - min(end, self.reach)))
-        self.ids = np.array(flat, np.int32).reshape(len(words), size, self.reach)
-        self.bytes = np.array([[len(c.encode("utf-8", "surrogateescape")) for c in w] for w in words], float).reshape(len(words), size - 1)
-
-    def arcs(self, end: int, logs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray | None]]:
-        """(start, weights, piece numbers) of the arcs to a place; no numbers for the letter spelt in bytes.
-        The last row of logs, number -1, is minus infinity: there is no such piece."""
+        letters = np.frombuffer("".join(BLANK + w for w in words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), size)
+        codes = letters.astype(np.uint64) + np.uint64(1)
+        self.ids = np.full((len(words), size, self.reach), -1, np.int32)
+        hashes, power = np.zeros(codes.shape, np.uint64), np.uint64(1)
+        with np.errstate(over="ignore"):
+            for back in range(self.reach):  # pieces of back + 1 letters, at all places at once
+                hashes[:, back:] += codes[:, : size - back] * power
+                self.ids[:, back:, back] = pieces.find(hashes[:, back:])
+                power = power * STEP
+        escaped = (letters >= 0xDC80) & (letters <= 0xDCFF)  # bytes that are no UTF-8
+        self.bytes = np.where(escaped, 1.0, 1.0 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000))[:, 1:]
+
+    def arcs(self, end: int, logs: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(start, words, weights, piece numbers) of the arcs to a place; no numbers for the letter spelt in
+        bytes."""
         for back in range(min(end, self.reach)):
             ids = self.ids[:, end - 1, back]
-            if (ids >= 0).any():
-                yield end - 1 - back, logs[ids], ids
+            rows = np.flatnonzero(ids >= 0)
+            if rows.size:
+                yield end - 1 - back, rows, logs[ids[rows]], ids[rows]
         if end > 1:
-            yield end - 1, self.bytes[:, end - 2, None] * logs[self.pieces.byte], None
+            yield end - 1, np.arange(len(ids)), self.bytes[:, end - 2, None] * logs[self.pieces.byte], None
 
     def forward(self, logs: np.ndarray) -> np.ndarray:
-        alpha = np.full((self.size + 1, self.ids.shape[0], logs.shape[1]), -np.inf)
+        """Log of the summed weight of all paths to each place: places, words, languages."""
+        shape = (self.ids.shape[0], logs.shape[1])
+        alpha = np.full((self.size + 1, *shape), -np.inf)
         alpha[0] = 0
         for end in range(1, self.size + 1):
-            alpha[end] = np.logaddexp.reduce([alpha[start] + weight for start, weight, _ in self.arcs(end, logs)], axis=0)
+            top, terms = np.full(shape, -np.inf), []
+            for start, rows, weight, _ in self.arcs(end, logs):
+                term = alpha[start, rows] + weight
+                top[rows] = np.maximum(top[rows], term)
+                terms.append((rows, term))
+            total = np.zeros(shape)
+            for rows, term in terms:
+                total[rows] += np.exp(term - top[rows])
+            alpha[end] = top + np.log(total)
         return alpha
 
     def expected(self, logs: np.ndarray) -> np.ndarray:
-        """Expected uses of the pieces, for one language."""
-        alpha = self.forward(logs)
-        beta = np.full_like(alpha, -np.inf)
-        beta[-1] = 0
+        """Expected uses of the pieces, for one language. The share of paths that go through a place is handed
+        back along the arcs that lead to it, each taking its part of the place's forward weight."""
+        alpha = self.forward(logs)[:, :, 0]
+        through = np.zeros(alpha.shape)
+        through[-1] = 1
         uses = np.zeros(len(logs))
         for end in range(self.size, 0, -1):
-            for start, weight, ids in self.arcs(end, logs):
-                way = weight + beta[end]
-                share = np.exp(alpha[start] + way - alpha[-1])[:, 0]
+            for start, rows, weight, ids in self.arcs(end, logs):
+                share = np.exp(alpha[start, rows] + weight[:, 0] - alpha[end, rows]) * through[end, rows]
+                through[start, rows] += share
                 if ids is None:
                     uses[self.pieces.byte] += float((share * self.bytes[:, end - 2]).sum())
                 else:
-                    uses += np.bincount(ids % len(logs), share, len(logs))
-                beta[start] = np.logaddexp(beta[start], way)
+                    np.add.at(uses, ids, share)
         uses[self.pieces.stop] += self.ids.shape[0]
-        return uses[:-1]
+        return uses
 
 
-def no_piece(logs: np.ndarray) -> np.ndarray:
-    return np.vstack([logs, np.full((1, logs.shape[1]), -np.inf)])
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 15) -> Iterator[pa.Table]:
+    """Batches put together: lattices of many words of one length cost little more than those of a few."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks()
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -183,12 +232,12 @@ def piece_weights(counts: DataFrame, pieces: Pieces, languages: int, rounds: int
     context = counts.sparkSession.sparkContext
     logs = np.repeat(pieces.weights(pieces.start)[:, None], languages, axis=1)
     for _ in range(rounds):
-        current = context.broadcast((pieces, no_piece(logs)))
+        current = context.broadcast((pieces, logs))
 
         def run(batches: Iterator[pa.RecordBatch], current=current) -> Iterator[pa.RecordBatch]:
             own, weights = current.value
-            uses = np.zeros((len(weights) - 1, languages))
-            for batch in batches:
+            uses = np.zeros((len(weights), languages))
+            for batch in gathered(batches):
                 c = np.array(batch.column(1).to_pylist(), np.int64).reshape(-1, languages)
                 words = [w.decode("utf-8", "surrogateescape") for w in batch.column(0).to_pylist()]
                 for k in range(languages):
@@ -233,12 +282,12 @@ class Mixture:
 
 def token_scores(counts: DataFrame, pieces: Pieces, logs: np.ndarray, mixture: Mixture) -> DataFrame:
     """(word, n, known, base, score): log10 probabilities of each distinct word, score for each language."""
-    model = counts.sparkSession.sparkContext.broadcast((pieces, no_piece(logs), mixture))
+    model = counts.sparkSession.sparkContext.broadcast((pieces, logs, mixture))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights, mix = model.value
         languages = weights.shape[1]
-        for batch in batches:
+        for batch in gathered(batches):
             c = np.array(batch.column(1).to_pylist(), float).reshape(-1, languages)
             c = np.concatenate([c, c.sum(axis=1, keepdims=True)], axis=1)
             words = [w.decode("utf-8", "surrogateescape") for w in batch.column(0).to_pylist()]
@@ -248,7 +297,7 @@ def token_scores(counts: DataFrame, pieces: Pieces, logs: np.ndarray, mixture: M
             scores = mix.log10(c, spelt)
             ends = np.arange(len(words) + 1, dtype=np.int32) * languages
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(c[:, -1] > 0), pa.array(np.log10((c[:, -1] + 0.5) / mix.floor)), pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))],
+                [batch.column(0).chunk(0), batch.column(2).chunk(0), pa.array(c[:, -1] > 0), pa.array(np.log10((c[:, -1] + 0.5) / mix.floor)), pa.ListArray.from_arrays(pa.array(ends), pa.array(scores.ravel()))],
                 ["word", "n", "known", "base", "score"],
             )
 
@@ -268,6 +317,18 @@ def learn(docs: DataFrame, counts: DataFrame, languages: int) -> Mixture:
     return Mixture(sums, ends)
 
 
+def frequent(scores: DataFrame, most: int, languages: int) -> tuple[dict[bytes, int], np.ndarray]:
+    """The words of at least 2^k occurrences, with the least k for which they are no more than `most`: their
+    rows in a table of known, base and scores."""
+    counts = scores.agg(*[F.count(F.when(F.col("n") >= (1 << k), 1)).alias(f"k{k}") for k in range(62)]).first()
+    k = next((k for k in range(62) if counts[k] <= most), 62)
+    head = scores.where(F.col("n") >= (1 << k)).select("word", "known", "base", "score").toArrow()
+    words = {w: k for k, w in enumerate(head.column("word").to_pylist())}
+    rows = [head.column(c).to_numpy().astype(float)[:, None] for c in ("known", "base")]
+    each = np.array(head.column("score").combine_chunks().flatten().to_numpy(zero_copy_only=False)).reshape(-1, languages)
+    return words, np.concatenate([*rows, each], axis=1)
+
+
 def with_language(docs: DataFrame, lang: str, most: int = MOST_LANGUAGES) -> tuple[DataFrame, int]:
     """docs with _lang: the number of a frequent training language, or the last number for all else."""
     if lang not in docs.columns:
@@ -290,11 +351,7 @@ def score_texts(
     pieces = Pieces(read_vocabulary(vocabulary_path))
     logs = piece_weights(counts, pieces, languages)
     scores = stored(token_scores(counts, pieces, logs, mixture), "scores")
-    rows = scores.orderBy(F.desc("n"), "word").limit(head_words).select("word", "known", "base", "score").collect()  # head_words rows at most
-    words = {bytes(r[0]): k for k, r in enumerate(rows)}
-    table = np.array([(r[1], r[2], *r[3]) for r in rows], float).reshape(-1, 2 + languages)
-    shared = docs.sparkSession.sparkContext.broadcast((words, table))
-    del rows
+    shared = docs.sparkSession.sparkContext.broadcast(frequent(scores, head_words, languages))
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         get, values = shared.value[0].get, shared.value[1]
