@@ -9,6 +9,7 @@ Rules that hold for every operator here:
 
 from __future__ import annotations
 
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,7 +59,7 @@ def work_path(spark: SparkSession, purpose: str) -> str:
     """A new folder below the shared one. Only a local session may go without a shared folder."""
     shared = shared_folder(spark)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local["):
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         shared = tempfile.mkdtemp(prefix="llm-")
         spark.conf.set("spark.checkpoint.dir", shared)
