@@ -256,7 +256,7 @@ def test_lattice_sums_all_segmentations():
 
     for word in ("abba", "aaé", "b"):
         want = np.logaddexp.reduce(paths(lm_scoring.BLANK + word))
-        assert abs(lm_scoring.Lattice(pieces, [word]).forward(lm_scoring.no_piece(logs))[-1, 0, 0] - want) < 1e-9
+        assert abs(lm_scoring.Lattice(pieces, [word]).forward(logs)[-1, 0, 0] - want) < 1e-9
     # All words together have probability 1: spelling goes on until it stops.
     assert abs(np.exp(logs[pieces.first]).sum() - 1) < 1e-9
     rest = logs[~pieces.first, 0].copy()
@@ -338,9 +338,21 @@ def test_kneser_ney_probabilities_sum_to_one(engine):
     rows = [tuple(r) for r in quality.fit(docs, labels).collect()]
     letters = quality.Letters(rows, quality.ORDER)
     outcomes = ["a", "b", "c", quality.END, "?"]
-    for context in ("", quality.START, "ab", "ba", quality.START + "ca"):
-        for k in range(len(letters.langs)):
-            assert abs(sum(10 ** letters.letter(context + x)[k] for x in outcomes) - 1) < 0.02
+    for context in (quality.START, quality.START + "ab", quality.START + "bba", quality.START + "ca"):
+        logs = [letters.letter_logs(quality._letters(context + x), np.arange(len(context) + 1) + 1)[-1] for x in outcomes]
+        assert np.allclose(sum(10**x for x in logs), 1, atol=0.02)
+
+
+def test_long_texts_are_scored_like_short_ones(engine, monkeypatch):
+    docs = frame(engine, [(k, "aba abba baab aa bab cab") for k in range(9)])
+    labels = engine.createDataFrame([(k, 1, 0) for k in range(9)], "doc_id long, quality int, toxic int")
+    rows = [tuple(r) for r in quality.fit(docs, labels).collect()]
+    text = "abba clown baab cabba bbbbb aaaaa clown " * 9
+    whole = quality.Scorer(quality.Letters(rows, quality.ORDER)).documents([text, "", "abba"])
+    monkeypatch.setattr(quality, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(quality, "MAX_WORDS", 6)
+    parts = quality.Scorer(quality.Letters(rows, quality.ORDER)).documents([text, "", "abba"])
+    assert np.allclose(np.array(whole), np.array(parts))
 
 
 def test_empty_tables(engine, rows):
