@@ -25,6 +25,7 @@ from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain, islice
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -36,7 +37,7 @@ from hostlake.llm.common import arrow_append
 SPACE = "\t-\r \x85\xa0  -     　"
 NO_TOKEN = -1
 MAX_ARCS = 1 << 18
-MAX_PIECES = 1 << 17
+MAX_PIECES = 3 << 16
 #: Texts above this many characters are cut into pieces one by one instead of in a list.
 LONG_TEXT = 1 << 20
 
@@ -213,6 +214,7 @@ class Encoder(dict):
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_arcs: int = MAX_ARCS):
         super().__init__()
         self.before: dict[str, tuple[int, ...]] = {}
+        self.stops = {".", ","} if pattern == public_tokenizers.PATTERN else set()
         self.transducer = Transducer(ranks, max_arcs)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
@@ -220,7 +222,14 @@ class Encoder(dict):
     def __missing__(self, chunk: str) -> tuple[int, ...]:
         ids = self.before.get(chunk)
         if ids is None:
-            pieces = self.pieces.findall(chunk)
+            # Most chunks are a word, with or without a stop: the pattern need not be asked.
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if self.stops and word.isalpha():
+                pieces = (chunk,)
+            elif word[-1:] in self.stops and word[:-1].isalpha():
+                pieces = (chunk[:-1], chunk[-1])
+            else:
+                pieces = self.pieces.findall(chunk)
             if len(pieces) == 1:
                 ids = self.transducer.encode(chunk.encode())
             else:
