@@ -31,7 +31,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hostlake.llm.common import arrow_append
+from hostlake.llm.common import arrow_append, worker_state
 
 #: White space of Unicode, as the splitting pattern understands it.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -277,24 +277,13 @@ class StreamDecoder:
         return "".join(out)
 
 
-_MADE: dict[tuple, object] = {}
-
-
-def _once(key: tuple, make):
-    """One encoder or decoder for each Python worker, not for each task."""
-    if key not in _MADE:
-        _MADE.clear() if len(_MADE) > 3 else None
-        _MADE[key] = make()
-    return _MADE[key]
-
-
 def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", without: Sequence[str] = ()) -> DataFrame:
     """docs with the token ids of each whole text as an array of int. The ranks are read on the driver and
     broadcast; their size is that of the vocabulary file."""
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        encoder = _once(("encode", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
+        encoder = worker_state(("encode", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
         found = [encoder.encode(t) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
         ends = np.zeros(len(found) + 1, np.int32)
         np.cumsum([len(f) for f in found], out=ends[1:])
@@ -310,7 +299,7 @@ def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decod
     ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        decoder = _once(("decode", ranks_path), lambda: StreamDecoder({r: t for t, r in ranks.value.items()}))
+        decoder = worker_state(("decode", ranks_path), lambda: StreamDecoder({r: t for t, r in ranks.value.items()}))
         return [pa.array([decoder.text(x or ()) for x in _lists(batch.column(ids))], pa.string())]
 
     return arrow_append(docs, [T.StructField(out, T.StringType())], compute, without)

@@ -74,6 +74,18 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[tuple, object] = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What a Python worker keeps between tasks, such as tables and caches. Workers are used again by later
+    stages, so only the state asked for last is kept."""
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def broadcast_if_small(df: DataFrame, values: str, most: int) -> DataFrame:
     """A stored table for broadcast if its rows and the elements of an array column are counted to be few."""
     elements = df.agg(F.coalesce(F.sum(F.size(values) + 1), F.lit(0))).first()[0]

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlake.llm.common import arrow_append, stored, text_key
+from hostlake.llm.common import arrow_append, stored, text_key, worker_state
 from hostlake.llm.components import connected_components
 from hostlake.llm.wordhash import STEP, WordHashes, grams, mix
 
@@ -75,13 +75,8 @@ def shingle_set(hashes: WordHashes, text: str | None, size: int) -> np.ndarray:
     return np.unique(grams(codes, min(size, codes.size)) + np.uint64(min(size, codes.size)))
 
 
-_STATE: dict = {}
-
-
 def _tools(coordinates: int) -> tuple[WordHashes, Circulant]:
-    if coordinates not in _STATE:
-        _STATE[coordinates] = (WordHashes(), Circulant(coordinates))
-    return _STATE[coordinates]
+    return worker_state(("near", coordinates), lambda: (WordHashes(), Circulant(coordinates)))
 
 
 def _band_hashes(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:

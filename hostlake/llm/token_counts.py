@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hostlake.llm.common import arrow_append
+from hostlake.llm.common import arrow_append, worker_state
 
 BLANK = "▁"
 MAX_NODES = 300_000
@@ -97,17 +97,12 @@ class Counter(dict):
         return len(words), sum(map(self.__getitem__, words))
 
 
-_MADE: dict[str, Counter] = {}
-
-
 def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", without: Sequence[str] = ()) -> DataFrame:
     """docs with n_pretokens and n_tokens of each whole text."""
     pieces = docs.sparkSession.sparkContext.broadcast(read_pieces(vocabulary))  # as large as the vocabulary
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
-        if vocabulary not in _MADE:
-            _MADE[vocabulary] = Counter(CountingTrie(*pieces.value))
-        count = _MADE[vocabulary].document
+        count = worker_state(("count", vocabulary), lambda: Counter(CountingTrie(*pieces.value))).document
         found = [count(t) if t else (0, 0) for t in batch.column(text).to_pylist()]
         return [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)]
 
