@@ -3,15 +3,18 @@
 A unit vector is turned by a pseudo-rotation - three rounds of random signs and a fast Hadamard transform -
 and belongs to the nearest of the signed axes. `parts` such hashes make a bucket, and several tables of
 buckets with rotations of their own make the index. A query looks into the buckets of its likeliest axes in
-each table (multiprobe); what it finds there is ranked by cosine in double precision.
+each table (multiprobe); what it finds there is ranked by cosine. Cosines are computed in extended precision and
+rounded to double, pair by pair, so a pair has one score wherever it meets, and equal cosines are ties.
 
 Fitting chooses parts, tables and probes: the cheapest setting that finds at least `recall` of the true
 neighbours within a sample of bounded bytes. Every vector is indexed.
 
-Scale. Equal vectors are one class that keeps its `top` + 1 smallest ids, which is all that any query can be
-told of them. Index and probes are packed into blocks of a bucket of at most BLOCK rows; pairs of blocks are
-compared as matrices, and each pair passes on a few rows per query. A crowded bucket is several blocks, so no
-task holds a bucket whole, and nothing is capped.
+Scale. Vectors of exactly one direction are one class that keeps its `top` + 1 smallest ids, which is all that any
+query can be told of them. Index and probes are packed into blocks of a bucket of at most BLOCK rows; pairs of blocks
+are compared as matrices, and what may be among the best of a block but for rounding is scored. Each pair of blocks
+passes on the first `top` + SPARE classes per query by (score, smallest id). That is the final order, and all but the
+query's own class have an answer, so what is left out cannot be one. A crowded bucket is several blocks, so no task
+holds a bucket whole.
 
 Rows: vectors that are NULL, empty or zero, or hold NULL or non-finite components, and vectors of NULL id
 take no part. Vectors are compared with those of their own length only. A repeated row of one id and vector is
@@ -34,6 +37,9 @@ SAMPLE_BYTES = 8_000_000
 SAMPLE_ROWS = 8_000
 SAMPLE_QUERIES = 100
 SPARE = 3
+#: More than what matrix products of unit vectors are off by, and pairs scored together.
+MARGIN = 1e-10
+PAIRS = 4096
 #: (parts, tables, probes) in order of the share of all vectors they look at.
 SETTINGS = [(2, 16, 16), (2, 16, 64), (2, 16, 256), *((1, 8, p) for p in (4, 6, 8, 12, 16, 24, 32, 48, 64, 96)), (1, 1, 1 << 30)]
 
@@ -100,6 +106,43 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def directions(rows: DataFrame) -> DataFrame:
+    """(id, vec) with each vector replaced by the one that stands for its direction."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, ends = batch.column(1).values.to_numpy(), batch.column(1).offsets.to_numpy()
+            lengths = np.diff(ends)
+            out = raw.copy()
+            for dim in np.unique(lengths):
+                at = ends[:-1][lengths == dim][:, None] + np.arange(dim)
+                out[at] = direction(raw[at])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(batch.column(1).offsets, pa.array(out))], ["id", "vec"])
+
+    return rows.mapInArrow(run, "id bigint, vec array<double>")
+
+
+def direction(x: np.ndarray) -> np.ndarray:
+    """Each row without what all its components have in common: they are odd numbers times powers of two, and lose
+    the greatest common divisor and a power of two. Exact but for components below 1e-300 of the largest."""
+    fraction, exponent = np.frexp(x)
+    whole = np.ldexp(fraction, 53).astype(np.int64)
+    zeros = np.where(whole == 0, 1, whole & -whole)
+    odd = whole // zeros
+    odd //= np.gcd.reduce(odd, axis=1)[:, None]
+    # The exponent of an odd number of its own size, less that of the largest component.
+    exponent = exponent - 53 + np.round(np.log2(zeros)).astype(np.int64)
+    size = np.where(odd == 0, -(1 << 20), exponent + np.frexp(odd.astype(float))[1])
+    return np.ldexp(odd.astype(float), np.maximum(exponent - size.max(axis=1, keepdims=True), -2000).astype(np.int32)) + 0.0
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine of each row of a and its row of b."""
+    a, b = a.astype(np.longdouble), b.astype(np.longdouble)
+    dot = (a * b).sum(axis=1)
+    return (dot / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64) + 0.0
+
+
 def fitted(vectors: DataFrame, top: int, recall: float) -> tuple[int, int, int]:
     """The cheapest setting that reaches the recall within a sample (the smallest hashes)."""
     dim = vectors.agg(F.max(F.size("vec"))).first()[0]
@@ -133,12 +176,12 @@ def _valid(vec: Column) -> Column:
 
 
 def hashed(rows: DataFrame, setting: tuple[int, int, int], probing: bool) -> DataFrame:
-    """(part, bucket, id, vec): the buckets of vectors, or those that queries probe. part: length and table."""
+    """(part, bucket, id, least, vec): the buckets of vectors, or those that queries probe. part: length and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made: dict[int, Index] = {}
         for batch in batches:
-            ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+            ids, least, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
             raw, ends = vectors.values.to_numpy(), vectors.offsets.to_numpy()
             lengths = np.diff(ends)
             for dim in np.unique(lengths):
@@ -152,14 +195,15 @@ def hashed(rows: DataFrame, setting: tuple[int, int, int], probing: bool) -> Dat
                         at = np.repeat(own[k : k + 256], buckets.shape[1])
                         n = len(at)
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(n, dim * 4096 + table, np.int32)), pa.array(buckets.ravel()), pa.array(ids[at]), vectors.take(pa.array(at))], ["part", "bucket", "id", "vec"]
+                            [pa.array(np.full(n, dim * 4096 + table, np.int32)), pa.array(buckets.ravel()), pa.array(ids[at]), pa.array(least[at]), vectors.take(pa.array(at))],
+                            ["part", "bucket", "id", "least", "vec"],
                         )
 
-    return rows.mapInArrow(run, "part int, bucket bigint, id bigint, vec array<double>")
+    return rows.mapInArrow(run, "part int, bucket bigint, id bigint, least bigint, vec array<double>")
 
 
 def blocks(rows: DataFrame, name: str) -> DataFrame:
-    """(part, bucket, ids, vectors): the rows of a bucket, BLOCK at most together, as packed numbers."""
+    """(part, bucket, ids, vectors): the rows of a bucket, BLOCK at most together, as packed numbers. ids: id, least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, vectors = None, [], []
@@ -172,8 +216,9 @@ def blocks(rows: DataFrame, name: str) -> DataFrame:
 
         held = 0
         for batch in batches:
-            part, bucket, own = (batch.column(k).to_numpy() for k in range(3))
-            raw, ends = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_numpy()
+            part, bucket, own, least = (batch.column(k).to_numpy() for k in range(4))
+            own = np.stack([own, least], axis=1)
+            raw, ends = batch.column(4).values.to_numpy(), batch.column(4).offsets.to_numpy()
             cuts = np.flatnonzero(np.r_[True, (part[1:] != part[:-1]) | (bucket[1:] != bucket[:-1])])
             for start, end in zip(cuts, [*cuts[1:], len(part)], strict=True):
                 for lo in range(start, end, BLOCK):
@@ -194,27 +239,31 @@ def blocks(rows: DataFrame, name: str) -> DataFrame:
 
 
 def best_of_blocks(pairs: DataFrame, most: int) -> DataFrame:
-    """(q, c, near): for each query of a pair of blocks its nearest vectors in the other one."""
+    """(q, c, least, score): for each query of a pair of blocks its first vectors of the other one by (score, least)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                q, c = np.frombuffer(row["q_ids"], np.int64), np.frombuffer(row["c_ids"], np.int64)
-                near = unit(np.frombuffer(row["q_vectors"]).reshape(q.size, -1)) @ unit(np.frombuffer(row["c_vectors"]).reshape(c.size, -1)).T
-                k = min(most, c.size)
-                chosen = np.argpartition(-near, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(q, k)), pa.array(c[chosen].ravel()), pa.array(np.take_along_axis(near, chosen, axis=1).ravel())], ["q", "c", "near"]
-                )
+                q = np.frombuffer(row["q_ids"], np.int64).reshape(-1, 2)[:, 0]
+                c, least = np.frombuffer(row["c_ids"], np.int64).reshape(-1, 2).T
+                x, y = np.frombuffer(row["q_vectors"]).reshape(q.size, -1), np.frombuffer(row["c_vectors"]).reshape(c.size, -1)
+                at, found, scores = best_of_block(x, y, c, least, most)
+                yield pa.RecordBatch.from_arrays([pa.array(q[at]), pa.array(c[found]), pa.array(least[found]), pa.array(scores)], ["q", "c", "least", "score"])
 
-    return pairs.mapInArrow(run, "q bigint, c bigint, near double")
+    return pairs.mapInArrow(run, "q bigint, c bigint, least bigint, score double")
 
 
-def _cosine(a: Column, b: Column) -> Column:
-    def dot(x: Column, y: Column) -> Column:
-        return F.aggregate(F.zip_with(x, y, lambda s, t: s * t), F.lit(0.0), lambda total, v: total + v)
-
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+def best_of_block(x: np.ndarray, y: np.ndarray, c: np.ndarray, least: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of x, rows of y and scores: the first `most` of y for each row of x."""
+    near = unit(x) @ unit(y).T
+    k = min(most, len(y))
+    last = np.partition(near, len(y) - k, axis=1)[:, len(y) - k]
+    at, found = np.nonzero(near >= last[:, None] - MARGIN)
+    scores = np.concatenate([cosines(x[at[i : i + PAIRS]], y[found[i : i + PAIRS]]) for i in range(0, len(at), PAIRS)])
+    order = np.lexsort((c[found], least[found], -scores, at))
+    at, found, scores = at[order], found[order], scores[order]
+    first = np.arange(len(at)) - np.searchsorted(at, at) < k
+    return at[first], found[first], scores[first]
 
 
 def nearest(vectors: DataFrame, every: int = 50, top: int = 5, recall: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -223,30 +272,27 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, recall: float = 0
     rows = rows.where(F.col("id").isNotNull() & _valid(F.col("vec")))
     # -0.0 and 0.0 are one number.
     rows = rows.select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
+    queries = directions(rows.where(F.pmod(F.col("id"), F.lit(every)) == 0)).distinct()
     alike = Window.partitionBy("vec").orderBy("id")
     classes = stored(
-        rows.withColumn("place", F.dense_rank().over(alike))
+        directions(rows).withColumn("place", F.dense_rank().over(alike))
         .where(F.col("place") <= top + 1)
         .groupBy("vec")
         .agg(F.array_sort(F.collect_set("id")).alias("ids"))
         .withColumn("class", F.monotonically_increasing_id()),
         "classes",
     )
-    asked = stored(
-        rows.where(F.pmod(F.col("id"), F.lit(every)) == 0).distinct().join(classes.select("vec", "class"), "vec").select("id", "class"), "asked"
-    )
+    asked = stored(queries.join(classes.select("vec", "class"), "vec").select("id", "class"), "asked")
     setting = fitted(classes, top, recall)
-    wanted = classes.join(asked.select("class").distinct(), "class", "left_semi").select("class", "vec")
-    index = blocks(hashed(classes.select("class", "vec"), setting, probing=False), "c")
+    known = classes.select("class", F.col("ids")[0].alias("least"), "vec")
+    wanted = known.join(asked.select("class").distinct(), "class", "left_semi").select("class", "least", "vec")
+    index = blocks(hashed(known, setting, probing=False), "c")
     probes = blocks(hashed(wanted, setting, probing=True), "q")
-    found = best_of_blocks(probes.join(index, ["part", "bucket"]), top + SPARE)
-    ranked = Window.partitionBy("q").orderBy(F.desc("near"), "c")
-    best = stored(
-        found.groupBy("q", "c").agg(F.max("near").alias("near")).withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top + SPARE).select("q", "c"), "best"
-    )
-    q = classes.select(F.col("class").alias("q"), F.col("vec").alias("q_vec"))
-    c = classes.select(F.col("class").alias("c"), F.col("vec").alias("c_vec"), "ids")
-    scored = best.join(q, "q").join(c, "c").select("q", "ids", _cosine(F.col("q_vec"), F.col("c_vec")).alias("score"))
+    # Blocks of several tables hold the same pairs, with the same scores.
+    found = best_of_blocks(probes.join(index, ["part", "bucket"]), top + SPARE).groupBy("q", "c", "least").agg(F.max("score").alias("score"))
+    ranked = Window.partitionBy("q").orderBy(F.desc("score"), "least", "c")
+    best = stored(found.withColumn("place", F.row_number().over(ranked)).where(F.col("place") <= top + SPARE).select("q", "c", "score"), "best")
+    scored = best.join(classes.select(F.col("class").alias("c"), "ids"), "c").select("q", "ids", "score")
     answers = asked.join(scored, asked["class"] == scored["q"]).select(F.col("id").alias("query_id"), F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return answers.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -304,6 +304,44 @@ def test_nearest(engine):
     assert [v for v, _ in found[1000]] == [5, 1001, 1002, 1003, 1004]
 
 
+@pytest.mark.parametrize("kind", ["scaled", "one-hot", "binary"])
+def test_nearest_ties_go_to_smaller_ids(engine, monkeypatch, kind):
+    monkeypatch.setattr(cross_polytope, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    n, base = 120, rng.integers(-9, 10, 16) / 4
+    if kind == "scaled":
+        x = np.array([base * 2.0 ** rng.integers(-40, 40) * rng.integers(1, 1000) for _ in range(n)])
+    elif kind == "one-hot":
+        x = np.array([np.eye(16)[k % 16] * (k + 1) for k in range(n)])
+    else:
+        x = np.array([rng.permutation([1.0] * 8 + [0.0] * 8) for _ in range(n)])
+    ids = rng.permutation(n) + 30
+    rows = [(int(i), [float(v) for v in vec]) for i, vec in zip(ids, x, strict=True)]
+    monkeypatch.setattr(cross_polytope, "SETTINGS", cross_polytope.SETTINGS[-1:])
+    found = collections.defaultdict(list)
+    df = engine.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for r in cross_polytope.nearest(df, every=5).orderBy("query_id", "rank").collect():
+        found[r["query_id"]].append((r["vec_id"], r["score"]))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(unit @ unit.T, 12) + 0.0
+    for k in np.flatnonzero(ids % 5 == 0):
+        want = sorted(((-near[k, j], int(ids[j])) for j in range(n) if j != k))[:5]
+        assert [(v, pytest.approx(-s, abs=1e-12)) for s, v in want] == found[ids[k]]
+
+
+def test_direction_is_what_parallel_vectors_share():
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((50, 7)).astype(np.float32).astype(float)
+    x[:, 3] = 0
+    for factor in (1.0, 3.0, 2.0**-60, 7 * 2.0**70, 1e5):
+        assert (cross_polytope.direction(x * factor) == cross_polytope.direction(x)).all()
+    assert not (cross_polytope.direction(-x) == cross_polytope.direction(x)).all(axis=1).any()
+    far = np.array([[1e-310, 3.0, -1e300], [5e-324, 0.0, 0.0]])
+    assert (cross_polytope.direction(far)[1] == [0.5, 0, 0]).all() and np.isfinite(cross_polytope.direction(far)).all()
+    unit, own = cross_polytope.unit(x), cross_polytope.direction(x)
+    assert np.allclose(cross_polytope.cosines(own[:-1], own[1:]), (unit[:-1] * unit[1:]).sum(axis=1), atol=1e-14)
+
+
 def test_nearest_of_nothing(engine):
     empty = engine.createDataFrame([], "vec_id long, embedding array<double>")
     assert cross_polytope.nearest(empty).count() == 0
