@@ -6,8 +6,9 @@ buckets with rotations of their own make the index. A query looks into the bucke
 each table (multiprobe); what it finds there is ranked by cosine. Cosines are computed in extended precision and
 rounded to double, pair by pair, so a pair has one score wherever it meets, and equal cosines are ties.
 
-Fitting chooses parts, tables and probes: the cheapest setting that finds at least `recall` of the true
-neighbours within a sample of bounded bytes. Every vector is indexed.
+Fitting chooses parts, tables and probes for each length of vectors: the cheapest setting that finds at least
+`recall` of the true neighbours within a sample of bounded bytes. Lengths of at most FEW vectors are searched whole.
+Every vector is indexed.
 
 Scale. Vectors of exactly one direction are one class that keeps its `top` + 1 smallest ids, which is all that any
 query can be told of them. Index and probes are packed into blocks of a bucket of at most BLOCK rows; pairs of blocks
@@ -36,6 +37,7 @@ BLOCK = 512
 SAMPLE_BYTES = 8_000_000
 SAMPLE_ROWS = 8_000
 SAMPLE_QUERIES = 100
+FEW = 200
 SPARE = 3
 #: More than what matrix products of unit vectors are off by, and pairs scored together.
 MARGIN = 1e-10
@@ -143,15 +145,19 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (dot / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64) + 0.0
 
 
-def fitted(vectors: DataFrame, top: int, recall: float) -> tuple[int, int, int]:
-    """The cheapest setting that reaches the recall within a sample (the smallest hashes)."""
-    dim = vectors.agg(F.max(F.size("vec"))).first()[0]
-    if not dim:
-        return SETTINGS[-1]
-    rows = max(200, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
-    sample = [r[0] for r in vectors.orderBy(F.xxhash64("vec"), "vec").limit(rows).select("vec").collect()]
-    size = max(map(len, sample), key=[len(v) for v in sample].count)
-    x = unit(np.array([v for v in sample if len(v) == size]))
+def fitted(vectors: DataFrame, top: int, recall: float) -> dict[int, tuple[int, int, int]]:
+    """The setting of each length of more than FEW vectors, from a sample of its own (the smallest hashes)."""
+    size = F.size("vec").alias("size")
+    settings = {}
+    for dim in [r["size"] for r in vectors.groupBy(size).count().where(F.col("count") > FEW).collect()]:
+        rows = max(FEW, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
+        sample = vectors.where(size == dim).orderBy(F.xxhash64("vec"), "vec").limit(rows).select("vec").collect()
+        settings[dim] = cheapest(unit(np.array([r["vec"] for r in sample])), top, recall)
+    return settings
+
+
+def cheapest(x: np.ndarray, top: int, recall: float) -> tuple[int, int, int]:
+    """The first setting that reaches the recall among rows of one length."""
     queries = x[:SAMPLE_QUERIES]
     scores = queries @ x.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
@@ -159,7 +165,7 @@ def fitted(vectors: DataFrame, top: int, recall: float) -> tuple[int, int, int]:
     if not true.size:
         return SETTINGS[-1]
     for setting in SETTINGS[:-1]:
-        index = Index(size, *setting)
+        index = Index(x.shape[1], *setting)
         found = np.zeros(true.shape, bool)
         for table in range(index.tables):
             own = index.buckets(x, table)
@@ -175,7 +181,7 @@ def _valid(vec: Column) -> Column:
     return F.coalesce(finite & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def hashed(rows: DataFrame, setting: tuple[int, int, int], probing: bool) -> DataFrame:
+def hashed(rows: DataFrame, settings: dict[int, tuple[int, int, int]], probing: bool) -> DataFrame:
     """(part, bucket, id, least, vec): the buckets of vectors, or those that queries probe. part: length and table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +193,7 @@ def hashed(rows: DataFrame, setting: tuple[int, int, int], probing: bool) -> Dat
             for dim in np.unique(lengths):
                 own = np.flatnonzero(lengths == dim)
                 x = raw[ends[own][:, None] + np.arange(dim)]
-                index = made.setdefault(int(dim), Index(int(dim), *setting))
+                index = made.setdefault(int(dim), Index(int(dim), *settings.get(int(dim), SETTINGS[-1])))
                 for table in range(index.tables):
                     for k in range(0, len(own), 256):
                         part = x[k : k + 256]
@@ -283,11 +289,11 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, recall: float = 0
         "classes",
     )
     asked = stored(queries.join(classes.select("vec", "class"), "vec").select("id", "class"), "asked")
-    setting = fitted(classes, top, recall)
+    settings = fitted(classes, top, recall)
     known = classes.select("class", F.col("ids")[0].alias("least"), "vec")
     wanted = known.join(asked.select("class").distinct(), "class", "left_semi").select("class", "least", "vec")
-    index = blocks(hashed(known, setting, probing=False), "c")
-    probes = blocks(hashed(wanted, setting, probing=True), "q")
+    index = blocks(hashed(known, settings, probing=False), "c")
+    probes = blocks(hashed(wanted, settings, probing=True), "q")
     # Blocks of several tables hold the same pairs, with the same scores.
     found = best_of_blocks(probes.join(index, ["part", "bucket"]), top + SPARE).groupBy("q", "c", "least").agg(F.max("score").alias("score"))
     ranked = Window.partitionBy("q").orderBy(F.desc("score"), "least", "c")

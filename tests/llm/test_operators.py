@@ -342,6 +342,18 @@ def test_direction_is_what_parallel_vectors_share():
     assert np.allclose(cross_polytope.cosines(own[:-1], own[1:]), (unit[:-1] * unit[1:]).sum(axis=1), atol=1e-14)
 
 
+def test_nearest_finds_the_longer_vectors_of_a_mixed_table(engine):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(300, 64))
+    rows = [(1000 + k, v.tolist()) for k, v in enumerate(rng.normal(size=(800, 2)))] + [(k, v.tolist()) for k, v in enumerate(x)]
+    found = collections.defaultdict(set)
+    for r in cross_polytope.nearest(engine.createDataFrame(rows, "vec_id long, embedding array<double>"), every=10).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    unit = cross_polytope.unit(x)
+    want = {k: set(np.argsort(-(unit @ unit[k]))[1:6].tolist()) for k in range(0, 300, 10)}
+    assert sum(len(found[k] & v) for k, v in want.items()) >= 0.9 * 150
+
+
 def test_nearest_of_nothing(engine):
     empty = engine.createDataFrame([], "vec_id long, embedding array<double>")
     assert cross_polytope.nearest(empty).count() == 0
