@@ -65,7 +65,8 @@ def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     found = quality.classify(docs, table(spark, sf_dir, "labels"), without=["text"])
-    return found.select("doc_id", "lang", "n_tokens", "perplexity", "peak_perplexity", "perplexity_limit", "peak_limit", "accepted")
+    measures = [*quality.PERPLEXITIES, *quality.PERPLEXITIES.values()]
+    return found.select("doc_id", "lang", "n_tokens", "n_distinct", *measures, "accepted")
 
 
 def op8_trie_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

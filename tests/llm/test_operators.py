@@ -369,6 +369,30 @@ def test_quality(engine, sf_dir):
     assert judged[0, 0][0] < 0.4
 
 
+def test_quality_rejects_labelled_toxic_and_low_texts(engine, sf_dir):
+    folder = sf_dir.replace("sf0.001", "sf0.01")
+    labels = engine.read.parquet(f"{folder}/labels.parquet")
+    found = quality.classify(engine.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "lang"), labels, without=["text"])
+    rejected = lambda which: found.join(labels.where(which), "doc_id").agg(F.avg((~F.col("accepted")).cast("int"))).first()[0]
+    assert rejected("toxic = 1") > 0.85
+    assert rejected("quality = 0") > 0.85
+    assert rejected("quality = 1 and toxic = 0") < 0.03
+
+
+def test_quality_judges_short_texts_by_short_texts_and_all_kinds_of_words(engine, monkeypatch):
+    monkeypatch.setattr(quality, "CLASS_DOCS", 20)
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("bdlmn") + rng.choice("aeiou") for _ in range(3))
+    foul = lambda: "".join(rng.choice("qzxwvkj") for _ in range(8))
+    short = [" ".join(word() for _ in range(12)) for _ in range(60)]
+    long = [" ".join(foul() if k % 3 == 0 else word() for k in range(200)) for _ in range(60)]
+    asked = [f"{short[0]} {foul()}", f"{short[1]} xq", f"{short[2]} {foul()[:4]}-9{foul()[:4]}", short[3], long[3]]
+    docs = engine.createDataFrame([(k, t, "en") for k, t in enumerate(short + long + asked)], "doc_id long, text string, lang string")
+    labels = engine.createDataFrame([(k, 1, 0) for k in range(120)], "doc_id long, quality int, toxic int")
+    found = dict(quality.classify(docs, labels).select("doc_id", "accepted").collect())
+    assert [found[120 + k] for k in range(5)] == [False, False, False, True, True]
+
+
 def test_quality_of_awkward_rows(engine, rows):
     docs = odd(rows)
     ids = [d for d, _ in docs if d is not None]
