@@ -6,7 +6,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hostlake.llm import byte_bpe, cross_polytope, decontamination, line_dedup, lm_scoring, near_dedup, oracles, quality, sharding, substring_dedup, token_counts
+from hostlake.llm import (
+    byte_bpe,
+    conversation_repair,
+    cross_polytope,
+    decontamination,
+    line_dedup,
+    lm_scoring,
+    near_dedup,
+    oracles,
+    piece_bpe,
+    quality,
+    sharding,
+    substring_dedup,
+    token_counts,
+)
 from hostlake.llm.common import table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -86,6 +100,22 @@ def op10_perfect_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", sha256(F.col("kept_text")).alias("kept_sha256"))
 
 
+def op11_bidirectional_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return conversation_repair.report(conversation_repair.damage(turns), turns)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.code(docs, PIECES, without=["text"]).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha256(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        sha256(F.col("decoded")).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -97,6 +127,8 @@ QUERIES = {
     "op8_trie_counts": op8_trie_counts,
     "op9_super_kmers": op9_super_kmers,
     "op10_perfect_hash": op10_perfect_hash,
+    "op11_bidirectional_repair": op11_bidirectional_repair,
+    "op12_sentencepiece": op12_sentencepiece,
 }
 
 #: The others depend on merges, models, hashes or draws that SQL cannot express; tests hold them against
