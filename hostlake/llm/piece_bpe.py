@@ -222,12 +222,12 @@ def code(docs: DataFrame, model_path: str, text: str = "text", end: bool = True,
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = _codec(model.value, end)
-        texts = batch.column(text)
-        found = [codec.encode(t) if t else np.array(codec.end, np.int32) for t in map(pa.Scalar.as_py, texts)]
+        texts = batch.column(text).to_pylist()
+        found = [codec.encode(t) if t else np.array(codec.end, np.int32) for t in texts]
         made = [_ids(found), pa.array(map(codec.decode, found), pa.string())]
         if check:
             right = codec.checked()
-            made.append(pa.array([right or codec.agrees(t.as_py()) for t in texts], pa.bool_()))
+            made.append(pa.array([right or codec.agrees(t) for t in texts], pa.bool_()))
         codec.fresh.clear()
         return made
 
@@ -240,7 +240,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", end: bool = Tru
 
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         codec = _codec(model.value, end)
-        found = [codec.encode(t) if t else np.array(codec.end, np.int32) for t in map(pa.Scalar.as_py, batch.column(text))]
+        found = [codec.encode(t) if t else np.array(codec.end, np.int32) for t in batch.column(text).to_pylist()]
         codec.fresh.clear()
         return [_ids(found)]
 
