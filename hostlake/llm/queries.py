@@ -11,6 +11,7 @@ from hostlake.llm import (
     conversation_repair,
     cross_polytope,
     decontamination,
+    hard_negatives,
     line_dedup,
     lm_scoring,
     near_dedup,
@@ -116,6 +117,12 @@ def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_zone_map_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.col("label").cast("bigint")
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label))
+    return hard_negatives.mine(rows, F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     "op1_winnowing": op1_winnowing,
     "op2_byte_bpe": op2_byte_bpe,
@@ -129,6 +136,7 @@ QUERIES = {
     "op10_perfect_hash": op10_perfect_hash,
     "op11_bidirectional_repair": op11_bidirectional_repair,
     "op12_sentencepiece": op12_sentencepiece,
+    "op13_zone_map_negatives": op13_zone_map_negatives,
 }
 
 #: The others depend on merges, models, hashes or draws that SQL cannot express; tests hold them against
@@ -138,4 +146,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_circulant_minhash": oracles.OP3,
     "op9_super_kmers": oracles.OP9,
     "op10_perfect_hash": oracles.OP10,
+    "op13_zone_map_negatives": oracles.OP13,
 }
