@@ -23,7 +23,7 @@ from hostlake.session import build_session
 from hostlake.sources import open_files
 from hostlake.sources.lake import Lake
 from workload.fixtures import AS_OF, fixture
-from workload.queries import BUCKET_SECONDS, fill_bronze
+from workload.queries import fill_bronze
 
 
 def main() -> None:
@@ -48,7 +48,7 @@ def main() -> None:
         warm = Lake(spark, f"{folder}/warm", unit="year")
         fill_bronze(warm, spark, str(smallest))
         lifecycle.run_silver(warm, AS_OF)
-        lifecycle.run_gold(warm, AS_OF, bucket_seconds=BUCKET_SECONDS)
+        lifecycle.run_gold(warm, AS_OF)
     fill_bronze(lake, spark, sf_dir)
     for raw in ("frames", "raw_open_files"):
         fixture(spark, sf_dir, raw).repartition(int(cpus)).write.parquet(f"{folder}/{raw}")
@@ -69,7 +69,6 @@ def main() -> None:
             stored("gold_dim_network_interface"),
             stored("gold_dim_network_socket"),
             AS_OF,
-            bucket_seconds=BUCKET_SECONDS,
             **options,
         )
         run(owned.groupBy("pid", "send").agg(F.count(F.lit(1)).alias("packets")))
@@ -91,7 +90,7 @@ def main() -> None:
     # The refreshes come first: what they write is what the single queries read.
     jobs = {
         "silver_refresh": lambda: lifecycle.run_silver(lake, AS_OF),
-        "gold_refresh": lambda: lifecycle.run_gold(lake, AS_OF, bucket_seconds=BUCKET_SECONDS),
+        "gold_refresh": lambda: lifecycle.run_gold(lake, AS_OF),
         "packet_labels": labels,
         "process_network": process_network,
         "process_network_salted": lambda: process_network(salts=4),

@@ -1,20 +1,29 @@
 """Equality + interval join for many points and many intervals.
 
-Time is cut into buckets of fixed width. An interval is clipped to every bucket it touches, a
-point lies in exactly one bucket, so (keys, bucket) is an equi-join key and no pair is found twice.
-The bucket also spreads a key that holds a large part of all points over the time range.
+Time is cut into blocks of a base width and of its multiples by powers of two. The intervals of an owner are made
+disjoint, and each is covered by the least set of aligned blocks: two blocks a width at most, and the base
+blocks at its ends, which are clipped. So pieces grow with the logarithm of an interval's length, whatever the base
+width is. A point lies in one block of each width, and probes one a width up to that of the longest interval;
+(keys, width, block) is an equi-join key. A point is in one piece of an owner at most, so no pair is found twice.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hostlake.functions.clock import epoch_micros
 
-_BUCKET, _FROM, _TO = "_bucket", "_from", "_to"
+_BUCKET, _LEVEL, _FROM, _TO = "_bucket", "_level", "_from", "_to"
+# Aligned blocks of the base blocks _lo.._hi-1, from narrow to wide: on each level what sticks out at either side.
+_BLOCKS = """
+filter(flatten(transform(sequence(0, length(bin(_hi - _lo)) - 1), k -> array(
+  named_struct('level', k, 'block', -shiftright(-_lo, k), 'out', -shiftright(-_lo, k) < shiftright(_hi, k) AND shiftright(-_lo, k) & 1 = 1),
+  named_struct('level', k, 'block', shiftright(_hi, k) - 1, 'out', -shiftright(-_lo, k) < shiftright(_hi, k) AND shiftright(_hi, k) & 1 = 1)
+))), b -> b.out)"""
 
 
 def _bucket_of(micros: str, width: int) -> Column:
@@ -22,36 +31,46 @@ def _bucket_of(micros: str, width: int) -> Column:
     return F.expr(f"({micros} - pmod({micros}, {width}L)) div {width}L")
 
 
-def disjoint_pieces(
-    intervals: DataFrame, keys: Sequence[str], owner: Sequence[str], start: str, end: str, bucket_seconds: int
-) -> DataFrame:
-    """Intervals clipped to buckets and merged, per owner and keys, to pieces that do not overlap.
+def disjoint(intervals: DataFrame, group: Sequence[str], width: int) -> DataFrame:
+    """Intervals (_s, _e) without what earlier ones of their group hold.
 
-    A point then meets at most one piece of an owner, so the join needs no distinct afterwards.
-    Pieces that end together are reduced before the shuffle; what is left to order in one group are
-    the different ends inside a single bucket.
+    How far earlier ones reach is known bucket by bucket of their starts first, then within a bucket, so no task
+    has to order more than the different starts of a group inside one bucket.
     """
-    width = bucket_seconds * 1_000_000
-    group = [*owner, *keys, _BUCKET]
-    micros = intervals.select(
-        *owner, *keys, epoch_micros(F.col(start)).alias("_s"), epoch_micros(F.col(end)).alias("_e")
-    ).where(F.col("_s") <= F.col("_e"))
-    buckets = F.sequence(_bucket_of("_s", width), _bucket_of("_e", width))
-    clipped = micros.withColumn(_BUCKET, F.explode(buckets)).select(
-        *group,
-        F.greatest(F.col("_s"), F.col(_BUCKET) * width).alias(_FROM),
-        F.least(F.col("_e"), (F.col(_BUCKET) + 1) * width).alias(_TO),
-    )
-    reduced = clipped.groupBy(*group, _TO).agg(F.min(_FROM).alias(_FROM))
-    in_order = Window.partitionBy(*group).orderBy(_FROM, _TO)
-    reach = F.max(_TO).over(in_order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(reach.isNull() | (F.col(_FROM) > reach), 1).otherwise(0)
-    numbered = reduced.withColumn("_open", opens).withColumn("_piece", F.sum("_open").over(in_order))
-    return (
-        numbered.groupBy(*group, "_piece")
-        .agg(F.min(_FROM).alias(_FROM), F.max(_TO).alias(_TO))
-        .drop("_piece")
-    )
+    longest = intervals.groupBy(*group, "_s").agg(F.max("_e").alias("_e")).withColumn(_BUCKET, _bucket_of("_s", width))
+    earlier = Window.partitionBy(*group).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    reaches = longest.groupBy(*group, _BUCKET).agg(F.max("_e").alias("_top")).withColumn("_before", F.max("_top").over(earlier)).drop("_top")
+    within = Window.partitionBy(*group, _BUCKET).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    # Greatest passes NULL over: the first interval of all has nothing before it.
+    earlier_reach = reaches.select(*[F.col(c).alias(f"_of_{c}") for c in (*group, _BUCKET)], "_before")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*group, _BUCKET)])
+    reached = longest.join(earlier_reach, same).withColumn("_reach", F.greatest("_before", F.max("_e").over(within)))
+    start = F.greatest("_s", F.col("_reach") + 1)
+    return reached.select(*group, start.alias("_s"), "_e").where("_s <= _e")
+
+
+def disjoint_pieces(intervals: DataFrame, keys: Sequence[str], owner: Sequence[str], start: str, end: str, base_seconds: int) -> DataFrame:
+    """(owner, keys, _level, _block, _from, _to): pieces that do not overlap, each within its block."""
+    width = base_seconds * 1_000_000
+    group = [*owner, *keys]
+    micros = intervals.select(*group, epoch_micros(F.col(start)).alias("_s"), epoch_micros(F.col(end)).alias("_e")).where("_s <= _e")
+    ends = disjoint(micros, group, width).withColumns({"_lo": _bucket_of("_s", width) + 1, "_hi": _bucket_of("_e", width)})
+    first, last = "array(named_struct('level', 0, 'block', _lo - 1, 'out', true))", "array(named_struct('level', 0, 'block', _hi, 'out', true))"
+    blocks = F.expr(f"CASE WHEN _hi < _lo THEN {first} WHEN _hi = _lo THEN concat({first}, {last}) ELSE concat({first}, {_BLOCKS}, {last}) END")
+    pieces = ends.withColumn("_b", F.explode(blocks)).select(*group, "_s", "_e", F.col("_b.level").alias(_LEVEL), F.col("_b.block").alias("_block"))
+    block_start = F.expr(f"shiftleft(_block, {_LEVEL}) * {width}L")
+    block_end = F.expr(f"shiftleft(_block + 1, {_LEVEL}) * {width}L - 1")
+    return pieces.select(*group, _LEVEL, "_block", F.greatest("_s", block_start).alias(_FROM), F.least("_e", block_end).alias(_TO))
+
+
+def probes(points: DataFrame, intervals: DataFrame, point: str, start: str, end: str, base_seconds: int) -> DataFrame:
+    """Points with `_at` and their block of each width that pieces of these intervals can have."""
+    width = base_seconds * 1_000_000
+    longest = intervals.select((epoch_micros(F.col(end)) - epoch_micros(F.col(start))).alias("_length")).agg(F.max("_length")).scalar()
+    blocks = F.floor(F.greatest(F.coalesce(longest, F.lit(0)) / width, F.lit(1)))
+    widest = F.length(F.bin(blocks)) - 1
+    located = points.withColumn("_at", epoch_micros(F.col(point))).withColumn(_BUCKET, _bucket_of("_at", width))
+    return located.withColumn(_LEVEL, F.explode(F.sequence(F.lit(0), widest))).withColumn("_block", F.expr(f"shiftright({_BUCKET}, {_LEVEL})")).drop(_BUCKET)
 
 
 def hot_keys(points: DataFrame, keys: Sequence[str], share: float) -> DataFrame:
@@ -75,16 +94,14 @@ def interval_join(
 ) -> DataFrame:
     """Points joined with the owners that have an interval over them; both bounds count.
 
-    Result: all point columns plus the owner columns, each (point, owner) once. With ``salts`` > 1
-    the points of keys above ``hot_share`` are spread over that many parts and the pieces of those
-    keys are repeated for each part; other keys are left alone.
+    Result: all point columns plus the owner columns, each (point, owner) once. ``bucket_seconds`` is the base
+    width. Hot keys spread over their blocks, and Spark splits what is left of them (AQE); with ``salts`` > 1 the
+    points of keys above ``hot_share`` are also spread over that many parts and the pieces of those keys are repeated
+    for each part.
     """
-    width = bucket_seconds * 1_000_000
     pieces = disjoint_pieces(intervals, keys, owner, start, end, bucket_seconds)
-    located = points.withColumn("_at", epoch_micros(F.col(point))).withColumn(
-        _BUCKET, _bucket_of("_at", width)
-    )
-    on = [*keys, _BUCKET]
+    located = probes(points, intervals, point, start, end, bucket_seconds)
+    on = [*keys, _LEVEL, "_block"]
     if salts > 1:
         # At most 1/hot_share rows, which is what makes this broadcast safe at any size of the data.
         hot = F.broadcast(hot_keys(points, keys, hot_share).withColumn("_hot", F.lit(True)))

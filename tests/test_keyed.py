@@ -100,10 +100,39 @@ def test_pieces_do_not_overlap(spark):
         [(o, k, T0 + timedelta(seconds=a), T0 + timedelta(seconds=b)) for o, k, a, b in spans],
         "pid int, port int, first timestamp_ntz, last timestamp_ntz",
     )
-    pieces = sorted(tuple(r) for r in disjoint_pieces(s, ["port"], ["pid"], "first", "last", 20).collect())
-    for one, two in zip(pieces, pieces[1:]):
-        if one[:3] == two[:3]:
-            assert one[4] < two[3]
+    pieces = disjoint_pieces(s, ["port"], ["pid"], "first", "last", 20).collect()
+    spots = sorted((r.pid, r.port, r._from, r._to) for r in pieces)
+    for one, two in zip(spots, spots[1:]):
+        if one[:2] == two[:2]:
+            assert one[3] < two[2]
+    micros = 20 * 1_000_000
+    assert all(r._block << r._level == r._from // micros >> r._level << r._level and r._from // micros >> r._level == r._to // micros >> r._level for r in pieces)
+
+
+@pytest.mark.parametrize("base", [1, 3600])
+def test_pieces_grow_with_the_logarithm_of_the_interval(spark, base):
+    """Whatever an interval's length, also from before 1970."""
+    lengths = [0, 1, base, 3 * base, 1000 * base, 86400 * 400 * base // 3600 + 7]
+    s = spark.createDataFrame(
+        [(i, 1, T0 - timedelta(days=days), T0 - timedelta(days=days) + timedelta(seconds=n)) for days in (0, 20_000) for i, n in enumerate(lengths)],
+        "pid int, port int, first timestamp_ntz, last timestamp_ntz",
+    ).withColumn("pid", F.monotonically_increasing_id())
+    pieces = disjoint_pieces(s, ["port"], ["pid"], "first", "last", base)
+    rows = pieces.groupBy("pid").agg(F.count("*").alias("n"), F.sum(F.col("_to") - F.col("_from") + 1).alias("held")).join(s, "pid").collect()
+    assert len(rows) == 2 * len(lengths)
+    for r in rows:
+        seconds = (r["last"] - r["first"]).total_seconds()
+        assert r["held"] == seconds * 1_000_000 + 1
+        assert r["n"] <= 2 + 2 * max(1, (int(seconds) // base + 1).bit_length())
+
+
+def test_a_process_with_many_intervals_is_cut_by_their_starts(spark):
+    """Nested, repeated and touching intervals of one process on one port."""
+    spans = [(1, 1, T0 + timedelta(seconds=a), T0 + timedelta(seconds=b)) for k in range(300) for a, b in ((k, k), (k, k + 1), (10 * k, 10 * k + 500), (0, 5))]
+    s = spark.createDataFrame(spans, "pid int, port int, first timestamp_ntz, last timestamp_ntz")
+    p = spark.createDataFrame([(t, 1, T0 + timedelta(seconds=t)) for t in range(-5, 4000, 3)], "id int, port int, at timestamp_ntz")
+    joined = interval_join(p, s, ["port"], ["pid"], "at", "first", "last", bucket_seconds=7)
+    assert sorted(r.id for r in joined.collect()) == [t for t in range(-5, 4000, 3) if 0 <= t <= 3490]
 
 
 def test_hot_keys_are_few(spark):

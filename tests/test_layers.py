@@ -10,7 +10,7 @@ from hostlake.plans import gold, lifecycle, silver
 from hostlake.schemas import TABLES, conform, empty, tables_of
 from hostlake.sources.lake import Lake
 from workload.fixtures import AS_OF, fixture
-from workload.queries import BUCKET_SECONDS, bronze_tables, fill_bronze
+from workload.queries import bronze_tables, fill_bronze
 
 T0 = datetime(2024, 1, 1)
 
@@ -177,12 +177,12 @@ def test_refresh_twice_changes_nothing_but_last_seen(spark, sf_dir, tmp_path):
     def counts():
         return {t.name: lake.read(t.name).count() for t in TABLES.values()}
 
-    lifecycle.final_flush(lake, AS_OF, str(tmp_path / "export"), bucket_seconds=BUCKET_SECONDS)
+    lifecycle.final_flush(lake, AS_OF, str(tmp_path / "export"))
     first = counts()
     assert all(first.values()), [n for n, c in first.items() if c == 0]
     fill_bronze(lake, spark, sf_dir)  # the same snapshots once more
     lifecycle.run_silver(lake, AS_OF)
-    lifecycle.run_gold(lake, AS_OF, bucket_seconds=BUCKET_SECONDS)
+    lifecycle.run_gold(lake, AS_OF)
     second = counts()
     # The host dimension now also sees the facts of the first run.
     assert second.pop("gold_dim_network_host") >= first.pop("gold_dim_network_host")

@@ -381,10 +381,6 @@ def silver_network_arp(spark, d):
 
 # ---- gold ---------------------------------------------------------------------------------------
 
-# Fixture times lie years apart at whole days, so the interval join gets buckets of a month.
-BUCKET_SECONDS = 30 * 86400
-
-
 class Layers:
     """Silver tables of the fixtures, each built when asked for."""
 
@@ -432,7 +428,6 @@ class Layers:
         return gold.gold_dim_network_foreign_ip(self.ip(), self.interfaces(), self.dim_interface(), AS_OF)
 
     def process_network(self, **options) -> DataFrame:
-        options.setdefault("bucket_seconds", BUCKET_SECONDS)
         return gold.gold_fact_process_network(
             self.fact_ip(), self.dim_interface(), self.dim_socket(), AS_OF, **options
         )
@@ -615,7 +610,7 @@ def _flushed(spark, d, file_format: str) -> str:
     folder = work_folder(spark, "flush")
     lake = Lake(spark, f"{folder}/lake", unit="year")
     fill_bronze(lake, spark, d)
-    lifecycle.final_flush(lake, AS_OF, f"{folder}/export", file_format, bucket_seconds=BUCKET_SECONDS)
+    lifecycle.final_flush(lake, AS_OF, f"{folder}/export", file_format)
     return f"{folder}/export"
 
 
