@@ -246,40 +246,41 @@ def layer_labels(wide: DataFrame) -> dict[str, Column]:
     }
 
 
-def protocol_rows(wide: DataFrame, protocol: str) -> DataFrame:
-    """Rows of one protocol table, keyed by ``packet_id``, without surrogate id and insert time."""
-    packet = F.col("_id").alias("packet_id")
+def protocol_rows(wide: DataFrame, protocol: str, *carried: str) -> DataFrame:
+    """Rows of one protocol table, keyed by ``packet_id``, without surrogate id and insert time; with the ``carried``
+    columns of the wide rows."""
+    packet = [F.col("_id").alias("packet_id"), *carried]
     if protocol == "dns_header":
-        return wide.where(F.col("dns").isNotNull()).select(packet, "dns.header.*")
-    if protocol == "dns_query":
-        return wide.where(F.col("dns").isNotNull()).select(
-            packet, F.posexplode("dns.questions").alias("_pos", "q")
-        ).select("packet_id", "_pos", "q.*")
-    if protocol == "dns_response":
-        return wide.where(F.col("dns").isNotNull()).select(
-            packet, F.posexplode("dns.records").alias("_pos", "r")
-        ).select("packet_id", "_pos", "r.*")
+        return wide.where(F.col("dns").isNotNull()).select(*packet, "dns.header.*")
+    many = {"dns_query": "dns.questions", "dns_response": "dns.records"}
+    if protocol in many:
+        each = wide.where(F.col("dns").isNotNull()).select(*packet, F.posexplode(many[protocol]).alias("_pos", "_one"))
+        return each.select("packet_id", *carried, "_pos", "_one.*")
     if protocol not in PROTOCOL_COLUMNS:
         raise ValueError(f"unknown protocol {protocol!r}")
-    return wide.where(F.col(protocol).isNotNull()).select(packet, f"{protocol}.*")
+    return wide.where(F.col(protocol).isNotNull()).select(*packet, f"{protocol}.*")
+
+
+def protocol_id(protocol: str, packet_id: str = "packet_id", position: str | None = None) -> Column:
+    """Surrogate id of a protocol row."""
+    return row_id(F.lit(protocol), F.col(packet_id), *([] if position is None else [F.col(position)]))
 
 
 def protocol_fanout(wide: DataFrame, inserted_at: Column) -> dict[str, DataFrame]:
     """The packet table and the 12 protocol tables, by bronze table name.
 
     Store ``wide`` once and pass the stored table in: every projection then reads only its own
-    columns instead of decoding the frames again.
+    columns instead of decoding the frames again. ``inserted_at`` may be a column of ``wide``.
     """
-    lag = inserted_at - F.col("created_at")
+    stamped = wide.withColumn("inserted_at", inserted_at)
+    lag = F.col("inserted_at") - F.col("created_at")
     tables = {
-        "bronze_network_packet": wide.select(
-            "_id", "interface", "length", "created_at", inserted_at.alias("inserted_at"), lag.alias("brz_ingestion_duration")
+        "bronze_network_packet": stamped.select(
+            "_id", "interface", "length", "created_at", "inserted_at", lag.alias("brz_ingestion_duration")
         )
     }
     for protocol in PROTOCOL_COLUMNS:
-        rows = protocol_rows(wide, protocol)
-        parts = [F.lit(protocol), F.col("packet_id")] + ([F.col("_pos")] if "_pos" in rows.columns else [])
-        tables[f"bronze_network_{protocol}"] = (
-            rows.withColumn("_id", row_id(*parts)).withColumn("inserted_at", inserted_at).drop("_pos")
-        )
+        rows = protocol_rows(stamped, protocol, "inserted_at")
+        position = "_pos" if "_pos" in rows.columns else None
+        tables[f"bronze_network_{protocol}"] = rows.withColumn("_id", protocol_id(protocol, position=position)).drop("_pos")
     return tables

@@ -19,7 +19,7 @@ from hostlake.functions.names import (
     source_host,
     without_brackets,
 )
-from hostlake.operators.packets import layer_labels
+from hostlake.operators.packets import layer_labels, protocol_id
 
 # Bits of the layer mask of a packet, in order of precedence inside each layer.
 _LAYER_BITS = {
@@ -226,7 +226,7 @@ def refresh_silver(bronze: dict[str, DataFrame], as_of: AsOf) -> dict[str, DataF
 
 
 def silver_from_decoded(wide: DataFrame, inserted_at: Column, as_of: AsOf) -> dict[str, DataFrame]:
-    """Packet, Ethernet, IP, transport and ARP tables straight from decoded rows, without any join.
+    """Packet, Ethernet, IP, transport, ARP and DNS tables straight from decoded rows, without any join.
 
     ``wide`` is the output of ``decode_packets`` (stored once); ``inserted_at`` is when it was
     stored. Gives the same rows as the bronze tables do.
@@ -280,4 +280,30 @@ def silver_from_decoded(wide: DataFrame, inserted_at: Column, as_of: AsOf) -> di
             ],
         ),
         "silver_network_arp": layer(["arp"], of("arp", *_ARP_COLUMNS)),
+        "silver_network_dns": _dns_from_decoded(stamped, times),
     }
+
+
+def dns_messages(wide: DataFrame, *carried: Column | str) -> DataFrame:
+    """One row for each DNS message: header columns, and its questions and records as arrays."""
+    return wide.where(F.col("dns").isNotNull()).select(
+        F.col("_id").alias("packet_id"), "dns.header.*", F.col("dns.questions").alias("questions"), F.col("dns.records").alias("records"), *carried
+    )
+
+
+def _dns_from_decoded(stamped: DataFrame, times: list[Column]) -> DataFrame:
+    """All pairs of a message's questions and records, exploded where they stand."""
+    asked = dns_messages(stamped, *times).select("*", F.posexplode_outer("questions").alias("_q", "_question"))
+    flat = asked.select("*", F.posexplode_outer("records").alias("_r", "_record")).drop("questions", "records").select("*", "_question.*", "_record.*")
+    ids = [
+        protocol_id("dns_header"),
+        F.when(F.col("_q").isNotNull(), protocol_id("dns_query", position="_q")),
+        F.when(F.col("_r").isNotNull(), protocol_id("dns_response", position="_r")),
+    ]
+    return flat.withColumns(
+        {
+            "_id": F.concat_ws("-", *ids),
+            "question_parsed": dns_question_text(F.col("qname")),
+            "response_parsed": dns_record_text(F.col("rdata"), F.col("rtype"), F.col("rclass"), F.col("qname"), None),
+        }
+    ).drop("_q", "_question", "_r", "_record")

@@ -88,7 +88,7 @@ class Lake:
         for number in self._numbers(name, _BATCH):
             path = f"{self.path(name)}/{_BATCH}{number}"
             if self._finished(path):
-                yield number, self._periods_in(path)
+                yield number, self.periods_at(path)
 
     def _current(self, name: str) -> dict[date, str]:
         """Where each period of a replaced table is."""
@@ -98,7 +98,7 @@ class Lake:
                 found.setdefault(period, f"{self.path(name)}/{_BATCH}{number}/{_PERIOD}={period.isoformat()}")
         return found
 
-    def _periods_in(self, path: str) -> list[date]:
+    def periods_at(self, path: str) -> list[date]:
         mark = f"{_PERIOD}="
         return sorted(date.fromisoformat(c[len(mark) :]) for c in self._children(path) if c.startswith(mark))
 
@@ -126,7 +126,7 @@ class Lake:
 
     def periods(self, name: str) -> list[date]:
         """Partitions a growing or replaced table holds, oldest first; a look at directory names only."""
-        return sorted(self._current(name)) if is_replaced(name) else self._periods_in(self.path(name))
+        return sorted(self._current(name)) if is_replaced(name) else self.periods_at(self.path(name))
 
     def read_since(self, name: str, first_day: date | None) -> DataFrame:
         """Partitions that hold ``first_day`` or later days; older ones are not opened."""
@@ -172,8 +172,16 @@ class Lake:
         self._write_periods(name, df, path, max_records_per_file)
         return self.read(name)
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
-        return self.replace(name, df) if is_versioned(name) else self.append(name, df)
+    def add(self, name: str, df: DataFrame, day: date) -> None:
+        """Append rows that are all inserted on one day and whose keys are new: files are added to that period, nothing
+        is rewritten, and rows are written by the tasks that made them."""
+        path, period = self.path(name), self.period_of(day)
+        if is_replaced(name):
+            newest = next((n for n, _ in self._batches(name)), max(self._numbers(name, _BATCH), default=0) + 1)
+            held = self._current(name).get(period)
+            path = f"{path}/{_BATCH}{newest}" if held is None else held.rpartition("/")[0]
+        dated = conform(df, name).withColumn(_PERIOD, F.lit(period.isoformat()).cast("date"))
+        dated.write.mode("append").option("maxRecordsPerFile", 5_000_000).partitionBy(_PERIOD).parquet(path)
 
     def _delete(self, path: str) -> None:
         fs, target = self._file_system(path)
@@ -200,9 +208,13 @@ class Lake:
 
     def drop_before(self, name: str, first_kept_day: date) -> None:
         """Remove whole partitions of a growing or replaced table that end before ``first_kept_day``."""
-        first = self.period_of(first_kept_day)
-        roots = [f"{self.path(name)}/{_BATCH}{n}" for n, _ in self._batches(name)] if is_replaced(name) else [self.path(name)]
+        # Older batches first: a reader in between must not see rows that a newer batch replaced.
+        batches = [n for n, _ in self._batches(name)][::-1] if is_replaced(name) else []
+        roots = [f"{self.path(name)}/{_BATCH}{n}" for n in batches] if is_replaced(name) else [self.path(name)]
         for root in roots:
-            for period in self._periods_in(root):
-                if period < first:
-                    self._delete(f"{root}/{_PERIOD}={period.isoformat()}")
+            self.drop_periods(root, first_kept_day)
+
+    def drop_periods(self, path: str, first_kept_day: date) -> None:
+        for period in self.periods_at(path):
+            if period < self.period_of(first_kept_day):
+                self._delete(f"{path}/{_PERIOD}={period.isoformat()}")

@@ -7,8 +7,11 @@ table; which protocols a packet carries follows from the priority, status and cu
 from __future__ import annotations
 
 import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from hostlake.schemas import PROTOCOL_COLUMNS
+
 BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
                "embeddings", "pages", "benchmark", "labels", "conversations")
 AS_OF = "1998-01-01 00:00:00"
@@ -221,6 +224,43 @@ SELECT CASE WHEN c_nationkey = 0 THEN '# comment' WHEN c_nationkey = 1 THEN '' E
     "raw_users_listing": "SELECT concat('_', lower(c_mktsegment), '  user ', CAST(c_custkey % 7 AS STRING), '      ', CAST(c_custkey AS STRING)) AS line FROM {customer}",
 }
 
+
+
+def _within(day: str, part: str) -> str:
+    """A time on one of three days."""
+    clock = f"lpad(CAST({part} % 20 AS STRING), 2, '0'), ':', lpad(CAST({part} % 60 AS STRING), 2, '0'), ':', lpad(CAST({part} % 60 AS STRING), 2, '0')"
+    return f"CAST(concat('2024-01-0', CAST(1 + {day} % 3 AS STRING), ' ', {clock}) AS TIMESTAMP{{ntz}})"
+
+
+# The test tables with the times of three days, so that telemetry can be loaded and refreshed day by day.
+THREE_DAYS = {
+    "orders": f"SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, {_within('o_orderkey', 'o_orderkey')} AS o_orderdate FROM {{orders}}",
+    "lineitem": f"""
+SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag, {_within('l_orderkey', 'l_partkey')} AS l_shipdate FROM {{lineitem}}""",
+    "events": f"SELECT event_id, user_id, event_type, value, {_within('event_id', 'event_id')} AS ts FROM {{events}}",
+}
+REFRESHES = ["2024-01-01 23:59:00", "2024-01-02 23:59:00", "2024-01-03 23:59:00"]
+
+#: When all frames are loaded at once, and the columns that are compared then, by table.
+LOADED = "1997-12-31 23:59:00"
+HEADERS = {"host": "Host", "id": "X-Id", "server": "Server"}
+FIELDS = {p: [c.split()[0] for c in ddl.split(", ")] for p, ddl in PROTOCOL_COLUMNS.items() if p != "http"} | {
+    "http": ["type", "method", "uri", "version", "status_code", "status_text", *(f"header_{h}" for h in HEADERS), "body"]
+}
+SILVER_FIELDS = {
+    "packet": ["interface", "length", "data_link", "network", "transport", "application"],
+    "ethernet": [*FIELDS["ethernet"], "packet_length", "interface"],
+    "ip": ["version", "length", "hop_limit", "next_protocol", "source", "destination", "packet_length", "interface"],
+    "transport": ["protocol", "source", "destination", "packet_length", "interface"],
+    "arp": [*FIELDS["arp"], "packet_length", "interface"],
+    "dns": [*FIELDS["dns_header"], *FIELDS["dns_query"], *FIELDS["dns_response"]],
+}
+GOLD_FIELDS = {
+    "fact_network_packet": ["_id", "interface", "length", "data_link", "network", "transport", "application", "created_at"],
+    "fact_network_ip": ["_id", "ip_version", "transport_protocol", "source_address", "source_port", "destination_address", "destination_port", "created_at"],
+    "dim_network_foreign_ip": ["address", "started_at"],
+}
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -257,9 +297,21 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, sources: dict[str, Data
     return build() if sources is not None else _once(spark, sf_dir, name, build)
 
 
-def with_fixtures(sql: str, views: dict[str, str] | None = None) -> str:
-    """DuckDB text of ``sql`` with everything it names in braces put in front as CTEs."""
+def three_days(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Stand-ins for test tables."""
+    return {
+        name: spark.sql(text.replace("{ntz}", "_NTZ"), **{name: table(spark, sf_dir, name)}) for name, text in THREE_DAYS.items()
+    }
+
+
+def with_fixtures(sql: str, views: dict[str, str] | None = None, instead: dict[str, str] | None = None) -> str:
+    """DuckDB text of ``sql`` with everything it names in braces put in front as CTEs; ``instead``: texts that stand
+    in for test tables."""
     texts = {**FIXTURES, **(views or {})}
+    for name, text in (instead or {}).items():
+        texts = {k: v.replace(f"{{{name}}}", f"{{in_{name}}}") for k, v in texts.items()}
+        sql = sql.replace(f"{{{name}}}", f"{{in_{name}}}")
+        texts[f"in_{name}"] = text
     order: list[str] = []
 
     def visit(text: str) -> None:

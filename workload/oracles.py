@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from workload.fixtures import AS_OF_SQL, with_fixtures
+from workload.fixtures import AS_OF_SQL, FIELDS, GOLD_FIELDS, LOADED, SILVER_FIELDS, THREE_DAYS, with_fixtures
 
 
 def _us(later: str, earlier: str) -> str:
@@ -162,10 +162,28 @@ def _count(name: str, source: str, where: str = "TRUE") -> str:
 
 
 _FANOUT = {
-    "packet": "{packet}", "ethernet": "{ethernet}", "ipv4": "{ipv4}", "ipv6": "{ipv6}", "arp": "{arp}", "tcp": "{tcp}", "udp": "{udp}",
-    "icmp": "{icmp}", "tls": "{tls}", "http": "{http}", "dns_header": "{dns_header}", "dns_query": "{dns_question_text}",
-    "dns_response": "{dns_record_numbers}",
+    "ethernet": "{ethernet}", "ipv4": "{ipv4}", "ipv6": "{ipv6}", "arp": "{arp}", "tcp": "{tcp}", "udp": "{udp}",
+    "icmp": "{icmp}", "tls": "{tls}", "http": "{http}", "dns_header": "{dns_header}",
+    "dns_query": f"(SELECT *, {_QNAME} AS qname FROM {{dns_question_text}}) q", "dns_response": f"(SELECT *, {_RDATA} AS rdata FROM {{dns_record_numbers}}) r",
 }
+_SILVER_SOURCES = {
+    "packet": "{o_packets}",
+    "ethernet": "(SELECT e.*, p.length AS packet_length, p.interface, p.created_at FROM {ethernet} e JOIN {packet} p ON p._id = e.packet_id) e",
+    "ip": "{o_ip}",
+    "transport": "{o_transport}",
+    "arp": "(SELECT a.*, p.length AS packet_length, p.interface, p.created_at FROM {arp} a JOIN {packet} p ON p._id = a.packet_id) a",
+    "dns": "{o_dns}",
+}
+_LOADED = f"TIMESTAMP '{LOADED}'"
+_SILVER_LAGS = ["created_at", _us(_LOADED, "created_at"), _us(AS_OF_SQL, _LOADED)]
+_GOLD_TEXTS = {"fact_network_packet": "{o_packets}", "fact_network_ip": "{o_fact_ip}", "dim_network_foreign_ip": "{o_foreign}"}
+
+
+def _row_texts(name: str, key: str, columns: list[str], source: str, inserted: str, more: tuple[str, ...] | list[str] = ()) -> str:
+    lists = {"qname": "array_to_string(qname, '.')", "rdata": "array_to_string(rdata, '.')"}
+    text = ", ".join(f"CAST({lists.get(c, c)} AS VARCHAR)" for c in (*columns, *more))
+    return f"SELECT '{name}' AS name, CAST({key} AS VARCHAR) AS key, concat_ws('|', {text}) AS fields, {inserted} AS inserted_at FROM {source}"
+
 
 _GOLD_SOURCES = {
     "gold_file_service": "(SELECT DISTINCT name, port, protocol FROM {service}) a",
@@ -275,7 +293,17 @@ SELECT page_id, 'response' AS type, 'HTTP/1.1' AS version, 200 AS status_code, '
 SELECT packet_id AS _id, CASE WHEN tp <> 'igmp' THEN tp END AS transport,
  CASE WHEN app IN ('get', 'reply') THEN 'http' WHEN app <> 'opaque' THEN app END AS application FROM {wire}""",
     "protocol_fanout": " UNION ALL ".join(
-        f"SELECT count(*) AS rows, count(*) AS ids, 'bronze_network_{p}' AS name FROM {source}" for p, source in _FANOUT.items()
+        [
+            _row_texts("packet", "_id", ["interface", "length", "created_at"], "{packet}", _LOADED),
+            *(_row_texts(p, "packet_id", columns, _FANOUT[p], _LOADED) for p, columns in FIELDS.items()),
+        ]
+    ),
+    "frames_to_silver": " UNION ALL ".join(
+        _row_texts(name, "packet_id" if name == "dns" else "_id", columns, _SILVER_SOURCES[name], AS_OF_SQL, _SILVER_LAGS)
+        for name, columns in SILVER_FIELDS.items()
+    ),
+    "frames_to_gold": " UNION ALL ".join(
+        _row_texts(name, columns[0], columns[1:], _GOLD_TEXTS[name], AS_OF_SQL) for name, columns in GOLD_FIELDS.items()
     ),
     # bronze
     "bronze_process_list": f"""
@@ -407,5 +435,42 @@ SELECT interface, address, netmask, broadcast_address, destination_address FROM
    broadcast_address, destination_address FROM {interface_device}) d) r WHERE rn = 1"""
 
 
+# Three days, refreshed at the end of each. Sockets by the days they were seen on.
+_FIRST_SOCKETS = """(SELECT *, row_number() OVER (PARTITION BY pid, ip_source_address, ip_source_port, ip_destination_address, ip_destination_port
+   ORDER BY created_at, uid, command) AS rn FROM {o_files} WHERE upper(type) IN ('IPV4', 'IPV6')) n WHERE rn = 1"""
+_SEEN_SOCKETS = """(SELECT * FROM {o_files} WHERE upper(type) IN ('IPV4', 'IPV6')) n"""
+VIEWS["o_seen_sockets"] = VIEWS["o_socket_rows"].replace(_FIRST_SOCKETS, _SEEN_SOCKETS)
+VIEWS["o_socket_days"] = f"""
+SELECT pid, source_port, {_SOCKET_TEXTS.replace("source_port, ", "")}, min(started_at) AS start, list(DISTINCT day(started_at)) AS days
+ FROM {{o_seen_sockets}} WHERE source_port IS NOT NULL GROUP BY ALL"""
+VIEWS["o_own_days"] = """
+SELECT split_part(address, '/', 1) AS host, min(CASE WHEN address LIKE '%/20' THEN 2 ELSE 1 END) AS day FROM {o_dim_interface} WHERE address IS NOT NULL GROUP BY 1"""
+VIEWS["o_day_network"] = """
+SELECT pid, packet_id, send, min(greatest(own_day, list_min(list_filter(days, lambda d: d >= packet_day)))) AS day FROM (
+ SELECT s.pid, s.days, k.packet_id, k.send, k.own_day, k.packet_day FROM (
+  SELECT _id AS packet_id, created_at, day(created_at) AS packet_day, source_port AS port, TRUE AS send, o.day AS own_day FROM {o_fact_ip} f JOIN {o_own_days} o ON o.host = f.source_address
+  UNION ALL SELECT _id, created_at, day(created_at), destination_port, FALSE, o.day FROM {o_fact_ip} f JOIN {o_own_days} o ON o.host = f.destination_address) k
+ JOIN {o_socket_days} s ON s.source_port = k.port AND k.created_at >= s.start AND list_max(s.days) >= k.packet_day) p GROUP BY 1, 2, 3"""
+
+
+def _day_facts(name: str, key: str, source: str, day: str = "day(created_at)") -> str:
+    text = ", ".join(f"CAST({k} AS VARCHAR)" for k in key.split(", "))
+    return f"SELECT DISTINCT '{name}' AS name, concat_ws('|', {text}) AS key, TIMESTAMP '2023-12-31 23:59:00' + to_days(CAST({day} AS INT)) AS inserted_at FROM {source}"
+
+
+DAY_ORACLES = {
+    "refresh_days": " UNION ALL ".join(
+        [
+            _day_facts("gold_fact_process", "pid, lstart, created_at", "{process_list}"),
+            _day_facts("gold_fact_file_reg", "pid, fd, node, created_at", "(SELECT * FROM {open_files} WHERE type = 'REG') f"),
+            _day_facts("gold_fact_network_packet", "_id", "{packet}"),
+            _day_facts("gold_fact_network_ip", "_id", "{o_fact_ip}"),
+            _day_facts("gold_fact_process_network", "pid, packet_id, send", "{o_day_network}", "day"),
+        ]
+    ),
+}
+
+
 def oracle_texts() -> dict[str, str]:
-    return {name: with_fixtures(sql, VIEWS) for name, sql in ORACLES.items()}
+    days = {name: with_fixtures(sql, VIEWS, THREE_DAYS) for name, sql in DAY_ORACLES.items()}
+    return {name: with_fixtures(sql, VIEWS) for name, sql in ORACLES.items()} | days

@@ -12,13 +12,13 @@ from hostlake.functions import inet, names
 from hostlake.functions.clock import as_of_column, interval_micros
 from hostlake.operators import keyed, packets
 from hostlake.operators.http import http_message
-from hostlake.plans import bronze, gold, lifecycle, silver
+from hostlake.plans import bronze, changes, frames, gold, lifecycle, silver
 from hostlake.schemas import TABLES, conform, tables_of
 from hostlake.session import configure
 from hostlake.sources import interfaces, logs, lookups, open_files, processes
 from hostlake.sources.lake import Lake
 from hostlake.streaming import feeds, refine
-from workload.fixtures import AS_OF, fixture, table
+from workload.fixtures import AS_OF, FIELDS, GOLD_FIELDS, HEADERS, LOADED, REFRESHES, SILVER_FIELDS, fixture, table, three_days
 from workload.scratch import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -210,17 +210,53 @@ def classify_application(spark, d):
     return wide.select("_id", labels["transport"].alias("transport"), labels["application"].alias("application"))
 
 
+def row_texts(df: DataFrame, name: str, key: str, fields: list[Column]) -> DataFrame:
+    """Rows of any table as (name, key, fields as one text, insert time)."""
+    text = F.concat_ws("|", *[f.cast("string") for f in fields])
+    return df.select(F.lit(name).alias("name"), F.col(key).cast("string").alias("key"), text.alias("fields"), "inserted_at")
+
+
+def frames_lake(spark, d, purpose: str) -> Lake:
+    """All frames in one load."""
+    lake = Lake(spark, work_folder(spark, purpose))
+    frames.load_frames(lake, fixture(spark, d, "frames"), LOADED)
+    return lake
+
+
 @query
 def protocol_fanout(spark, d):
-    # Stored once, so that the thirteen projections do not decode the frames again.
-    stored = work_folder(spark, "decoded") + "/wide"
-    _decoded(spark, d).write.parquet(stored)
-    tables = packets.protocol_fanout(spark.read.parquet(stored), as_of())
-    counts = [
-        df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_id").alias("ids")).withColumn("name", F.lit(name))
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """Rows of the thirteen tables of one load of frames."""
+    tables = frames.frame_tables(frames_lake(spark, d, "fanout"))
+    parts = [row_texts(tables["bronze_network_packet"], "packet", "_id", [F.col(c) for c in ("interface", "length", "created_at")])]
+    for protocol, columns in FIELDS.items():
+        shown = {"qname": _numbers("qname"), "rdata": _numbers("rdata")}
+        shown |= {f"header_{k}": F.try_element_at("headers", F.lit(v)) for k, v in HEADERS.items()}
+        parts.append(row_texts(tables[f"bronze_network_{protocol}"], protocol, "packet_id", [shown.get(c, F.col(c)) for c in columns]))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def frames_to_silver(spark, d):
+    """The six silver tables of packets, from frames without a join."""
+    lake = frames_lake(spark, d, "silver")
+    changes.refresh_silver(lake, AS_OF)
+    parts = []
+    for name, columns in SILVER_FIELDS.items():
+        rows = lags_as_micros(lake.read(f"silver_network_{name}"))
+        shown = {"qname": _numbers("qname"), "rdata": _numbers("rdata")}
+        fields = [shown.get(c, F.col(c)) for c in (*columns, "created_at", "brz_ingestion_duration", "svr_ingestion_duration")]
+        parts.append(row_texts(rows, name, "packet_id" if name == "dns" else "_id", fields))
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def frames_to_gold(spark, d):
+    """Frames and interfaces to gold, change-driven: packets, addresses and the addresses met."""
+    lake = frames_lake(spark, d, "gold")
+    lifecycle.load_bronze(lake, "bronze_network_interface", fixture(spark, d, "interface"))
+    changes.refresh(lake, AS_OF)
+    parts = [row_texts(lake.read(f"gold_{name}"), name, columns[0], [F.col(c) for c in columns[1:]]) for name, columns in GOLD_FIELDS.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 # ---- bronze -------------------------------------------------------------------------------------
@@ -651,6 +687,45 @@ def export_gold(spark, d):
     return reduce(DataFrame.unionByName, back)
 
 
+# ---- change-driven refresh ----------------------------------------------------------------------
+
+
+def load_day(lake: Lake, spark, d, number: int, sources: dict[str, DataFrame]) -> None:
+    """What the feeds bring on one of three days. Addresses of wide networks come up on the second."""
+    on_day = F.dayofmonth("created_at") == number + 1
+    for feed in ("process_list", "open_files"):
+        lifecycle.load_bronze(lake, f"bronze_{feed}", fixture(spark, d, feed, sources).where(on_day))
+    loaded = REFRESHES[number].replace("23:59", "23:30")
+    frames.load_frames(lake, fixture(spark, d, "frames", sources).where(on_day), loaded)
+    late = F.coalesce(F.col("netmask") == "/20", F.lit(False))
+    own = fixture(spark, d, "interface").where(late if number == 1 else ~late).withColumn("inserted_at", as_of_column(loaded))
+    if number < 2:
+        lifecycle.load_bronze(lake, "bronze_network_interface", own)
+    if number == 0:
+        lifecycle.replace_lookups(lake, {f"gold_file_{n}": fixture(spark, d, n) for n in ("service", "host", "user")}, loaded)
+
+
+def days_lake(spark, d, purpose: str, days: int = 3) -> Lake:
+    lake = Lake(spark, work_folder(spark, purpose))
+    sources = three_days(spark, d)
+    for number, as_of_ in enumerate(REFRESHES[:days]):
+        load_day(lake, spark, d, number, sources)
+        changes.refresh(lake, as_of_)
+    return lake
+
+
+@query
+def refresh_days(spark, d):
+    """Three days, each loaded and refreshed by its changes: keys of all facts and the run that made them."""
+    lake = days_lake(spark, d, "days")
+    facts = []
+    for t in tables_of("gold"):
+        if t.name.startswith("gold_fact_"):
+            key = F.concat_ws("|", *[F.col(k).cast("string") for k in t.key])
+            facts.append(lake.read(t.name).select(F.lit(t.name).alias("name"), key.alias("key"), "inserted_at"))
+    return reduce(DataFrame.unionByName, facts)
+
+
 @query
 def inet_functions(spark, d):
     address = F.col("address")
