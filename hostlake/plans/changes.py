@@ -128,7 +128,7 @@ def refreshed_until(lake: Lake) -> datetime | None:
     return lake.read("gold_tech_table_count").agg(F.max("inserted_at")).first()[0]
 
 
-def _add_facts(lake: Lake, written: Written, name: str, rows: DataFrame, since: datetime | None, day) -> None:
+def _add_facts(lake: Lake, written: Written, name: str, rows: DataFrame, since: datetime | None, mark: datetime | None, day) -> None:
     """Append rows of a fact that hold each key once; ``since``: when the oldest of them was captured."""
     rows = conform(rows, name)
     key = list(TABLES[name].key)
@@ -142,7 +142,8 @@ def _add_facts(lake: Lake, written: Written, name: str, rows: DataFrame, since:
         periods = again.select(F.to_date(F.date_trunc(lake.unit, "inserted_at"))).distinct()
         touched = [r[0] for r in periods.collect()]
         if touched:
-            removed = again.count()
+            # Rows of a run that broke off were not counted yet.
+            removed = again.where(F.col("inserted_at") <= as_of_column(mark)).count() if mark is not None else 0
             kept = stored.where(F.to_date(F.date_trunc(lake.unit, "inserted_at")).isin(touched))
             lake.rewrite(name, without_keys(kept, rows, key), touched)
     written.counted(name, rows, lambda df: lake.add(name, df, day))
@@ -203,7 +204,7 @@ def refresh_gold(lake: Lake, as_of: str | datetime, bucket_seconds: int = 3600,
     facts_before = lake.read_since("gold_fact_network_ip", first)
 
     def fact(name: str, rows: DataFrame, feed: str) -> Callable[[], None]:
-        return lambda: _add_facts(lake, written, name, rows, oldest[feed][1], day)
+        return lambda: _add_facts(lake, written, name, rows, oldest[feed][1], mark, day)
 
     def dimension(name: str, rows: DataFrame) -> Callable[[], None]:
         return lambda: _merge(lake, written, name, rows)
@@ -277,9 +278,12 @@ def _attribute(lake: Lake, written: Written, now, mark, sockets_before, sockets,
     owned = reduce(DataFrame.unionByName, parts if becomes_own else parts[:2] if mark is not None else parts[:1])
     rows = owned.select(F.xxhash64("pid", "packet_id", "send").alias("_id"), "pid", "packet_id", "send", as_of_column(now).alias("inserted_at"))
     # Another socket of the process may have held the packet already.
-    known = lake.read_since(name, since)
-    rows = without_keys(conform(rows, name), known, TABLES[name].key) if lake.periods(name) else conform(rows, name)
+    known, rows, uncounted = lake.read_since(name, since), conform(rows, name), 0
+    if lake.periods(name):
+        rows = without_keys(rows, known, TABLES[name].key)
+        uncounted = _after(known, mark).count()  # of a run that broke off
     written.counted(name, rows, lambda df: lake.add(name, df, now.date()))
+    written.rows[name] += uncounted
 
 
 def _frame_counts(wide: DataFrame) -> dict[str, int]:
