@@ -29,6 +29,8 @@ RETENTION_SECONDS = {"bronze": 15, "silver": 15, "gold": 600}
 # Default seconds between runs of each job; 0 turns a job off.
 REFRESH_SECONDS = {"silver": 10, "gold": 10, "vacuum": 15, "file": 300, "export": 60}
 EXPORT_FORMATS = ("parquet", "csv")
+#: CSV keeps microseconds; read exports with this timestampNTZFormat.
+CSV_TIMES = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 # Dimensions whose rows keep what was first seen and only get a new last-seen time.
 _TOUCHED = (
@@ -247,16 +249,24 @@ def retention_plan(seconds: Mapping[str, int] = RETENTION_SECONDS) -> dict[str,
 def run_retention(
     lake: Lake, as_of: datetime, seconds: Mapping[str, int] = RETENTION_SECONDS, keep_seconds: float = KEEP_SECONDS
 ) -> None:
-    """Apply retention to storage.
+    """Apply retention to storage, to the row.
 
-    Versioned tables are rewritten without expired rows. Growing tables lose the partitions
-    whose last row has expired; refreshes given the same ``retention`` skip expired rows still there.
+    Versioned tables are rewritten without expired rows. Growing tables lose the partitions whose last row has expired,
+    and of the partition in which the limit falls the rows before it; no other partition is opened.
     """
-    for name, keep in retention_plan(seconds).items():
-        if not is_versioned(name):
-            lake.drop_before(name, (as_of - timedelta(seconds=keep)).date())
-        elif lake.versions(name):
-            lake.replace(name, retained(lake.read(name), keep, as_of))
+
+    def expire(name: str, keep: int) -> None:
+        limit = as_of - timedelta(seconds=keep)
+        if is_versioned(name):
+            if lake.versions(name):
+                lake.replace(name, retained(lake.read(name), keep, as_of))
+            return
+        lake.drop_before(name, limit.date())
+        boundary = lake.period_of(limit.date())
+        if boundary in lake.periods(name):
+            lake.keep_rows(name, boundary, F.coalesce(F.col("inserted_at") >= as_of_column(limit), F.lit(True)))
+
+    in_parallel({n: (lambda n=n, keep=keep: expire(n, keep)) for n, keep in retention_plan(seconds).items()})
     # Lookups and technical tables do not expire, but their old versions go too.
     for name in TABLES:
         lake.drop_superseded(name, keep_seconds)
@@ -271,7 +281,7 @@ def export_gold(tables: Mapping[str, DataFrame], directory: str, file_format: st
 
     def job(name: str):
         writer = tables[name].write.mode("overwrite").format(file_format)
-        writer = writer.option("header", True) if file_format == "csv" else writer
+        writer = writer.options(header=True, timestampNTZFormat=CSV_TIMES) if file_format == "csv" else writer
         return lambda: writer.save(paths[name])
 
     in_parallel({name: job(name) for name in paths})

@@ -18,7 +18,7 @@ import time
 from collections.abc import Iterable, Iterator
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hostlake.schemas import TABLES, conform, empty
@@ -214,6 +214,22 @@ class Lake:
         for root in roots:
             self.drop_periods(root, first_kept_day)
 
+    def keep_rows(self, name: str, period: date, condition: Column) -> None:
+        """Rewrite one partition of a growing or replaced table with the rows that fulfil a condition, if others are there."""
+        path = self._current(name)[period] if is_replaced(name) else f"{self.path(name)}/{_PERIOD}={period.isoformat()}"
+        rows = self._read_paths(name, [path])
+        if rows.where(~condition).isEmpty():
+            return
+        if is_replaced(name):
+            self.rewrite(name, rows.where(condition), [period])
+            return
+        dated = rows.where(condition).withColumn(_PERIOD, F.lit(period.isoformat()).cast("date"))
+        if dated.isEmpty():
+            self._delete(path)
+        else:
+            # Spark writes aside, and puts the partition in its place when all tasks have ended.
+            dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_PERIOD).parquet(self.path(name))
+
     def drop_periods(self, path: str, first_kept_day: date) -> None:
         for period in self.periods_at(path):
             if period < self.period_of(first_kept_day):

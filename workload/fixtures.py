@@ -7,6 +7,7 @@ table; which protocols a packet carries follows from the priority, status and cu
 from __future__ import annotations
 
 import re
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -241,6 +242,9 @@ SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_returnflag,
 }
 REFRESHES = ["2024-01-01 23:59:00", "2024-01-02 23:59:00", "2024-01-03 23:59:00"]
 
+#: Seconds that layers are kept by the retention query, and when it runs.
+KEPT_SECONDS = {"bronze": 86_400, "silver": 3 * 86_400 + 3_600, "gold": 10 * 86_400}
+RETAINED_AT = datetime(2024, 1, 15)
 #: When all frames are loaded at once, and the columns that are compared then, by table.
 LOADED = "1997-12-31 23:59:00"
 HEADERS = {"host": "Host", "id": "X-Id", "server": "Server"}

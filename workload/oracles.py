@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from workload.fixtures import AS_OF_SQL, FIELDS, GOLD_FIELDS, LOADED, SILVER_FIELDS, THREE_DAYS, with_fixtures
+from hostlake.plans.gold import COUNTED_TABLES
+from hostlake.plans.lifecycle import retention_plan
+from workload.fixtures import AS_OF_SQL, FIELDS, GOLD_FIELDS, KEPT_SECONDS, LOADED, RETAINED_AT, SILVER_FIELDS, THREE_DAYS, with_fixtures
 
 
 def _us(later: str, earlier: str) -> str:
@@ -157,10 +159,6 @@ def _columns_of(fixture: str, columns: str) -> str:
     return f"SELECT {columns} FROM {{{fixture}}}"
 
 
-def _count(name: str, source: str, where: str = "TRUE") -> str:
-    return f"SELECT count(*) AS rows, '{name}' AS name FROM {source} WHERE {where}"
-
-
 _FANOUT = {
     "ethernet": "{ethernet}", "ipv4": "{ipv4}", "ipv6": "{ipv6}", "arp": "{arp}", "tcp": "{tcp}", "udp": "{udp}",
     "icmp": "{icmp}", "tls": "{tls}", "http": "{http}", "dns_header": "{dns_header}",
@@ -185,27 +183,39 @@ def _row_texts(name: str, key: str, columns: list[str], source: str, inserted: s
     return f"SELECT '{name}' AS name, CAST({key} AS VARCHAR) AS key, concat_ws('|', {text}) AS fields, {inserted} AS inserted_at FROM {source}"
 
 
+# Source and key columns of each gold table after a first refresh.
 _GOLD_SOURCES = {
-    "gold_file_service": "(SELECT DISTINCT name, port, protocol FROM {service}) a",
-    "gold_file_host": "{host}",
-    "gold_file_user": "{user}",
-    "gold_dim_process": "(SELECT DISTINCT pid, lstart FROM {process_list}) a",
-    "gold_dim_file_reg": "(SELECT DISTINCT pid, fd, node FROM {open_files} WHERE type = 'REG') a",
-    "gold_dim_network_interface": "{o_dim_interface}",
-    "gold_dim_network_socket": "{o_sockets}",
-    "gold_dim_network_open_port": "{o_open_ports}",
-    "gold_dim_network_foreign_ip": "{o_foreign}",
+    "gold_file_service": ("(SELECT DISTINCT name, port, protocol FROM {service}) a", "name, port, protocol"),
+    "gold_file_host": ("{host}", "name, address"),
+    "gold_file_user": ("{user}", "name, uid"),
+    "gold_dim_process": ("(SELECT DISTINCT pid, lstart FROM {process_list}) a", "pid, lstart"),
+    "gold_dim_file_reg": ("(SELECT DISTINCT pid, fd, node FROM {open_files} WHERE type = 'REG') a", "pid, fd, node"),
+    "gold_dim_network_interface": ("{o_dim_interface}", "interface, address"),
+    "gold_dim_network_socket": ("{o_sockets}", f"pid, {_SOCKET_TEXTS}"),
+    "gold_dim_network_open_port": ("{o_open_ports}", "pid, port"),
+    "gold_dim_network_foreign_ip": ("{o_foreign}", "address"),
     # The host dimension of a first run has no facts to look at yet.
-    "gold_dim_network_host": """(SELECT source_address AS address FROM {o_sockets} WHERE source_address IS NOT NULL UNION SELECT address FROM {o_foreign}
-        UNION SELECT address FROM {o_dim_interface}) a""",
-    "gold_fact_process": "(SELECT DISTINCT pid, lstart, created_at FROM {process_list}) a",
-    "gold_fact_file_reg": "(SELECT DISTINCT pid, fd, node, created_at FROM {open_files} WHERE type = 'REG') a",
-    "gold_fact_network_packet": "{packet}",
-    "gold_fact_network_ip": "{o_fact_ip}",
-    "gold_fact_process_network": "{o_process_network}",
-    "gold_tech_table_count": "(SELECT unnest(range(40))) a",
-    "gold_tech_chrono": "(SELECT unnest(range(3))) a",
-}
+    "gold_dim_network_host": ("""(SELECT source_address AS address FROM {o_sockets} WHERE source_address IS NOT NULL UNION SELECT address FROM {o_foreign}
+        UNION SELECT address FROM {o_dim_interface}) a""", "address"),
+    "gold_fact_process": ("(SELECT DISTINCT pid, lstart, created_at FROM {process_list}) a", "pid, lstart, created_at"),
+    "gold_fact_file_reg": ("(SELECT DISTINCT pid, fd, node, created_at FROM {open_files} WHERE type = 'REG') a", "pid, fd, node, created_at"),
+    "gold_fact_network_packet": ("{packet}", "_id"),
+    "gold_fact_network_ip": ("{o_fact_ip}", "_id"),
+    "gold_fact_process_network": ("{o_process_network}", "pid, packet_id, send"),
+    "gold_tech_table_count": ("(SELECT unnest(range(40)) AS id) a", "id"),
+    "gold_tech_chrono": ("(SELECT unnest(['process_list', 'open_files', 'network_packet']) AS name) a", "name"),
+}
+
+
+def _exported(file_format: str) -> str:
+    def rows(name: str, source: str, key: str) -> str:
+        text = ", ".join(f"CAST({k} AS VARCHAR)" for k in key.split(", "))
+        return f"SELECT '{name}' AS name, '{file_format}' AS format, concat_ws('|', {text}) AS key, {_STAMP} FROM {source}"
+
+    return " UNION ALL ".join(rows(name, *source) for name, source in _GOLD_SOURCES.items())
+
+
+VIEWS["o_arrivals"] = "SELECT event_id, TIMESTAMP '2023-12-16' + to_seconds((event_id * 7919) % 2592000) AS inserted_at FROM events"
 VIEWS["o_open_ports"] = f"""
 SELECT pid, uid, command, port, started_at, {_STAMP} FROM (SELECT *, row_number() OVER (PARTITION BY pid, port ORDER BY started_at, uid, command) AS rp FROM (
  SELECT *, row_number() OVER (PARTITION BY pid, service_port ORDER BY started_at, uid, command, text, port) AS rn FROM {{o_open_port_rows}}) r
@@ -220,32 +230,14 @@ def _lag_row(feed: str, view: str) -> str:
     return f"SELECT '{feed}' AS name, {columns}, {_STAMP} FROM {{{view}}}"
 
 
-_COUNTED = {
-    0: ("bronze_process_list", "{process_list}"),
-    1: ("bronze_open_files", "{open_files}"),
-    2: ("bronze_network_packet", "{packet}"),
-    3: ("bronze_network_ethernet", "{ethernet}"),
-    4: ("bronze_network_interface", "{interface}"),
-    5: ("bronze_network_ipv4", "{ipv4}"),
-    6: ("bronze_network_ipv6", "{ipv6}"),
-    7: ("bronze_network_arp", "{arp}"),
-    8: ("bronze_network_tcp", "{tcp}"),
-    9: ("bronze_network_udp", "{udp}"),
-    10: ("bronze_network_icmp", "{icmp}"),
-    11: ("bronze_network_tls", "{tls}"),
-    12: ("bronze_network_http", "{http}"),
-    13: ("bronze_network_dns_header", "{dns_header}"),
-    14: ("bronze_network_dns_query", "{dns_question_text}"),
-    15: ("bronze_network_dns_response", "{dns_record_numbers}"),
-    16: ("silver_process_list", "{process_list}"),
-    17: ("silver_open_files", "{open_files}"),
-    18: ("silver_network_packet", "{packet}"),
-    21: ("silver_network_ip", "{o_ip}"),
-    35: ("gold_fact_network_ip", "{o_fact_ip}"),
-    37: ("gold_file_service", "{service}"),
-    38: ("gold_file_host", "{host}"),
-    39: ("gold_file_user", "{user}"),
-}
+_COUNT_SOURCES = {
+    "bronze_process_list": "{process_list}", "bronze_open_files": "{open_files}", "bronze_network_packet": "{packet}", "bronze_network_interface": "{interface}",
+    **{f"bronze_network_{p}": source for p, source in _FANOUT.items()},
+    "silver_process_list": "{process_list}", "silver_open_files": "{open_files}", "silver_network_interface": "{interface}",
+    **{f"silver_network_{p}": source for p, source in _SILVER_SOURCES.items()},
+    **{name: source for name, (source, _) in _GOLD_SOURCES.items() if "_tech_" not in name},
+}
+_COUNTED = [(k, name, _COUNT_SOURCES[name]) for k, name in enumerate(COUNTED_TABLES)]
 
 _V4_OCTET = "lpad(lower(hex(CAST(split_part(host, '.', {i}) AS BIGINT))), 2, '0')"
 
@@ -365,7 +357,7 @@ SELECT _id, interface, length, data_link, network, transport, application, creat
     "gold_fact_process_network_salted": "SELECT * FROM {o_process_network}",
     "gold_tech_table_count": " UNION ALL ".join(
         f"SELECT CAST({i} AS INT) AS _id, '{name}' AS name, count(*) AS max_count, count(*) AS last_count, {_STAMP} FROM {source}"
-        for i, (name, source) in _COUNTED.items()
+        for i, name, source in _COUNTED
     ),
     "gold_tech_chrono": " UNION ALL ".join(
         [_lag_row("process_list", "o_processes"), _lag_row("open_files", "o_files"), _lag_row("network_packet", "o_packets")]
@@ -392,14 +384,12 @@ SELECT coalesce(s.o_custkey, n.o_custkey) AS o_custkey, coalesce(s.o_orderpriori
     "delete_matching": """
 SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_type = 'ECONOMY')""",
     # retention, flush, export
-    "retention": """
-SELECT _id, pid, created_at, inserted_at FROM {process_list} WHERE inserted_at >= TIMESTAMP '2024-01-04' - INTERVAL '86400' SECOND""",
-    "final_flush": " UNION ALL ".join(_count(name, source) for name, source in _GOLD_SOURCES.items()),
-    "export_gold": " UNION ALL ".join(
-        f"SELECT '{name}' AS name, '{fmt}' AS format, count(*) AS rows, {_STAMP}, count(DISTINCT {key}) AS first_key_values FROM {_GOLD_SOURCES[name]}"
-        for fmt in ("parquet", "csv")
-        for name, key in (("gold_fact_process", "pid"), ("gold_dim_network_interface", "interface"), ("gold_fact_file_reg", "pid"))
+    "retention": " UNION ALL ".join(
+        f"SELECT '{name}' AS name, CAST(event_id AS VARCHAR) AS key, inserted_at FROM {{o_arrivals}} WHERE inserted_at >= TIMESTAMP '{RETAINED_AT}' - to_seconds({KEPT_SECONDS[name.split('_')[0]]})"
+        for name in retention_plan(KEPT_SECONDS)
     ),
+    "final_flush": _exported("parquet"),
+    "export_gold": f"{_exported('parquet')} UNION ALL {_exported('csv')}",
     "inet_functions": f"""
 SELECT interface, text, address, host, CASE WHEN network IS NOT NULL THEN concat(network, '/', CAST(prefix AS VARCHAR)) END AS network, prefix, family,
  CASE family WHEN 4 THEN concat('4', repeat('0', 24), {', '.join(_V4_OCTET.format(i=i) for i in range(1, 5))})

@@ -16,9 +16,9 @@ from hostlake.plans import bronze, changes, frames, gold, lifecycle, silver
 from hostlake.schemas import TABLES, conform, tables_of
 from hostlake.session import configure
 from hostlake.sources import interfaces, logs, lookups, open_files, processes
-from hostlake.sources.lake import Lake
+from hostlake.sources.lake import Lake, is_versioned
 from hostlake.streaming import feeds, refine
-from workload.fixtures import AS_OF, FIELDS, GOLD_FIELDS, HEADERS, LOADED, REFRESHES, SILVER_FIELDS, fixture, table, three_days
+from workload.fixtures import AS_OF, FIELDS, GOLD_FIELDS, HEADERS, KEPT_SECONDS, LOADED, REFRESHES, RETAINED_AT, SILVER_FIELDS, fixture, table, three_days
 from workload.scratch import work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -288,7 +288,9 @@ _PROTOCOLS = ("ethernet", "ipv4", "ipv6", "arp", "tcp", "udp", "icmp", "tls", "h
 def bronze_tables(spark, d, sources=None) -> dict[str, DataFrame]:
     """Bronze tables out of the fixtures, as the stored tables would hold them."""
     net = {p: fixture(spark, d, p, sources) for p in ("packet", "interface", *_PROTOCOLS)}
-    net["http"] = net["http"].withColumn("headers", F.create_map().cast("map<string,string>"))
+    named_headers = [F.struct(F.lit(v).alias("key"), F.col(f"header_{k}").alias("value")) for k, v in HEADERS.items()]
+    known = F.filter(F.array(*named_headers), lambda h: h["value"].isNotNull())
+    net["http"] = net["http"].withColumn("headers", F.map_from_entries(known)).drop(*(f"header_{k}" for k in HEADERS))
     question = fixture(spark, d, "dns_question_text", sources)
     net["dns_query"] = question.select(
         "_id", "packet_id", _name_bytes(F.col("label")).alias("qname"), "qtype", "qclass"
@@ -557,17 +559,8 @@ def _silver_by_name(layers: Layers) -> dict[str, DataFrame]:
 
 @query
 def gold_tech_table_count(spark, d):
-    layers = Layers(spark, d)
-    tables = {
-        **bronze_tables(spark, d),
-        **_silver_by_name(layers),
-        "silver_network_ip": layers.ip(),
-        "gold_fact_network_ip": layers.fact_ip(),
-        "gold_file_service": layers.services(),
-        "gold_file_host": layers.hosts(),
-        "gold_file_user": fixture(spark, d, "user"),
-    }
-    return gold.gold_tech_table_count(tables, AS_OF)
+    """Counts of all forty tables after a refresh."""
+    return _flushed(spark, d, export=False)[0].read("gold_tech_table_count")
 
 
 @query
@@ -631,8 +624,28 @@ def delete_matching(spark, d):
 
 @query
 def retention(spark, d):
-    rows = fixture(spark, d, "process_list").select("_id", "pid", "created_at", "inserted_at")
-    return lifecycle.retained(rows, 86400, "2024-01-04 00:00:00")
+    """Storage after retention: all 37 tables that expire, each filled with every event at the time it came in."""
+    lake = Lake(spark, work_folder(spark, "retention"))
+    rows = fixture(spark, d, "process_list").select("_id", "created_at", "inserted_at")
+    # Telemetry lies on one of thirty days before.
+    rows = rows.withColumn("inserted_at", F.expr("timestampadd(SECOND, (_id * 7919) % 2592000, TIMESTAMP_NTZ '2023-12-16 00:00:00')"))
+    keyed_by = {"boolean": F.col("_id") % 2 == 0, "timestamp_ntz": F.col("created_at")}
+    names = list(lifecycle.retention_plan(KEPT_SECONDS))
+
+    def fill(name: str) -> None:
+        key = {c: keyed_by.get(TABLES[name].schema[c].dataType.simpleString(), F.col("_id")) for c in TABLES[name].key}
+        filled = rows.select("_id", *[v.alias(c) for c, v in key.items() if c != "_id"], "inserted_at")
+        (lake.replace if is_versioned(name) else lake.append)(name, filled)
+
+    lifecycle.in_parallel({n: (lambda n=n: fill(n)) for n in names})
+    lifecycle.run_retention(lake, RETAINED_AT, KEPT_SECONDS)
+    # Gold ids of dimensions and facts are not keys: the first column of the key tells the event.
+    left = [lake.read(n).select(F.lit(n).alias("name"), F.col(_event_key(n)).cast("string").alias("key"), "inserted_at") for n in names]
+    return reduce(DataFrame.unionByName, left)
+
+
+def _event_key(name: str) -> str:
+    return next(c for c in TABLES[name].key if c not in ("started_at", "created_at", "send"))
 
 
 def fill_bronze(lake: Lake, spark, d) -> None:
@@ -642,49 +655,38 @@ def fill_bronze(lake: Lake, spark, d) -> None:
     lifecycle.replace_lookups(lake, lookups_, AS_OF)
 
 
-def _flushed(spark, d, file_format: str) -> str:
+def _flushed(spark, d, export: bool = True) -> tuple[Lake, str]:
     folder = work_folder(spark, "flush")
     lake = Lake(spark, f"{folder}/lake", unit="year")
     fill_bronze(lake, spark, d)
-    lifecycle.final_flush(lake, AS_OF, f"{folder}/export", file_format)
-    return f"{folder}/export"
+    lifecycle.final_flush(lake, AS_OF, f"{folder}/export" if export else None)
+    return lake, f"{folder}/export"
+
+
+def _exported_rows(spark, folder: str, file_format: str) -> DataFrame:
+    """Keys and insert times of all seventeen exported tables."""
+    parts = []
+    for t in tables_of("gold"):
+        rows = spark.read.schema(t.schema).format(file_format).options(header=True, timestampNTZFormat=lifecycle.CSV_TIMES).load(f"{folder}/{t.name}.{file_format}")
+        key = F.concat_ws("|", *[F.col(k).cast("string") for k in t.key])
+        parts.append(rows.select(F.lit(t.name).alias("name"), F.lit(file_format).alias("format"), key.alias("key"), "inserted_at"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def final_flush(spark, d):
-    """Bronze to exported gold; row counts of the exported tables."""
-    folder = _flushed(spark, d, "parquet")
-    counts = [
-        spark.read.parquet(f"{folder}/{t.name}.parquet").agg(F.count(F.lit(1)).alias("rows")).withColumn("name", F.lit(t.name))
-        for t in tables_of("gold")
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    """Bronze to exported gold: all rows of the exported tables."""
+    return _exported_rows(spark, _flushed(spark, d)[1], "parquet")
 
 
 @query
 def export_gold(spark, d):
-    """Two formats of the same tables, read back."""
-    layers = Layers(spark, d)
-    folder = work_folder(spark, "export")
-    tables = {
-        "gold_fact_process": gold.gold_fact_process(layers.processes(), AS_OF),
-        "gold_dim_network_interface": layers.dim_interface(),
-        "gold_fact_file_reg": gold.gold_fact_file_reg(layers.files(), AS_OF),
-    }
-    tables = {name: conform(df, name) for name, df in tables.items()}
-    back = []
+    """All seventeen tables in two formats, read back."""
+    lake, folder = _flushed(spark, d, export=False)
+    tables = {t.name: lake.read(t.name) for t in tables_of("gold")}
     for file_format in ("parquet", "csv"):
         lifecycle.export_gold(tables, folder, file_format)
-        for name in tables:
-            reader = spark.read.schema(TABLES[name].schema).format(file_format).option("header", True)
-            first = TABLES[name].key[0]
-            back.append(
-                reader.load(f"{folder}/{name}.{file_format}").agg(
-                    F.count(F.lit(1)).alias("rows"), F.min("inserted_at").alias("inserted_at"),
-                    F.count_distinct(first).alias("first_key_values"),
-                ).select(F.lit(name).alias("name"), F.lit(file_format).alias("format"), "rows", "inserted_at", "first_key_values")
-            )
-    return reduce(DataFrame.unionByName, back)
+    return reduce(DataFrame.unionByName, [_exported_rows(spark, folder, f) for f in ("parquet", "csv")])
 
 
 # ---- change-driven refresh ----------------------------------------------------------------------
