@@ -461,6 +461,27 @@ DAY_ORACLES = {
 }
 
 
+DAY_ORACLES |= {
+    "stream_dim_socket_ttl": f"""
+SELECT pid, {_SOCKET_TEXTS}, started_at, uid, command, {_STAMP} FROM {{o_sockets}}""",
+    "stream_process_network_blocks": """
+SELECT DISTINCT s.pid, k.packet_id, k.send FROM (
+ SELECT _id AS packet_id, created_at, source_port AS port, TRUE AS send FROM {o_fact_ip} WHERE source_address IN (SELECT host FROM {o_own})
+ UNION ALL SELECT _id, created_at, destination_port, FALSE FROM {o_fact_ip} WHERE destination_address IN (SELECT host FROM {o_own})) k
+ JOIN {o_sockets} s ON s.source_port = k.port AND k.created_at BETWEEN s.started_at AND s.started_at + INTERVAL 6 HOURS AND k.created_at <= TIMESTAMP '2024-01-03 23:59:00'""",
+    "stream_retention": "SELECT _id, pid, created_at, inserted_at FROM {process_list} WHERE created_at >= TIMESTAMP '2024-01-02'",
+}
+_STREAMED = (("bronze_process_list", "process_list"), ("bronze_open_files", "open_files"), ("bronze_network_packet", "packet"))
+ORACLES["stream_counts"] = " UNION ALL ".join(
+    [f"SELECT '{name}' AS name, CAST(count(*) AS DOUBLE) AS value, 'rows' AS what, {_STAMP} FROM {{{source}}}" for name, source in _STREAMED]
+    + [
+        f"SELECT '{name[7:]}', {end}(epoch_us(inserted_at) - epoch_us(created_at)) / 1e6, 'brz_{end}_ingest', {_STAMP} FROM {{{source}}}"
+        for name, source in _STREAMED
+        for end in ("max", "min")
+    ]
+)
+
+
 def oracle_texts() -> dict[str, str]:
     days = {name: with_fixtures(sql, VIEWS, THREE_DAYS) for name, sql in DAY_ORACLES.items()}
     return {name: with_fixtures(sql, VIEWS) for name, sql in ORACLES.items()} | days

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from datetime import timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +19,7 @@ from hostlake.schemas import TABLES, conform, tables_of
 from hostlake.session import configure
 from hostlake.sources import interfaces, logs, lookups, open_files, processes
 from hostlake.sources.lake import Lake, is_versioned
-from hostlake.streaming import feeds, refine
+from hostlake.streaming import bounded, feeds, progress, refine
 from workload.fixtures import AS_OF, FIELDS, GOLD_FIELDS, HEADERS, KEPT_SECONDS, LOADED, REFRESHES, RETAINED_AT, SILVER_FIELDS, fixture, table, three_days
 from workload.scratch import work_folder
 
@@ -823,3 +825,85 @@ def stream_process_network(spark, d):
     owned = refine.stream_process_network(fact_ip, layers.dim_interface(), sockets, "4000 days")
     _finish(feeds.append_to(owned, f"{folder}/owned", f"{folder}/state"))
     return spark.read.parquet(f"{folder}/owned")
+
+
+def _in_order(spark, df: DataFrame, folder: str, name: str, time: str) -> DataFrame:
+    """A stream of one file for each of three days, in the order of time: micro-batches come one day after the other."""
+    for number in range(3):
+        df.where(F.dayofmonth(time) == number + 1).coalesce(1).write.mode("append").parquet(f"{folder}/{name}")
+    return feeds.stream_table(spark, df.schema, f"{folder}/{name}", max_files=1)
+
+
+def _three_day_sockets(spark, d) -> DataFrame:
+    layers = Layers(spark, d)
+    files = silver.silver_open_files(fixture(spark, d, "open_files", three_days(spark, d)), AS_OF)
+    return refine.stream_sockets(files, layers.hosts(), layers.services())
+
+
+@query
+def stream_dim_socket_ttl(spark, d):
+    """First and last sight of sockets; the state of those not seen for six hours goes."""
+    folder = work_folder(spark, "stream")
+    for key, value in bounded.STATE_STORE.items():
+        spark.conf.set(key, value)
+    sockets = _in_order(spark, _three_day_sockets(spark, d), folder, "sockets", "started_at")
+    keys = TABLES["gold_dim_network_socket"].key
+    changed = bounded.first_and_last_with_ttl(sockets, keys, ["uid", "command"], timedelta(hours=6), "1 hour")
+    _finish(feeds.write_batches(changed, f"{folder}/dim", f"{folder}/state", mode="update"))
+    return refine.latest_state(spark.read.parquet(f"{folder}/dim").drop("batch"), keys, ["uid", "command"])
+
+
+@query
+def stream_process_network_blocks(spark, d):
+    """Packets of three days to sockets that live for six hours at most; state lasts a block and the delay."""
+    folder = work_folder(spark, "stream")
+    net = {n: fixture(spark, d, n, three_days(spark, d)) for n in ("tcp", "udp", "ipv4", "ipv6", "packet")}
+    transport = silver.silver_network_transport(net["tcp"], net["udp"], net["packet"], AS_OF)
+    ip = silver.silver_network_ip(net["ipv4"], net["ipv6"], net["packet"], AS_OF)
+    fact_ip = gold.gold_fact_network_ip(transport, ip, net["packet"], AS_OF)
+    files = silver.silver_open_files(fixture(spark, d, "open_files", three_days(spark, d)), AS_OF)
+    layers = Layers(spark, d)
+    sockets = gold.gold_dim_network_socket(files, layers.hosts(), layers.services(), REFRESHES[-1])
+    owned = bounded.process_network_by_blocks(
+        _in_order(spark, fact_ip, folder, "fact_ip", "created_at"), layers.dim_interface(), _in_order(spark, sockets, folder, "sockets", "started_at"), timedelta(hours=6), "12 hours"
+    )
+    _finish(feeds.append_to(owned, f"{folder}/owned", f"{folder}/state"))
+    return spark.read.parquet(f"{folder}/owned")
+
+
+@query
+def stream_retention(spark, d):
+    """Processes of three days by day, kept for one day before the newest."""
+    folder = work_folder(spark, "stream")
+    rows = fixture(spark, d, "process_list", three_days(spark, d))
+    stream = _in_order(spark, rows.select("_id", "pid", "created_at", "inserted_at"), folder, "bronze", "created_at")
+    _finish(bounded.write_days(stream, f"{folder}/silver", f"{folder}/state", "created_at", keep_days=1))
+    return spark.read.parquet(f"{folder}/silver").drop("day", "batch")
+
+
+@query
+def stream_counts(spark, d):
+    """Counts and lags of running streams, merged into the technical tables."""
+    folder = work_folder(spark, "stream")
+    lake, seen = Lake(spark, f"{folder}/lake"), progress.FeedProgress()
+    spark.streams.addListener(seen)
+    try:
+        feeds_ = {"bronze_process_list": "process_list", "bronze_open_files": "open_files", "bronze_network_packet": "packet"}
+        for name, source in feeds_.items():
+            stream = _stored_stream(spark, fixture(spark, d, source), folder, name)
+            watched = progress.observed(stream, name).select("_id", "created_at", "inserted_at")
+            _finish(feeds.append_to(watched, f"{folder}/{name}-out", f"{folder}/{name}-state"))
+        # Reports come after the batch, on a thread of their own.
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+        deadline = time.monotonic() + 60
+        while any(n not in seen.rows or seen.rows[n] < spark.read.parquet(f"{folder}/{n}-out").count() for n in feeds_) and time.monotonic() < deadline:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(seen)
+    for name, df in seen.tables(spark, AS_OF).items():
+        lake.replace(name, lifecycle.merge_gold(name, lake.read(name), conform(df, name)))
+    counts = lake.read("gold_tech_table_count").select("name", F.col("last_count").cast("double").alias("value"), F.lit("rows").alias("what"), "inserted_at")
+    lags = lake.read("gold_tech_chrono").select("name", F.explode(F.array(
+        F.struct(F.col("brz_max_ingest").alias("value"), F.lit("brz_max_ingest").alias("what")), F.struct(F.col("brz_min_ingest").alias("value"), F.lit("brz_min_ingest").alias("what"))
+    )).alias("x"), "inserted_at").select("name", "x.value", "x.what", "inserted_at")
+    return counts.unionByName(lags)
