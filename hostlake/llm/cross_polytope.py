@@ -6,8 +6,9 @@ buckets with rotations of their own make the index. A query looks into the bucke
 each table (multiprobe); what it finds there is ranked by cosine. Cosines are computed in extended precision and
 rounded to double, pair by pair, so a pair has one score wherever it meets, and equal cosines are ties.
 
-Fitting chooses parts, tables and probes for each length of vectors: the cheapest setting that finds at least
-`recall` of the true neighbours within a sample of bounded bytes. Lengths of at most FEW vectors are searched whole.
+Fitting chooses parts, tables and probes for each length of vectors: of the settings that find at least `recall` of the
+true neighbours within a sample of bounded bytes, the one of least cost, by copies of a query that are shipped and
+vectors that it is compared with. Lengths of at most `few` vectors are searched whole, which only improves answers.
 Every vector is indexed.
 
 Scale. Vectors of exactly one direction are one class that keeps its `top` + 1 smallest ids, which is all that any
@@ -42,7 +43,9 @@ SPARE = 3
 #: More than what matrix products of unit vectors are off by, and pairs scored together.
 MARGIN = 1e-10
 PAIRS = 4096
-#: (parts, tables, probes) in order of the share of all vectors they look at.
+#: Shipping a component to a bucket costs about as much as this many products of components.
+SHIPPING = 100
+#: (parts, tables, probes); the last looks at all vectors.
 SETTINGS = [(2, 16, 16), (2, 16, 64), (2, 16, 256), *((1, 8, p) for p in (4, 6, 8, 12, 16, 24, 32, 48, 64, 96)), (1, 1, 1 << 30)]
 
 
@@ -145,35 +148,41 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (dot / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))).astype(np.float64) + 0.0
 
 
-def fitted(vectors: DataFrame, top: int, recall: float) -> dict[int, tuple[int, int, int]]:
-    """The setting of each length of more than FEW vectors, from a sample of its own (the smallest hashes)."""
+def fitted(vectors: DataFrame, top: int, recall: float, few: int = FEW) -> dict[int, tuple[int, int, int]]:
+    """The setting of each length of more than `few` vectors, from a sample of its own (the smallest hashes)."""
     size = F.size("vec").alias("size")
     settings = {}
-    for dim in [r["size"] for r in vectors.groupBy(size).count().where(F.col("count") > FEW).collect()]:
-        rows = max(FEW, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
+    for dim, count in [tuple(r) for r in vectors.groupBy(size).count().where(F.col("count") > few).collect()]:
+        rows = max(few, min(SAMPLE_ROWS, SAMPLE_BYTES // (8 * dim)))
         sample = vectors.where(size == dim).orderBy(F.xxhash64("vec"), "vec").limit(rows).select("vec").collect()
-        settings[dim] = cheapest(unit(np.array([r["vec"] for r in sample])), top, recall)
+        settings[dim] = cheapest(unit(np.array([r["vec"] for r in sample])), top, recall, count)
     return settings
 
 
-def cheapest(x: np.ndarray, top: int, recall: float) -> tuple[int, int, int]:
-    """The first setting that reaches the recall among rows of one length."""
-    queries = x[:SAMPLE_QUERIES]
+def cheapest(x: np.ndarray, top: int, recall: float, count: int | None = None) -> tuple[int, int, int]:
+    """The setting of least cost for `count` rows of one length that reaches the recall among a sample x of them."""
+    queries, count = x[:SAMPLE_QUERIES], count or len(x)
     scores = queries @ x.T
     scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
     true = np.argsort(-scores, axis=1)[:, : min(top, len(x) - 1)]
+    best, least = SETTINGS[-1], np.inf
     if not true.size:
-        return SETTINGS[-1]
-    for setting in SETTINGS[:-1]:
+        return best
+    for setting in SETTINGS:
         index = Index(x.shape[1], *setting)
-        found = np.zeros(true.shape, bool)
+        found, looked = np.zeros(true.shape, bool), 0.0
         for table in range(index.tables):
             own = index.buckets(x, table)
             probed = index.probed(queries, table)
             found |= (own[true][:, :, None] == probed[:, None, :]).any(axis=2)
-        if found.mean() >= recall:
-            return setting
-    return SETTINGS[-1]
+            buckets, sizes = np.unique(own, return_counts=True)
+            at = np.minimum(np.searchsorted(buckets, probed), len(buckets) - 1)
+            looked += np.where(buckets[at] == probed, sizes[at], 0).sum() / probed.shape[0] / len(x)
+        # Probes are of a query, the index of a row: each is shipped once a table and probe, and once a table.
+        cost = SHIPPING * index.tables * (index.probes + 1) + looked * count
+        if found.mean() >= recall and cost < least:
+            best, least = setting, cost
+    return best
 
 
 def _valid(vec: Column) -> Column:
@@ -272,7 +281,7 @@ def best_of_block(x: np.ndarray, y: np.ndarray, c: np.ndarray, least: np.ndarray
     return at[first], found[first], scores[first]
 
 
-def nearest(vectors: DataFrame, every: int = 50, top: int = 5, recall: float = 0.95, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def nearest(vectors: DataFrame, every: int = 50, top: int = 5, recall: float = 0.95, few: int = FEW, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: for each row whose id is divisible by `every` its `top` nearest others."""
     rows = vectors.select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<double>").alias("vec"))
     rows = rows.where(F.col("id").isNotNull() & _valid(F.col("vec")))
@@ -289,7 +298,7 @@ def nearest(vectors: DataFrame, every: int = 50, top: int = 5, recall: float = 0
         "classes",
     )
     asked = stored(queries.join(classes.select("vec", "class"), "vec").select("id", "class"), "asked")
-    settings = fitted(classes, top, recall)
+    settings = fitted(classes, top, recall, few)
     known = classes.select("class", F.col("ids")[0].alias("least"), "vec")
     wanted = known.join(asked.select("class").distinct(), "class", "left_semi").select("class", "least", "vec")
     index = blocks(hashed(known, settings, probing=False), "c")
