@@ -50,9 +50,8 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 def byte_bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, and whether decoding them gives the text back."""
     prepare(spark)
-    coded = byte_bpe.encode(docs.select(*COLUMNS), BYTE_RANKS, public_tokenizers.PATTERN)
-    back = byte_bpe.decode(coded, BYTE_RANKS)
-    return back.select(
+    coded = byte_bpe.code(docs.select(*COLUMNS), BYTE_RANKS, public_tokenizers.PATTERN)
+    return coded.select(
         "doc_id",
         "lang",
         "source",

@@ -267,6 +267,12 @@ class StreamDecoder:
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
         return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), final)
 
+    def whole(self, ids: np.ndarray, block: int = 1 << 16) -> str:
+        """The text of all ids of an array."""
+        self.machine.reset()
+        parts = [self.feed(ids[at : at + block].tolist()) for at in range(0, len(ids), block)]
+        return "".join([*parts, self.feed((), final=True)])
+
     def text(self, ids: Iterable[int], block: int = 1 << 16) -> str:
         self.machine.reset()
         source: Iterator[int] = iter(ids)
@@ -285,14 +291,27 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", o
     def compute(batch: pa.RecordBatch) -> list[pa.Array]:
         encoder = worker_state(("encode", ranks_path, pattern), lambda: Encoder(ranks.value, pattern))
         found = [encoder.encode(t) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
-        ends = np.zeros(len(found) + 1, np.int32)
-        np.cumsum([len(f) for f in found], out=ends[1:])
-        values = np.concatenate(found) if found else np.empty(0, np.int32)
-        return [pa.ListArray.from_arrays(pa.array(ends), pa.array(values))]
+        return [_id_lists(found)]
 
     return arrow_append(docs, [T.StructField(out, T.ArrayType(T.IntegerType()))], compute, without)
 
 
+def code(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", out: str = "ids", back: str = "decoded", without: Sequence[str] = ()) -> DataFrame:
+    """docs with the token ids of each whole text and the text decoded from them, in one pass of one worker."""
+    ranks = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
+
+    def coder() -> tuple[Encoder, StreamDecoder]:
+        encoder = Encoder(ranks.value, pattern)
+        return encoder, StreamDecoder(encoder.transducer.bytes_of)
+
+    def compute(batch: pa.RecordBatch) -> list[pa.Array]:
+        encoder, decoder = worker_state(("code", ranks_path, pattern), coder)
+        found = [encoder.encode(t) if t else np.empty(0, np.int32) for t in batch.column(text).to_pylist()]
+        return [_id_lists(found), pa.array(map(decoder.whole, found), pa.string())]
+
+    return arrow_append(docs, [T.StructField(out, T.ArrayType(T.IntegerType())), T.StructField(back, T.StringType())], compute, without)
+
+
 def decode(docs: DataFrame, ranks_path: str, ids: str = "ids", out: str = "decoded", without: Sequence[str] = ()) -> DataFrame:
     """docs with the text of each array of token ids. NULL ids give an empty text; bytes that are no UTF-8
     become U+FFFD."""
@@ -310,3 +329,9 @@ def _lists(column: pa.Array) -> Iterator[list[int] | None]:
     values = column.values.to_numpy(zero_copy_only=False)
     for i, known in enumerate(column.is_valid().to_pylist()):
         yield values[ends[i] : ends[i + 1]].tolist() if known else None
+
+
+def _id_lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.zeros(len(found) + 1, np.int32)
+    np.cumsum([len(f) for f in found], out=ends[1:])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found) if found else np.empty(0, np.int32)))

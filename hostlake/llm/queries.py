@@ -40,9 +40,8 @@ def op1_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = byte_bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN, without=["text"])
-    back = byte_bpe.decode(coded, BYTE_RANKS)
-    return back.select(
+    coded = byte_bpe.code(docs, BYTE_RANKS, public_tokenizers.PATTERN, without=["text"])
+    return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         sha256(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),

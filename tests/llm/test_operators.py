@@ -72,7 +72,9 @@ def test_byte_bpe(engine, rows):
     docs = odd(rows)
     coded = byte_bpe.encode(frame(engine, docs, EXTRA), BYTE_RANKS, public_tokenizers.PATTERN)
     back = byte_bpe.decode(coded, BYTE_RANKS)
-    assert got(back, "doc_id", "ids", "decoded") == collections.Counter((d, tuple(known.encode_ordinary(t or "")), t or "") for d, t in docs)
+    want = collections.Counter((d, tuple(known.encode_ordinary(t or "")), t or "") for d, t in docs)
+    assert got(back, "doc_id", "ids", "decoded") == want
+    assert got(byte_bpe.code(frame(engine, docs, EXTRA), BYTE_RANKS, public_tokenizers.PATTERN), "doc_id", "ids", "decoded") == want
 
 
 @pytest.mark.parametrize("arcs", [64, 1 << 18])
