@@ -17,12 +17,12 @@ from pathlib import Path
 from pyspark.sql import functions as F
 
 from hostlake.operators import packets
-from hostlake.plans import gold, lifecycle, silver
+from hostlake.plans import changes, frames, gold, lifecycle, silver
 from hostlake.schemas import tables_of
 from hostlake.session import build_session
 from hostlake.sources import open_files
 from hostlake.sources.lake import Lake
-from workload.fixtures import AS_OF, fixture
+from workload.fixtures import AS_OF, LOADED, fixture
 from workload.queries import fill_bronze
 
 
@@ -53,6 +53,9 @@ def main() -> None:
     for raw in ("frames", "raw_open_files"):
         fixture(spark, sf_dir, raw).repartition(int(cpus)).write.parquet(f"{folder}/{raw}")
 
+    captured = Lake(spark, f"{folder}/captured")
+    frames.load_frames(captured, spark.read.parquet(f"{folder}/frames"), LOADED)
+
     def run(df) -> None:
         df.write.format("noop").mode("overwrite").save()
 
@@ -98,6 +101,9 @@ def main() -> None:
         "dim_socket": dim_socket,
         "decode_frames": decode,
         "parse_open_files": listings,
+        # Change-driven: the six silver tables of all packets from stored frames, and a run that finds nothing new.
+        "silver_from_frames": lambda: changes.refresh_silver(captured, AS_OF),
+        "silver_nothing_new": lambda: changes.refresh_silver(captured, AS_OF),
     }
     seconds = {}
     for name, job in jobs.items():
