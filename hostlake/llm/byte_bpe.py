@@ -38,6 +38,8 @@ SPACE = "\t-\r \x85\xa0  -     　"
 NO_TOKEN = -1
 MAX_ARCS = 1 << 18
 MAX_PIECES = 3 << 16
+#: Bytes before the end of a piece from which on its tokens may wait for the end.
+SOON = 64
 #: Texts above this many characters are cut into pieces one by one instead of in a list.
 LONG_TEXT = 1 << 20
 
@@ -177,6 +179,39 @@ class Transducer:
         self.made += 1
         return made
 
+    def finish(self, open_places: Iterable[tuple], rest: bytes) -> list[int]:
+        """What is still to come of a piece that ends soon. Nothing needs to be agreed upon before the end, so
+        outputs are trails that share their beginnings."""
+        child, tokens, known = self.child, self.token, self.stable
+        places = [(node, last, (None, pending)) for node, last, pending in open_places]
+        for byte in rest:
+            after, closed = [], None
+            for node, last, trail in places:
+                below = child[node].get(byte)
+                if below is None:
+                    continue
+                if closed is None:
+                    token = tokens[below]
+                    if token != NO_TOKEN:
+                        stable = known.get((last, token))
+                        if stable is None:
+                            if len(known) >= self.max_arcs:
+                                known.clear()
+                            stable = known[last, token] = self.pair_is_stable(last, token)
+                        if stable:
+                            closed = (0, token, (trail, token))
+                if child[below]:
+                    after.append((below, last, trail))
+            after.append(closed)
+            places = after
+        out, trail = [], places[-1][2]
+        while trail[0] is not None:
+            trail, token = trail
+            out.append(token)
+        out.extend(reversed(trail[1]))
+        out.reverse()
+        return out
+
     def encode(self, piece: bytes) -> tuple[int, ...]:
         """An arc is made when it is asked for the second time; before that, the open places are followed
         without keeping states, as most rare pieces end soon after they leave the known states."""
@@ -195,6 +230,8 @@ class Transducer:
                 if key not in self.asked:
                     self.asked.add(key)
                     places = self.states[state]
+                    if len(piece) - at <= SOON:
+                        return (*out, *self.finish(places, piece[at:]))
                     for byte in piece[at:]:
                         places, emitted = self.follow(places, byte)
                         if emitted:
@@ -261,16 +298,17 @@ class StreamDecoder:
     """Text of a stream of tokens; a character cut between two calls comes out with the second."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.bytes_of = [bytes_of.get(k, b"") for k in range(max(bytes_of, default=-1) + 1)]
+        self.bytes_of = np.array([bytes_of.get(k, b"") for k in range(max(bytes_of, default=-1) + 1)], object)
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
-    def feed(self, ids: Iterable[int], final: bool = False) -> str:
-        return self.machine.decode(b"".join(map(self.bytes_of.__getitem__, ids)), final)
+    def feed(self, ids: Sequence[int] | np.ndarray, final: bool = False) -> str:
+        found = self.bytes_of[ids].tolist() if len(ids) else ()
+        return self.machine.decode(b"".join(found), final)
 
     def whole(self, ids: np.ndarray, block: int = 1 << 16) -> str:
         """The text of all ids of an array."""
         self.machine.reset()
-        parts = [self.feed(ids[at : at + block].tolist()) for at in range(0, len(ids), block)]
+        parts = [self.feed(ids[at : at + block]) for at in range(0, len(ids), block)]
         return "".join([*parts, self.feed((), final=True)])
 
     def text(self, ids: Iterable[int], block: int = 1 << 16) -> str:
