@@ -5,13 +5,19 @@ windows of a text mostly share their minimiser; they travel together as one pack
 to the bucket of that minimiser. Equal windows have equal minimisers, so they meet in one bucket, where
 sorting the windows counts them exactly.
 
-1. Texts are read in blocks of some MB. Words become numbers of the block; equal super-k-mers of a block
-   travel once (that their windows repeat is then known). What a block sends to a bucket is one row: its
-   super-k-mers as numbers, their words once, both compressed. Words travel as words, not as hashes.
-2. A bucket sorts 128-bit hashes of its windows. Buckets are as many as the input has blocks, so they stay
-   small; a minimiser that many texts share loses its equal windows before they travel.
-3. Runs of removed words come back by text key, by broadcast if they were counted to be few, and every text
-   is cut by them. Copies of a text share the key: their windows occur twice, so they have the same runs.
+1. Each text gives its minimisers as 64-bit numbers. Counting them tells which occur twice or more; a window
+   whose minimiser occurs once occurs once itself, so only super-k-mers of repeated minimisers travel.
+2. Texts that hold such minimisers are read in blocks of some MB. Words become numbers of the block; equal
+   super-k-mers of a block travel once (that their windows repeat is then known). What a block sends to a
+   bucket is one row: its super-k-mers as numbers, their words once, both compressed. Words travel as words,
+   not as hashes.
+3. A bucket sorts 128-bit hashes of its windows. Buckets are as many as the repeated windows call for. The count
+   of a minimiser is known by then: one that many texts share is split into parts, and its super-k-mers are cut
+   into windows, each of which goes to the part that its own hash names. Equal windows still meet, and no bucket
+   holds more than its share and one row a block of a window that is in all blocks.
+4. Runs of removed words come back by text key, and every text is cut by them. Copies of a text share the key:
+   their windows occur twice, so they have the same runs. Both joins with texts are sort-merge joins at every
+   size, as what they bring has no bound; adaptive execution splits the partition of a text with many copies.
 
 Rows: NULL is a text without words. Texts shorter than a window lose nothing. Repeated rows are documents of
 their own, so their windows repeat. Other columns pass through; those called like results are replaced.
@@ -29,15 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hostlake.llm.common import arrow_append, broadcast_if_small, stored, text_key
+from hostlake.llm.common import arrow_append, stored, text_key
 from hostlake.llm.wordhash import WordHashes, grams, mix
 
-RUN_WORDS = 6
-#: Bytes of text in a block, and text for each bucket.
+#: Words of a run. Shorter ones make longer super-k-mers, longer ones are seldom shared by chance.
+RUN_WORDS = 12
+#: Bytes of text in a block, and super-k-mers for each bucket.
 BLOCK_BYTES = 12_000_000
-BUCKET_BYTES = 24_000_000
-#: Texts and runs that may be broadcast: some tens of MB.
-BROADCAST_ROWS = 1_000_000
+BUCKET_PIECES = 100_000
+#: Occurrences of a minimiser for each part that its windows are split into.
+PART_PIECES = 50_000
 #: Windows counted at once in a bucket; a larger bucket is counted in several passes over its rows.
 PASS_WINDOWS = 2_000_000
 SECOND = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -58,44 +65,65 @@ def window_hashes(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray
     return grams(codes, width), grams(mix(codes ^ SECOND), width)
 
 
+def minimisers(codes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Run hashes of a text, and the minimiser of each of its windows."""
+    runs = grams(codes, RUN_WORDS)
+    return runs, sliding_least(runs, width - RUN_WORDS + 1)
+
+
 class Block:
-    """Texts of a block: word numbers, super-k-mers, and what to send."""
+    """Texts of a block: word numbers, super-k-mers that travel, and what to send. Each text comes with the
+    minimisers that are repeated somewhere, in order, and the parts of each."""
 
-    def __init__(self, texts: list[tuple[bytes, bytes]], width: int, buckets: int, hashes: WordHashes):
+    def __init__(self, texts: list[tuple[bytes, bytes, np.ndarray, np.ndarray]], width: int, buckets: int, hashes: WordHashes):
         self.width, self.buckets = width, buckets
         numbers: dict[bytes, int] = {}
         number = numbers.setdefault
         words: list[int] = []
         ends = [0]
-        self.keys = []
-        for key, text in texts:
+        self.keys, self.repeated = [], []
+        for key, text, least, parts in texts:
             split = text.split()
             if len(split) >= width:
                 words.extend([number(w, len(numbers)) for w in split])
                 ends.append(len(words))
                 self.keys.append(key)
+                self.repeated.append((least, parts))
         self.words = list(numbers)
         self.ids = np.array(words, np.uint32)
         self.ends = np.array(ends, np.int64)
         self.codes = hashes.of(self.words)
 
     def super_kmers(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """doc, start (in words of the block), windows, minimiser."""
+        """doc, start (in words of the block), windows, and the number that decides upon the bucket."""
         codes = self.codes[self.ids]
-        parts = []
-        inner = self.width - RUN_WORDS + 1
-        for d in range(len(self.keys)):
+        found = []
+        for d, (known, parts) in enumerate(self.repeated):
             lo, hi = self.ends[d], self.ends[d + 1]
-            least = sliding_least(grams(codes[lo:hi], RUN_WORDS), inner)
+            _, least = minimisers(codes[lo:hi], self.width)
             cut = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            parts.append((np.full(cut.size, d), cut + lo, np.diff(np.r_[cut, least.size]), least[cut]))
-        if not parts:
+            count = np.diff(np.r_[cut, least.size])
+            place = np.minimum(np.searchsorted(known, least[cut]), max(known.size - 1, 0))
+            goes = known[place] == least[cut] if known.size else np.zeros(cut.size, bool)
+            cut, count, place = cut[goes], count[goes], place[goes]
+            split = parts[place] > 1
+            if split.any():
+                # Single windows of a split minimiser, each with its own number.
+                each, n = cut[split], count[split]
+                at = np.repeat(each - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
+                part = grams(codes[lo:hi], self.width)[at] % np.repeat(parts[place[split]], n).astype(np.uint64)
+                cut, count = np.r_[cut[~split], at], np.r_[count[~split], np.ones(at.size, count.dtype)]
+                aim = np.r_[mix(least[cut[: cut.size - at.size]]), mix(least[at] ^ mix(part + np.uint64(1)))]
+            else:
+                aim = mix(least[cut])
+            found.append((np.full(cut.size, d), cut + lo, count, aim))
+        if not found:
             return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
-        return tuple(np.concatenate([p[k] for p in parts]) for k in range(4))
+        return tuple(np.concatenate([p[k] for p in found]) for k in range(4))
 
     def rows(self) -> Iterator[tuple]:
         """(bucket, keys, docs, offsets, windows, known, ids, words) of each bucket that gets anything."""
-        doc, start, count, least = self.super_kmers()
+        doc, start, count, aim = self.super_kmers()
         if not doc.size:
             return
         size = count + self.width - 1
@@ -105,8 +133,8 @@ class Block:
         _, first, back, times = np.unique(digest[:, 0] ^ mix(digest[:, 1]), return_index=True, return_inverse=True, return_counts=True)
         known = times[back] > 1
         repeats = np.flatnonzero(known)
-        yield int(least[0] % np.uint64(self.buckets)), self.keys, doc[repeats], start[repeats] - self.ends[doc[repeats]], count[repeats], None, None, None
-        bucket = (mix(least[first]) % np.uint64(self.buckets)).astype(np.int64)
+        yield int(aim[0] % np.uint64(self.buckets)), self.keys, doc[repeats], start[repeats] - self.ends[doc[repeats]], count[repeats], None, None, None
+        bucket = (aim[first] % np.uint64(self.buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0, True])
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -120,6 +148,37 @@ def _packed(values: np.ndarray, kind: str, squeeze) -> bytes:
     return squeeze(np.ascontiguousarray(values, dtype=kind).tobytes())
 
 
+def pieces(texts: DataFrame, width: int) -> DataFrame:
+    """(doc, least, n): the minimisers of each text and how often their runs are in it. A text is known by the
+    first 60 bits of its key: should two share them, they only share what travels."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for batch in batches:
+            docs, least, counts, sizes = [], [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = text.encode().split()
+                if len(words) >= width:
+                    runs, windows = minimisers(hashes.of(words), width)
+                    own = np.unique(windows[np.flatnonzero(np.r_[True, windows[1:] != windows[:-1]])])
+                    runs.sort()
+                    docs.append(doc)
+                    sizes.append(own.size)
+                    least.append(own)
+                    counts.append(np.searchsorted(runs, own, "right") - np.searchsorted(runs, own))
+            if docs:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.repeat(np.array(docs, np.int64), sizes)), pa.array(np.concatenate(least).view(np.int64)), pa.array(np.concatenate(counts), pa.int64())], ["doc", "least", "n"]
+                )
+
+    return texts.select("doc", "text").mapInArrow(run, "doc bigint, least bigint, n bigint")
+
+
+def repeated_minimisers(found: DataFrame) -> DataFrame:
+    """(least, n) of the minimisers that occur twice or more. Counts are summed before the shuffle."""
+    return found.groupBy("least").agg(F.sum("n").alias("n")).where(F.col("n") > 1)
+
+
 def sent(docs: DataFrame, width: int, buckets: int) -> DataFrame:
     """One row for each block and bucket, and one without words for the runs that a block settles by itself."""
 
@@ -146,9 +205,11 @@ def sent(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
         texts, held = [], 0
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for key, text, repeated in zip(*(batch.column(k).to_pylist() for k in ("key", "text", "repeated")), strict=True):
                 raw = text.encode()
-                texts.append((key, raw))
+                least = np.array([r["least"] for r in repeated], np.int64).view(np.uint64)
+                order = np.argsort(least)
+                texts.append((key, raw, least[order], np.array([r["parts"] for r in repeated], np.int64)[order]))
                 held += len(raw)
                 if held >= BLOCK_BYTES:
                     yield from rows(texts)
@@ -254,10 +315,17 @@ def _count_bucket(parcels: list[Parcel], words: WordHashes, width: int) -> Itera
 def repeated_runs(docs: DataFrame, width: int, text: str) -> DataFrame:
     """(key, runs): for each text with repeated windows its runs of words to remove, as (start, end), from 0.
     They may overlap."""
-    source = docs.select(text_key(F.col(text)).alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    total = docs.agg(F.sum(F.octet_length(text).cast("bigint"))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
-    travelling = sent(source, width, buckets).repartition("bucket").sortWithinPartitions("bucket")
+    key = text_key(F.col(text))
+    source = docs.select(key.alias("key"), F.conv(F.substring(F.hex(key), 1, 15), 16, 10).cast("bigint").alias("doc"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    found = stored(pieces(source, width), "pieces")
+    repeated = stored(repeated_minimisers(found), "minimisers")
+    total = repeated.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_PIECES))
+    parts = F.ceil(F.col("n") / PART_PIECES).cast("int")
+    held = found.drop("n").join(repeated.select("least", parts.alias("parts")).hint("merge"), "least")
+    held = held.groupBy("doc").agg(F.collect_set(F.struct("least", "parts")).alias("repeated"))
+    candidates = source.join(held.hint("merge"), "doc").select("key", "text", "repeated")
+    travelling = sent(candidates, width, buckets).repartition("bucket").sortWithinPartitions("bucket")
     runs = counted(travelling, width)
     return stored(runs.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("runs")), "runs")
 
@@ -265,7 +333,7 @@ def repeated_runs(docs: DataFrame, width: int, text: str) -> DataFrame:
 def dedup_substrings(docs: DataFrame, width: int = 35, text: str = "text", out: str = "kept_text", without: Sequence[str] = ()) -> DataFrame:
     """docs with n_words, n_removed and the kept words joined by one blank."""
     runs = repeated_runs(docs, width, text)
-    runs = broadcast_if_small(runs.select(F.col("key").alias("_runs_key"), F.col("runs").alias("_runs")), "_runs", BROADCAST_ROWS)
+    runs = runs.select(F.col("key").alias("_runs_key"), F.col("runs").alias("_runs")).hint("merge")
     names = [c for c in docs.columns if c not in ("n_words", "n_removed") and (c == text or c != out)]
     source = docs.select(*names, text_key(F.col(text)).alias("_text_key"))
     joined = source.join(runs, source["_text_key"] == runs["_runs_key"], "left").drop("_runs_key", "_text_key")

@@ -165,12 +165,44 @@ def test_substrings(engine, rows):
 
 
 def test_substrings_over_many_blocks_and_passes(engine, rows, monkeypatch):
-    for name, value in (("BLOCK_BYTES", 2000), ("BUCKET_BYTES", 40_000), ("PASS_WINDOWS", 500), ("BROADCAST_ROWS", 0)):
+    for name, value in (("BLOCK_BYTES", 2000), ("BUCKET_PIECES", 20), ("PART_PIECES", 3), ("PASS_WINDOWS", 50)):
         monkeypatch.setattr(substring_dedup, name, value)
     found = substring_dedup.dedup_substrings(frame(engine, rows))
     assert got(found, "doc_id", "n_words", "n_removed", "kept_text") == collections.Counter(substrings(rows, 35))
 
 
+def test_substrings_split_a_hot_minimiser():
+    """A run of twelve words that all texts share, in different surroundings: its windows spread over buckets."""
+    rng = random.Random(5)
+    run = " ".join(f"hot{k}" for k in range(12))
+    some = lambda: " ".join(str(rng.random()) for _ in range(30))
+    texts = [f"{some()} {run} {some()}".encode() for _ in range(300)]
+    hashes = substring_dedup.WordHashes()
+    windows = [substring_dedup.minimisers(hashes.of(t.split()), 35)[1] for t in texts]
+    every = np.unique(np.concatenate(windows))
+
+    def largest(parts):
+        block = substring_dedup.Block([(b"k" * 16, t, every, np.full(every.size, parts)) for t in texts], 35, 16, hashes)
+        sizes = collections.Counter()
+        for bucket, _, _, _, count, known, _, _ in block.rows():
+            sizes[bucket] += 0 if known is None else int(count.sum())
+        assert sum(sizes.values()) == sum(w.size for w in windows)
+        return max(sizes.values()) / sum(sizes.values())
+
+    assert largest(64) < 1.5 / 16
+
+
+def test_substrings_leave_texts_without_repeats_at_home(engine):
+    rng = random.Random(6)
+    own = [(k, " ".join(str(rng.random()) for _ in range(80))) for k in range(200)]
+    twice = own[3][1].split()[20:60]
+    docs = [*own, (500, " ".join(["before", *twice, "after"]))]
+    source = frame(engine, docs).select(F.lit(1).alias("doc"), "text")
+    repeated = substring_dedup.repeated_minimisers(substring_dedup.pieces(source, 35)).collect()
+    assert 0 < len(repeated) <= 6
+    assert got(substring_dedup.dedup_substrings(frame(engine, docs)), "doc_id", "n_words", "n_removed", "kept_text") == collections.Counter(substrings(docs, 35))
+
+
 def sized(engine, rows, **more):
     text = F.coalesce("text", F.lit(""))
     return frame(engine, rows, **more).withColumns({"size": sharding.text_size(F.col("text")), "text_hash": F.xxhash64(text)})
