@@ -9,7 +9,9 @@ The key of a line is the line without white space at its ends and with A-Z in lo
    arrays; a key belongs to the first level where it is alone on its bit, and the rank of the bit is its
    place - with an array of 64-bit fingerprints, one of counts and one of keeping ids at those places.
 3. The lines' hashes are sent to the shards, and probe the arrays as they stream by: nothing is joined and no
-   group is collected. A shard that holds hot lines gets as many copies as its lines call for.
+   group is collected. All shards get the copies that an even share of all lines calls for, so a corpus with
+   few repeated lines is probed by many tasks too; one that holds hot lines gets more. How many copies a shard
+   has is one small row for 65,536 repeated keys, which is broadcast; a shard without keys is not asked.
 4. Numbers of dropped lines come back to the documents, by broadcast if they were counted to be few.
 
 Rows: a NULL or empty text is one empty line. A NULL id counts as larger than all ids, and all rows of NULL
@@ -33,7 +35,7 @@ from hostlake.llm.common import broadcast_if_small, let, stored, text_key
 BLANKS = " \t\n\x0b\x0c\r"
 KEYS_PER_SHARD = 1 << 16
 #: Lines that one copy of a shard serves.
-LINES_PER_COPY = 1 << 21
+LINES_PER_COPY = 1 << 18
 #: Documents and lines to drop that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 1_000_000
 NO_ID = (1 << 63) - 1
@@ -153,13 +155,14 @@ def repeated_lines(lines: DataFrame) -> DataFrame:
     return grouped.where(F.col("keeper") < F.col("_last")).drop("_last")
 
 
-def build_shards(repeated: DataFrame, shards: int) -> DataFrame:
+def build_shards(repeated: DataFrame, shards: int, n_lines: int) -> DataFrame:
     """(shard, copies, packed): the arrays of each shard; hashes spread evenly, so a shard's size is bounded."""
+    even = 1 + n_lines // shards // LINES_PER_COPY
 
     def build(group):
         u = lambda name: group[name].to_numpy().view(np.uint64)
         packed = pack_shard(u("a"), u("b"), group["keeper"].to_numpy(), group["n"].to_numpy())
-        copies = 1 + int(group["n"].sum()) // LINES_PER_COPY
+        copies = even + int(group["n"].sum()) // LINES_PER_COPY
         return type(group)({"shard": [group["shard"].iloc[0]], "copies": [copies], "packed": [packed]})
 
     return repeated.withColumn("shard", _shard(shards)).groupBy("shard").applyInPandas(build, "shard int, copies int, packed binary")
@@ -169,17 +172,16 @@ def _shard(shards: int) -> Column:
     return F.pmod(F.col("a"), F.lit(shards)).cast("int")
 
 
+def dealt(lines: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
+    """Lines with their shard and the copy of it that they ask."""
+    copies = F.broadcast(shards.select("shard", "copies"))
+    return lines.withColumn("shard", _shard(n_shards)).join(copies, "shard").withColumn("salt", F.pmod(F.xxhash64("key", "line", "doc"), "copies").cast("int")).drop("copies")
+
+
 def probe(lines: DataFrame, shards: DataFrame, n_shards: int) -> DataFrame:
     """(doc, key, line) of the lines to drop. Arrays and lines of a shard stream through one sorted partition,
     the arrays first."""
-    copies = [1] * n_shards
-    for r in shards.where(F.col("copies") > 1).select("shard", "copies").collect():  # at most all lines / LINES_PER_COPY
-        copies[r[0]] = r[1]
-    many = {k: c for k, c in enumerate(copies) if c > 1}
-    salt = F.lit(0)
-    for k, c in many.items():
-        salt = F.when(F.col("shard") == k, F.pmod(F.xxhash64("key", "line"), F.lit(c)).cast("int")).otherwise(salt)
-    asking = lines.withColumn("shard", _shard(n_shards)).select("shard", salt.alias("salt"), F.lit(1).alias("asks"), "doc", "key", "line", "a", "b", F.lit(None).cast("binary").alias("packed"))
+    asking = dealt(lines, shards, n_shards).select("shard", "salt", F.lit(1).alias("asks"), "doc", "key", "line", "a", "b", F.lit(None).cast("binary").alias("packed"))
     null = F.lit(None)
     arrays = shards.select(
         "shard", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("salt"), F.lit(0).alias("asks"),
@@ -211,7 +213,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 10, doc_id: str = "doc_id", te
     lines = stored(hashed_lines(docs, min_chars, doc_id, text), "lines")
     repeated = stored(repeated_lines(lines), "repeated")
     n_shards = max(1, -(-repeated.count() // KEYS_PER_SHARD))
-    shards = stored(build_shards(repeated, n_shards), "shards")
+    shards = stored(build_shards(repeated, n_shards, lines.count()), "shards")
     dropped = stored(
         probe(lines, shards, n_shards).groupBy("doc", "key").agg(F.collect_set("line").alias("_lines")), "dropped"
     ).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_lines")

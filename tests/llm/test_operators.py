@@ -150,6 +150,18 @@ def test_lines_with_many_shards_and_copies(engine, rows, monkeypatch):
     assert got(found, "doc_id", "n_lines", "n_dropped", "kept_text") == collections.Counter(lines(docs))
 
 
+def test_few_repeated_lines_are_probed_by_many_tasks(engine, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINES_PER_COPY", 100)
+    docs = [(k, "\n".join([f"line number {n} of {k}" for n in range(10)] + ["the one line that all repeat"][: k % 3])) for k in range(300)]
+    found = line_dedup.hashed_lines(frame(engine, docs), 10, "doc_id", "text").cache()
+    repeated = line_dedup.repeated_lines(found)
+    assert repeated.count() == 1
+    shards = line_dedup.build_shards(repeated, 1, found.count()).cache()
+    sizes = [r["count"] for r in line_dedup.dealt(found, shards, 1).groupBy("shard", "salt").count().collect()]
+    assert len(sizes) >= 32 and sum(sizes) == found.count() and max(sizes) < 200
+    assert got(line_dedup.dedup_lines(frame(engine, docs)), "doc_id", "n_lines", "n_dropped", "kept_text") == collections.Counter(lines(docs))
+
+
 def test_perfect_hash():
     rng = np.random.default_rng(6)
     a, b = rng.integers(0, 1 << 63, (2, 5000)).astype(np.uint64)
