@@ -1,6 +1,7 @@
 """Edge rows of silver and gold, schemas, retention, lookups, export and repeated refreshes."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -253,3 +254,25 @@ def test_decoded_and_joined_silver_agree(spark, sf_dir):
 def test_conform_orders_and_fills(spark):
     got = conform(spark.range(1).selectExpr("'x' as name"), "gold_file_user")
     assert got.columns == ["name", "uid", "inserted_at"]
+
+
+def test_new_facts_are_written_by_the_tasks_that_made_them(spark, tmp_path):
+    """Attributions may be many times their input: they are not shuffled before they are written."""
+    lake = Lake(spark, str(tmp_path / "lake"))
+    name, as_of = "gold_fact_process_network", "2024-01-01 10:00:00"
+    rows = spark.range(300).select(F.col("id").alias("pid"), F.col("id").cast("string").alias("packet_id"), F.lit(True).alias("send"), F.lit(as_of).cast("timestamp_ntz").alias("inserted_at"))
+    lifecycle._write_gold(lake, name, rows.repartition(3), as_of)
+    assert len(list(Path(lake.root).rglob("period=2024-01-01/*.parquet"))) == 3
+    # Keys that come again replace their rows, others stay.
+    later = "2024-01-02 10:00:00"
+    again = rows.where("pid < 100").withColumn("inserted_at", F.lit(later).cast("timestamp_ntz"))
+    found = lifecycle._write_gold(lake, name, again, later)
+    assert found.count() == 300 == found.select("pid").distinct().count()
+    assert found.where(F.to_date("inserted_at") == "2024-01-02").count() == 100
+
+
+def test_counts_of_all_tables_take_one_exchange(spark):
+    tables = {name: spark.range(k % 3).select("id") for k, name in enumerate(gold.COUNTED_TABLES)}
+    counts = gold.gold_tech_table_count(tables, AS_OF)
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert {r["_id"]: (r["name"], r["max_count"], r["last_count"]) for r in counts.collect()} == {k: (n, k % 3, k % 3) for k, n in enumerate(gold.COUNTED_TABLES)}
