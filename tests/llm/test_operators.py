@@ -552,3 +552,28 @@ def test_empty_tables(engine, rows):
     assert token_counts.count_tokens(none, PIECES).count() == 0
     assert substring_dedup.dedup_substrings(none).count() == 0
     assert line_dedup.dedup_lines(none).count() == 0
+
+
+def test_models_see_all_trusted_documents(engine):
+    """The only document with a word is found wherever the order of hashes puts it; nothing limits how many are read."""
+    n = 20_500
+    labels = engine.range(n).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.training_sample(labels).count() == n
+    last = labels.orderBy(F.xxhash64("doc_id").desc(), F.col("doc_id").desc()).first()[0]
+    text = F.when(F.col("doc_id") == last, F.lit("qqqq")).otherwise(F.lit("a"))
+    docs = labels.select("doc_id", text.alias("text"), F.lit("en").alias("lang"))
+    assert quality.fit(docs, labels).where("gram = 'qqqq'").count() == 1
+
+
+def test_a_model_too_large_to_broadcast_scores_alike(engine, rows, monkeypatch):
+    docs = odd([*rows, *((1000 + k, f"{t} qqqqqq, zz-9") for k, (_, t) in enumerate(rows[9:13]))])
+    labels = engine.createDataFrame([(d, 1, 0) for d, _ in docs[:14] if d is not None], "doc_id long, quality int, toxic int")
+    names = ["doc_id", "lang", "n_tokens", "n_distinct", *quality.PERPLEXITIES, *quality.PERPLEXITIES.values(), "accepted"]
+    order = lambda found: sorted(map(tuple, found.select(*names).collect()), key=lambda r: str((r[0], r[1], r[2])))
+    frame_ = frame(engine, docs, EXTRA)
+    small = order(quality.classify(frame_, labels, without=["text"]))
+    monkeypatch.setattr(quality, "MODEL_CELLS", 0)
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", 0)
+    large = order(quality.classify(frame_, labels, without=["text"]))
+    assert [r[:4] + r[-1:] for r in small] == [r[:4] + r[-1:] for r in large]
+    assert np.allclose(np.array([r[4:-1] for r in small], float), np.array([r[4:-1] for r in large], float))
