@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from hostlake.llm.common import ascii_lower, let, stored, text_key
 
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: The same words before lower-casing.
-WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What is between the same words before lower-casing.
+SPLIT_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fingerprints or keys that may be broadcast: some tens of MB.
 BROADCAST_ROWS = 1_000_000
 
@@ -37,6 +37,16 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SPLIT), "")
 
 
+def word_count(text: Column) -> Column:
+    """Number of words(). Only the first and the last part of a split text can be empty; an empty text has one part."""
+
+    def parts(found: Column) -> Column:
+        first, last = (F.element_at(found, k) == "" for k in (1, -1))
+        return (F.size(found) - first.cast("int") - (last & (F.size(found) > 1)).cast("int")).cast("bigint")
+
+    return let(F.split(F.coalesce(text, F.lit("")), SPLIT_ANY_CASE), parts)
+
+
 def gram_hashes(tokens: Column, k: int) -> Column:
     """Hashes of all k-grams, in order; empty if there are fewer words."""
     return F.when(
@@ -173,7 +183,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, span: int = 10, item_id: st
     names = [c for c in docs.columns if c not in made]
     base = docs.select(
         *names,
-        F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD_ANY_CASE)).cast("bigint").alias("n_words"),
+        word_count(F.col(text)).alias("n_words"),
         text_key(F.col(text)).alias("_text_key"),
     )
     joined = base.join(results, base["_text_key"] == results["_key"], "left")

@@ -17,7 +17,7 @@ from hostlake.llm import byte_bpe, cross_polytope, decontamination, line_dedup,
 from hostlake.llm.components import connected_components
 from hostlake.llm.queries import BYTE_RANKS, PIECES
 
-from tests.llm.conftest import BLANK_WORD, EXTRA, LOWER, components, contamination, frame, lines, substrings
+from tests.llm.conftest import BLANK_WORD, EXTRA, ITEM_WORD, LOWER, components, contamination, frame, lines, substrings
 
 
 def got(df, *columns):
@@ -577,3 +577,10 @@ def test_a_model_too_large_to_broadcast_scores_alike(engine, rows, monkeypatch):
     large = order(quality.classify(frame_, labels, without=["text"]))
     assert [r[:4] + r[-1:] for r in small] == [r[:4] + r[-1:] for r in large]
     assert np.allclose(np.array([r[4:-1] for r in small], float), np.array([r[4:-1] for r in large], float))
+
+
+def test_words_are_counted_without_matching_each_of_them(engine, rows):
+    texts = [t for _, t in rows] + [" a", "a ", " a ", "A", "Z z", "[A`b]", "é", " é-日本 ", "\x7f", "a\x7fB", "😀 😀", "--", "0:9"]
+    found = engine.createDataFrame([(t,) for t in texts], "text string").select("text", decontamination.word_count(F.col("text")).alias("n")).collect()
+    assert len(found) == len(texts)
+    assert all(r["n"] == len(ITEM_WORD.findall((r["text"] or "").translate(LOWER))) for r in found)
