@@ -55,8 +55,3 @@ def hextets(hex_name: str, start: int) -> Column:
     """The eight groups of an IPv6 address, lower case and without leading zeros."""
     groups = ", ".join(f"substring({hex_name}, {2 * start + 4 * i + 1}, 4)" for i in range(8))
     return F.expr(f"transform(array({groups}), g -> lower(regexp_replace(g, '^0+(?=.)', '')))")
-
-
-def latin1(data: Column) -> Column:
-    """One character per byte, so that text functions count bytes."""
-    return F.decode(data, "ISO-8859-1")

@@ -1,7 +1,8 @@
 """DNS messages (RFC 1035 header and sections) out of a BINARY payload.
 
 A section is a fold over the announced number of entries: the state is the byte position and the
-entries read so far. Headers that announce more than the payload could hold are refused before
+entries read so far. The fixed bytes of an entry are read once, as one or two numbers whose bits are its fields; a
+message is one expression, as each further stage would copy the wide row. Headers that announce more than the payload could hold are refused before
 anything is read, so other protocols cost a 12-byte look only.
 
 Records are read with a two-byte name tag (a compression pointer), as the record layout here has
@@ -13,7 +14,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hostlake.functions.wire import hex_of, latin1, uint, uint_bits
 from hostlake.operators.stages import bind
 
 # Record type mnemonics by number (IANA registry).
@@ -49,79 +49,107 @@ def _mnemonic(number: str, names: dict[int, str], other: str) -> str:
     return f"coalesce(try_element_at(map({table}), cast({number} as int)), concat('{other}', {number}))"
 
 
-def _number(start: str, length: int) -> str:
-    """Big-endian integer of ``length`` bytes of ``_text`` at 0-based ``start``."""
-    parts = [
-        f"cast(ascii(substring(_text, {start} + {i + 1}, 1)) as bigint) * {256 ** (length - 1 - i)}" for i in range(length)
-    ]
-    return f"({' + '.join(parts)})"
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` standing for ``value``, which is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _bytes(start: str, length: str) -> str:
-    """ARRAY<SMALLINT> of ``length`` bytes of ``_text`` at 0-based ``start``."""
-    values = f"transform(split(substring(_text, {start} + 1, {length}), ''), c -> cast(ascii(c) as smallint))"
+def _number(data: str, start: str, length: int) -> str:
+    """Big-endian integer of ``length`` (at most 7) bytes of ``data`` at 0-based ``start``; NULL where there are none."""
+    return f"cast(conv(hex(substring({data}, {start} + 1, {length})), 16, 10) as bigint)"
+
+
+def _bits(number: str, low: int, width: int) -> str:
+    return f"(shiftright({number}, {low}) & {(1 << width) - 1})"
+
+
+def _bytes(data: str, start: str, length: str) -> str:
+    """ARRAY<SMALLINT> of ``length`` bytes of ``data`` at 0-based ``start``."""
+    text = f"decode(substring({data}, {start} + 1, {length}), 'ISO-8859-1')"
+    values = f"transform(split({text}, ''), c -> cast(ascii(c) as smallint))"
     return f"if({length} > 0, {values}, cast(array() as array<smallint>))"
 
 
-def dns_header(hex_name: str) -> Column:
-    fields = {
-        "id": uint(hex_name, 0, 2),
-        "is_response": uint_bits(hex_name, 2, 2, 15, 1),
-        "opcode": uint_bits(hex_name, 2, 2, 11, 4),
-        "is_authoriative": uint_bits(hex_name, 2, 2, 10, 1),
-        "is_truncated": uint_bits(hex_name, 2, 2, 9, 1),
-        "is_recursion_desirable": uint_bits(hex_name, 2, 2, 8, 1),
-        "is_recursion_available": uint_bits(hex_name, 2, 2, 7, 1),
-        "zero_reserved": uint_bits(hex_name, 2, 2, 6, 1),
-        "is_answer_authenticated": uint_bits(hex_name, 2, 2, 5, 1),
-        "is_non_authenticated_data": uint_bits(hex_name, 2, 2, 4, 1),
-        "rcode": uint_bits(hex_name, 2, 2, 0, 4),
-        "query_count": uint(hex_name, 4, 2),
-        "response_count": uint(hex_name, 6, 2),
-        "authority_rr_count": uint(hex_name, 8, 2),
-        "additional_rr_count": uint(hex_name, 10, 2),
-    }
-    return F.struct(*[value.alias(name) for name, value in fields.items()])
-
-
-def _fold(count: str, start: str, item_type: str, fits: str, item: str, size: str) -> Column:
-    """Read ``count`` entries of ``_text`` from byte ``start``: STRUCT(pos after them, items).
-
-    ``fits``, ``item`` and ``size`` are SQL over the state ``s`` (``s.pos`` is where an entry starts);
-    an entry that does not fit ends the section.
+# Fields of the header: which of its three 4-byte words holds them, their lowest bit and their width.
+_HEADER_FIELDS = {
+    "id": ("a", 16, 16),
+    "is_response": ("a", 15, 1),
+    "opcode": ("a", 11, 4),
+    "is_authoriative": ("a", 10, 1),
+    "is_truncated": ("a", 9, 1),
+    "is_recursion_desirable": ("a", 8, 1),
+    "is_recursion_available": ("a", 7, 1),
+    "zero_reserved": ("a", 6, 1),
+    "is_answer_authenticated": ("a", 5, 1),
+    "is_non_authenticated_data": ("a", 4, 1),
+    "rcode": ("a", 0, 4),
+    "query_count": ("b", 16, 16),
+    "response_count": ("b", 0, 16),
+    "authority_rr_count": ("c", 16, 16),
+    "additional_rr_count": ("c", 0, 16),
+}
+
+
+def _field(name: str) -> str:
+    word, low, width = _HEADER_FIELDS[name]
+    return f"cast({_bits(f'w.{word}', low, width)} as int)"
+
+
+def _header() -> str:
+    fields = ", ".join(f"'{name}', {_field(name)}" for name in _HEADER_FIELDS)
+    return f"named_struct({fields})"
+
+
+def _fold(count: str, start: str, item_type: str, entry: str, fits: str, item: str, size: str) -> str:
+    """Read ``count`` entries of a message from byte ``start``: STRUCT(pos after them, items).
+
+    ``entry`` is SQL over the state ``s`` (``s.pos`` is where an entry starts); ``fits``, ``item`` and ``size`` know it
+    as ``e``. An entry that does not fit ends the section.
     """
     rounds = f"if({count} > 0, sequence(1, cast({count} as int)), cast(array() as array<int>))"
     initial = f"named_struct('pos', cast({start} as int), 'items', cast(array() as {item_type}))"
     after = f"named_struct('pos', cast(s.pos + {size} as int), 'items', concat(s.items, array({item})))"
-    folded = f"aggregate({rounds}, {initial}, (s, i) -> if({fits}, {after}, s))"
-    return F.expr(f"if(_text is not null, {folded}, null)")
+    return f"aggregate({rounds}, {initial}, (s, i) -> {_let(entry, 'e', f'if({fits}, {after}, s)')})"
 
 
-def _questions() -> Column:
-    zero = "position('\\u0000', _text, s.pos + 1)"  # 1-based place of the closing byte, 0 if none
+def _questions(data: str) -> str:
+    # Where the name's closing byte is (1-based, 0 if nowhere), and the four bytes behind it.
+    closing = f"position('\\u0000', decode({data}, 'ISO-8859-1'), s.pos + 1)"
+    entry = _let(closing, "z", f"named_struct('zero', z, 'tail', {_number(data, 'z', 4)})")
     item = (
-        f"named_struct('qname', {_bytes('s.pos', f'({zero} - s.pos)')},"
-        f" 'qtype', {_mnemonic(_number(zero, 2), TYPE_NAMES, 'TYPE')},"
-        f" 'qclass', {_mnemonic(_number(f'({zero} + 2)', 2), CLASS_NAMES, 'CLASS')})"
+        f"named_struct('qname', {_bytes(data, 's.pos', '(e.zero - s.pos)')},"
+        f" 'qtype', {_mnemonic(_bits('e.tail', 16, 16), TYPE_NAMES, 'TYPE')},"
+        f" 'qclass', {_mnemonic(_bits('e.tail', 0, 16), CLASS_NAMES, 'CLASS')})"
     )
-    fits = f"{zero} > 0 and {zero} + 4 <= length(_text)"
-    return _fold("_head.query_count", str(HEADER), _QUESTIONS, fits, item, f"({zero} + 4 - s.pos)")
+    fits = f"e.zero > 0 and e.zero + 4 <= octet_length({data})"
+    return _fold(_field("query_count"), str(HEADER), _QUESTIONS, entry, fits, item, "(e.zero + 4 - s.pos)")
 
 
-def _records(count: str, start: str, origin: int) -> Column:
-    rdlength = _number("s.pos + 10", 2)
+def _records(data: str, count: str, start: str, origin: int) -> str:
+    # Name tag, type and class in one number; time to live and length in another.
+    entry = f"named_struct('a', {_number(data, 's.pos', 6)}, 'b', {_number(data, 's.pos + 6', 6)})"
+    rdlength = _bits("e.b", 0, 16)
     item = (
-        f"named_struct('origin', {origin}, 'name_tag', cast({_number('s.pos', 2)} as int),"
-        f" 'rtype', {_mnemonic(_number('s.pos + 2', 2), TYPE_NAMES, 'TYPE')},"
-        f" 'rclass', {_mnemonic(_number('s.pos + 4', 2), CLASS_NAMES, 'CLASS')},"
-        f" 'ttl', {_number('s.pos + 6', 4)}, 'rdlength', cast({rdlength} as int),"
-        f" 'rdata', {_bytes('s.pos + 12', f'cast({rdlength} as int)')})"
+        f"named_struct('origin', {origin}, 'name_tag', cast({_bits('e.a', 32, 16)} as int),"
+        f" 'rtype', {_mnemonic(_bits('e.a', 16, 16), TYPE_NAMES, 'TYPE')},"
+        f" 'rclass', {_mnemonic(_bits('e.a', 0, 16), CLASS_NAMES, 'CLASS')},"
+        f" 'ttl', {_bits('e.b', 16, 32)}, 'rdlength', cast({rdlength} as int),"
+        f" 'rdata', {_bytes(data, 's.pos + 12', f'cast({rdlength} as int)')})"
     )
-    room = "(length(_text) - s.pos)"
+    room = f"(octet_length({data}) - s.pos)"
     fits = f"if({room} >= {MIN_RECORD}, {room} >= {rdlength} + {MIN_RECORD}, false)"
     # No more records than fit can be read, whatever the header announces.
-    possible = f"least({count}, cast(floor((length(_text) - {start}) / {MIN_RECORD}) as int))"
-    return _fold(possible, start, _RECORDS, fits, item, f"({rdlength} + {MIN_RECORD})")
+    possible = f"least({count}, cast(floor((octet_length({data}) - {start}) / {MIN_RECORD}) as int))"
+    return _fold(possible, start, _RECORDS, entry, fits, item, f"({rdlength} + {MIN_RECORD})")
+
+
+def _message(data: str) -> str:
+    """STRUCT(header, questions, records) of a message whose header words are ``w``, from the inside out."""
+    whole = f"named_struct('header', {_header()}, 'questions', q.items, 'records', concat(an.items, ar.items, ns.items))"
+    rest = _let(_records(data, _field("additional_rr_count"), "ns.pos", 1), "ar", whole)
+    more = _let(_records(data, _field("authority_rr_count"), "an.pos", 2), "ns", rest)
+    answered = _let(_records(data, _field("response_count"), "q.pos", 0), "an", f"if(size(an.items) = {_field('response_count')}, {more}, null)")
+    return _let(_questions(data), "q", f"if(size(q.items) = {_field('query_count')}, {answered}, null)")
 
 
 def with_dns(df: DataFrame, payload: str) -> DataFrame:
@@ -131,26 +159,8 @@ def with_dns(df: DataFrame, payload: str) -> DataFrame:
     and answers are there. Authority and additional records that do not fit are left out. Records
     come in the order answers (origin 0), additional (1), authority (2).
     """
-    kept = list(df.columns)
-    data = F.col(payload)
-    questions, answers = uint("_h", 4, 2), uint("_h", 6, 2)
-    room = F.octet_length(data)
-    plausible = (
-        (room >= HEADER)
-        & ((questions > 0) | (answers > 0))
-        & (questions * MIN_QUESTION + answers * MIN_RECORD + HEADER <= room)
-    )
-    staged = bind(df, {"_h": hex_of(data, HEADER)})
-    staged = bind(staged, {"_text": F.when(plausible, latin1(data)), "_head": F.when(plausible, dns_header("_h"))})
-    staged = bind(staged, {"_q": _questions()})
-    staged = bind(staged, {"_text": F.expr("if(size(_q.items) = _head.query_count, _text, null)")})
-    staged = bind(staged, {"_an": _records("_head.response_count", "_q.pos", 0)})
-    staged = bind(staged, {"_text": F.expr("if(size(_an.items) = _head.response_count, _text, null)")})
-    staged = bind(staged, {"_ns": _records("_head.authority_rr_count", "_an.pos", 2)})
-    staged = bind(staged, {"_ar": _records("_head.additional_rr_count", "_ns.pos", 1)})
-    dns = F.struct(
-        F.col("_head").alias("header"),
-        F.col("_q.items").alias("questions"),
-        F.concat("_an.items", "_ar.items", "_ns.items").alias("records"),
-    )
-    return bind(staged, {"dns": F.when(F.col("_text").isNotNull(), dns)}).select(*kept, "dns")
+    questions, answers = _field("query_count"), _field("response_count")
+    plausible = f"({questions} > 0 or {answers} > 0) and {questions} * {MIN_QUESTION} + {answers} * {MIN_RECORD} + {HEADER} <= octet_length({payload})"
+    words = f"named_struct('a', {_number(payload, '0', 4)}, 'b', {_number(payload, '4', 4)}, 'c', {_number(payload, '8', 4)})"
+    read = _let(words, "w", f"if({plausible}, {_message(payload)}, null)")
+    return bind(df, {"dns": F.expr(f"if(octet_length({payload}) >= {HEADER}, {read}, null)")}).select(*[c for c in df.columns if c != "dns"], "dns")

@@ -190,8 +190,11 @@ def with_application(packets: DataFrame, tcp_length_prefix: bool = False) -> Dat
     payload is taken as it is.
     """
     message, over_tcp = F.col("_message"), F.col("tcp").isNotNull()
-    dns_message = F.when(over_tcp, rest(message, 2)).otherwise(message) if tcp_length_prefix else message
-    decoded = with_dns(bind(packets, {"_dns_message": dns_message}), "_dns_message")
+    if tcp_length_prefix:
+        unprefixed = F.when(over_tcp, rest(message, 2)).otherwise(message)
+        decoded = with_dns(bind(packets, {"_dns_message": unprefixed}), "_dns_message").drop("_dns_message")
+    else:
+        decoded = with_dns(packets, "_message")
     decoded = bind(
         decoded,
         {
@@ -200,7 +203,7 @@ def with_application(packets: DataFrame, tcp_length_prefix: bool = False) -> Dat
         },
     )
     free = over_tcp & F.col("dns").isNull() & F.col("http").isNull()
-    return bind(decoded, {"tls": F.when(free, tls_record("_record"))}).drop("_message", "_dns_message", "_record")
+    return bind(decoded, {"tls": F.when(free, tls_record("_record"))}).drop("_message", "_record")
 
 
 def decode_packets(frames: DataFrame, tcp_length_prefix: bool = False, depth: str = "application") -> DataFrame:

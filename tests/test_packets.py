@@ -154,6 +154,13 @@ def test_dns_refusals_and_odd_records(spark):
     assert [(r.origin, r.rtype, r.rclass, list(r.rdata)) for r in got[3].records] == [(1, "TYPE65000", "CLASS9", [7])]
 
 
+def test_dns_is_decoded_in_one_stage(spark):
+    """Each stage copies the wide row; one message is one expression."""
+    frame = spark.createDataFrame([(0, bytearray(DNS))], "i int, p binary")
+    plan = with_dns(frame, "p")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate ") == 1
+
+
 def test_dns_length_prefix_option(spark):
     rows = [("p", "e", datetime(2024, 1, 1), bytearray(ipv4(6, tcp(struct.pack(">H", len(DNS)) + DNS))))]
     frames = spark.createDataFrame(rows, "packet_id string, interface string, created_at timestamp_ntz, frame binary")
