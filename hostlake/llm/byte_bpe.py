@@ -37,7 +37,8 @@ from hostlake.llm.common import arrow_append, worker_state
 SPACE = "\t-\r \x85\xa0  -     　"
 NO_TOKEN = -1
 MAX_ARCS = 1 << 18
-MAX_PIECES = 3 << 16
+#: Chunks remembered in each of two generations; what falls out of both is encoded again.
+MAX_PIECES = 3 << 17
 #: Bytes before the end of a piece from which on its tokens may wait for the end.
 SOON = 64
 #: Texts above this many characters are cut into pieces one by one instead of in a list.

@@ -66,6 +66,16 @@ def test_winnowing_keeps_a_print_of_every_span(engine):
     assert found.where("contaminated").count() == 200
 
 
+def test_words_that_come_again_are_not_encoded_again():
+    """Three hundred thousand different words stay within reach."""
+    encoder, asked = byte_bpe.Encoder({bytes([b]): b for b in range(256)}, public_tokenizers.PATTERN), []
+    encoder.transducer.encode = lambda piece: asked.append(piece) or (0,)
+    words = ["".join(chr(97 + n // 26**k % 26) for k in range(5)) for n in range(300_000)]
+    for _ in range(2):
+        encoder.encode(" ".join(words))
+    assert len(asked) == len(set(asked))
+
+
 def test_byte_bpe(engine, rows):
     ranks = byte_bpe.read_ranks(BYTE_RANKS)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
