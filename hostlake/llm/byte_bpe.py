@@ -6,7 +6,8 @@ pair), so a nondeterministic transducer may guess where tokens start and refuse
 construction has, for every place where a token could still be open, the trie node reached, the token
 before that place and the output not yet agreed upon. What all open places agree on is emitted at once; as
 no token is longer than the longest one of the vocabulary, the delay is bounded. States and arcs are made
-when a text first needs them, and the table is emptied when it reaches a bound, which changes no result.
+when texts need them, up to a bound; a full table stays, as the first arcs are the most frequent ones, and is emptied
+when it has failed for long. Neither changes a result.
 
 Decoding looks tokens up and feeds their bytes to an incremental UTF-8 state machine, which carries a
 character that is cut between tokens over to the next one.
@@ -21,8 +22,9 @@ from __future__ import annotations
 import base64
 import codecs
 import re
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
-from itertools import chain, islice
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -36,7 +38,9 @@ from hostlake.llm.common import arrow_append, worker_state
 #: White space of Unicode, as the splitting pattern understands it.
 SPACE = "\t-\r \x85\xa0  -     　"
 NO_TOKEN = -1
-MAX_ARCS = 1 << 18
+MAX_ARCS = 1 << 16
+#: A full table of arcs is made anew when it has not served for so many times its size.
+STALE = 64
 #: Chunks remembered in each of two generations; what falls out of both is encoded again.
 MAX_PIECES = 3 << 17
 #: Bytes before the end of a piece from which on its tokens may wait for the end.
@@ -80,7 +84,7 @@ class Transducer:
                     self.token.append(NO_TOKEN)
                 node = below
             self.token[node] = rank
-        self.stable: dict[tuple[int, int], bool] = {}
+        self.stable: dict[int, bool] = {}
         self.edges: tuple[dict[int, list[int]], dict[int, list[int]]] = ({}, {})
         self.reset()
 
@@ -89,7 +93,7 @@ class Transducer:
         self.states = [start]
         self.number = {start: 0}
         self.arcs: list[dict[int, tuple]] = [{}]
-        self.made = 0
+        self.made = self.missed = 0
         self.asked: set[int] = set()
 
     def inner(self, token: int) -> tuple[int, int] | None:
@@ -147,11 +151,11 @@ class Transducer:
             if closed is None:
                 token = tokens[below]
                 if token != NO_TOKEN:
-                    stable = known.get((last, token))
+                    stable = known.get(last << 32 | token)
                     if stable is None:
                         if len(known) >= self.max_arcs:
                             known.clear()
-                        stable = known[last, token] = self.pair_is_stable(last, token)
+                        stable = known[last << 32 | token] = self.pair_is_stable(last, token)
                     if stable:
                         closed = (0, token, (*pending, token))
             if child[below]:  # longer tokens go through this node
@@ -194,11 +198,11 @@ class Transducer:
                 if closed is None:
                     token = tokens[below]
                     if token != NO_TOKEN:
-                        stable = known.get((last, token))
+                        stable = known.get(last << 32 | token)
                         if stable is None:
                             if len(known) >= self.max_arcs:
                                 known.clear()
-                            stable = known[last, token] = self.pair_is_stable(last, token)
+                            stable = known[last << 32 | token] = self.pair_is_stable(last, token)
                         if stable:
                             closed = (0, token, (trail, token))
                 if child[below]:
@@ -219,7 +223,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return (whole,)
-        if self.made >= self.max_arcs:
+        if self.missed >= STALE * self.max_arcs:
             self.reset()
         if len(self.asked) >= self.max_arcs:
             self.asked.clear()
@@ -227,9 +231,12 @@ class Transducer:
         for at, byte in enumerate(piece):
             step = arcs.get(byte)
             if step is None:
-                key = state << 8 | byte
-                if key not in self.asked:
-                    self.asked.add(key)
+                key, full = state << 8 | byte, self.made >= self.max_arcs
+                if full or key not in self.asked:
+                    if full:
+                        self.missed += 1
+                    else:
+                        self.asked.add(key)
                     places = self.states[state]
                     if len(piece) - at <= SOON:
                         return (*out, *self.finish(places, piece[at:]))
@@ -247,17 +254,18 @@ class Transducer:
 
 class Encoder(dict):
     """Tokens by chunk: white space and the word after it. The splitting pattern never crosses from a
-    word into white space, so chunks can be encoded, and remembered, each for itself."""
+    word into white space, so chunks can be encoded, and remembered, each for itself. Remembered are the bytes of
+    the ids, which take less memory than tuples and are joined without a step for each id."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, max_arcs: int = MAX_ARCS):
         super().__init__()
-        self.before: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, bytes] = {}
         self.stops = {".", ","} if pattern == public_tokenizers.PATTERN else set()
         self.transducer = Transducer(ranks, max_arcs)
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.chunks = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+")
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
+    def __missing__(self, chunk: str) -> bytes:
         ids = self.before.get(chunk)
         if ids is None:
             # Most chunks are a word, with or without a stop: the pattern need not be asked.
@@ -269,17 +277,15 @@ class Encoder(dict):
             else:
                 pieces = self.pieces.findall(chunk)
             if len(pieces) == 1:
-                ids = self.transducer.encode(chunk.encode())
+                ids = self.merged(chunk)
             else:
-                ids = ()
-                for piece in pieces:
-                    own = self.get(piece) or self.before.get(piece)
-                    if own is None:
-                        own = self.keep(piece, self.transducer.encode(piece.encode()))
-                    ids += own
+                ids = b"".join([self.get(piece) or self.before.get(piece) or self.keep(piece, self.merged(piece)) for piece in pieces])
         return self.keep(chunk, ids)
 
-    def keep(self, chunk: str, ids: tuple[int, ...]) -> tuple[int, ...]:
+    def merged(self, piece: str) -> bytes:
+        return array("i", self.transducer.encode(piece.encode())).tobytes()
+
+    def keep(self, chunk: str, ids: bytes) -> bytes:
         if len(chunk) < 64:
             if len(self) >= MAX_PIECES:
                 # What was in use since the last time stays within reach; the rest goes.
@@ -292,7 +298,7 @@ class Encoder(dict):
         chunks: Iterable[str] = (
             self.chunks.findall(text) if len(text) <= LONG_TEXT else (m.group() for m in self.chunks.finditer(text))
         )
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, chunks)), np.int32)
+        return np.frombuffer(b"".join(map(self.__getitem__, chunks)), np.int32)
 
 
 class StreamDecoder:

@@ -76,6 +76,21 @@ def test_words_that_come_again_are_not_encoded_again():
     assert len(asked) == len(set(asked))
 
 
+def test_a_full_table_of_arcs_stays_for_long():
+    """Words beyond it are followed without arcs; it is made anew when it has failed often enough."""
+    encoder = byte_bpe.Encoder(byte_bpe.read_ranks(BYTE_RANKS), public_tokenizers.PATTERN, 64)
+    transducer, words = encoder.transducer, ["".join(chr(97 + n * 7 // 26**k % 26) for k in range(5)) for n in range(4_000)]
+    for word in words[:100]:
+        for _ in range(6):
+            transducer.encode(word.encode())
+    first = transducer.arcs
+    transducer.encode(words[-1].encode())
+    assert transducer.arcs is first and 64 <= transducer.made < 80
+    for word in words[100:] * 3:
+        transducer.encode(word.encode())
+    assert transducer.arcs is not first and transducer.made < 80
+
+
 def test_byte_bpe(engine, rows):
     ranks = byte_bpe.read_ranks(BYTE_RANKS)
     known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
