@@ -89,24 +89,34 @@ def _lookup(rows: DataFrame, column: str, lookup: DataFrame, key: str) -> DataFr
     return keyed.join(lookup, key, "left").drop(key)
 
 
-def resolve_sockets(endpoints: DataFrame, hosts: DataFrame, services: DataFrame) -> DataFrame:
-    """Endpoint texts to addresses and ports, by host and service names regardless of case."""
+def _resolved_hosts(endpoints: DataFrame, hosts: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Endpoints with their host names looked up, and the source and destination addresses made of them."""
     looked_up = _lookup(endpoints, "ip_source_address", _host_lookup(hosts, "_k1", "_source_host"), "_k1")
     looked_up = _lookup(looked_up, "ip_destination_address", _host_lookup(hosts, "_k2", "_destination_host"), "_k2")
+    source = F.coalesce("_source_host", "ip_source_address")
+    return (
+        looked_up,
+        inet(F.when(F.col("ip_source_address") != "*", F.translate(source, "-", ":"))).alias("source_address"),
+        F.when(
+            ~F.col("ip_destination_address").isin("*", ""), F.coalesce("_destination_host", "ip_destination_address")
+        ).alias("destination_address"),
+    )
+
+
+def resolve_sockets(endpoints: DataFrame, hosts: DataFrame, services: DataFrame) -> DataFrame:
+    """Endpoint texts to addresses and ports, by host and service names regardless of case."""
+    looked_up, source_address, destination_address = _resolved_hosts(endpoints, hosts)
     looked_up = _lookup(looked_up, "ip_source_port", _port_lookup(services, "_k3", "_source_service"), "_k3")
     looked_up = _lookup(looked_up, "ip_destination_port", _port_lookup(services, "_k4", "_destination_service"), "_k4")
     nothing = ["*", ""]
-    source = F.coalesce("_source_host", "ip_source_address")
     return looked_up.select(
         *[c for c in endpoints.columns if not c.startswith("ip_")],
-        inet(F.when(F.col("ip_source_address") != "*", F.translate(source, "-", ":"))).alias("source_address"),
+        source_address,
         F.when(
             ~F.col("ip_source_port").isin(nothing),
             F.coalesce("_source_service", port_number(F.col("ip_source_port"))),
         ).alias("source_port"),
-        F.when(
-            ~F.col("ip_destination_address").isin(nothing), F.coalesce("_destination_host", "ip_destination_address")
-        ).alias("destination_address"),
+        destination_address,
         F.when(
             ~F.col("ip_destination_port").isin(nothing),
             F.coalesce("_destination_service", port_number(F.col("ip_destination_port"))),
@@ -140,6 +150,14 @@ def gold_dim_network_socket(
     )
 
 
+def socket_addresses(open_files: DataFrame, hosts: DataFrame) -> DataFrame:
+    """The pairs of addresses in the socket dimension. Neither processes nor ports nor first sights play a part, so
+    rows are reduced to the different address texts before anything is looked up."""
+    texts = open_files.where(is_network_file(F.col("type"))).select("ip_source_address", "ip_destination_address").distinct()
+    looked_up, *addresses = _resolved_hosts(texts, hosts)
+    return looked_up.select(*addresses).distinct()
+
+
 def gold_dim_network_open_port(
     open_files: DataFrame, services: DataFrame, as_of: AsOf, dedupe_on: str = "service_port"
 ) -> DataFrame:
@@ -199,7 +217,11 @@ def gold_dim_network_foreign_ip(
 def gold_dim_network_host(
     dim_socket: DataFrame, dim_foreign_ip: DataFrame, fact_ip: DataFrame, dim_interface: DataFrame, as_of: AsOf
 ) -> DataFrame:
-    """Every address met anywhere. With and without prefix length are two addresses of one host."""
+    """Every address met anywhere. With and without prefix length are two addresses of one host.
+
+    Of sockets and of packets only the addresses are read: where the tables are not stored, ``socket_addresses`` and
+    ``packet_addresses`` make them from less.
+    """
     both_sides = F.explode(F.array("source_address", "destination_address")).alias("address")
     addresses = [
         dim_socket.where(F.col("source_address").isNotNull()).select(F.col("source_address").alias("address")),
@@ -254,6 +276,12 @@ def gold_fact_network_ip(transport: DataFrame, ip: DataFrame, packets: DataFrame
     )
 
 
+def packet_addresses(transport: DataFrame, ip: DataFrame, packets: DataFrame) -> DataFrame:
+    """The pairs of addresses in the fact of IP packets: of packets that have a transport layer, whichever it is."""
+    known = ip.join(transport.select("_id"), "_id", "left_semi").join(packets.select("_id"), "_id", "left_semi")
+    return known.select(F.col("source").alias("source_address"), F.col("destination").alias("destination_address")).distinct()
+
+
 def local_packets(fact_ip: DataFrame, dim_interface: DataFrame) -> DataFrame:
     """Both ends of each packet that lie on an own interface: (packet_id, created_at, port, send)."""
 

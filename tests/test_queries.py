@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from hostlake.plans import gold
 from workload.fixtures import BASE_TABLES
 from workload.oracles import oracle_texts
 from workload.queries import QUERIES, Layers
@@ -65,3 +66,16 @@ def test_presence_join_reads_ids_only(spark, sf_dir, tmp_path):
     appended = new_rows(stored, layers.ip(), ["_id"], unique=True)
     scans = [line for line in appended._jdf.queryExecution().executedPlan().toString().split("\n") if "FileScan" in line and "/ip]" in line]
     assert scans and all("ReadSchema: struct<_id:bigint>" in line for line in scans)
+
+
+def test_host_dimension_looks_up_no_ports(spark, sf_dir):
+    """Addresses need neither services nor processes; they are those of the whole socket dimension and fact."""
+    layers = Layers(spark, sf_dir)
+    rows = QUERIES["gold_dim_network_host"](spark, sf_dir)
+    assert "part.parquet" not in " ".join(rows.inputFiles())
+    pair = ["source_address", "destination_address"]
+    for less, full in (
+        (gold.socket_addresses(layers.files(), layers.hosts()), layers.dim_socket()),
+        (gold.packet_addresses(layers.transport(), layers.ip(), layers.packets()), layers.fact_ip()),
+    ):
+        assert {tuple(r) for r in less.collect()} == {tuple(r) for r in full.select(*pair).distinct().collect()}

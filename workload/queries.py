@@ -515,9 +515,9 @@ def gold_dim_network_foreign_ip(spark, d):
 @query
 def gold_dim_network_host(spark, d):
     layers = Layers(spark, d)
-    rows = gold.gold_dim_network_host(
-        layers.dim_socket(), layers.foreign_ip(), layers.fact_ip(), layers.dim_interface(), AS_OF
-    )
+    sockets = gold.socket_addresses(layers.files(), layers.hosts())
+    packets_ = gold.packet_addresses(layers.transport(), layers.ip(), layers.packets())
+    rows = gold.gold_dim_network_host(sockets, layers.foreign_ip(), packets_, layers.dim_interface(), AS_OF)
     return rows.drop("_id")
 
 
