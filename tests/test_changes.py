@@ -7,6 +7,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from hostlake.operators import interval_join
 from hostlake.operators.packets import decode_packets
 from hostlake.plans import changes, frames, gold, silver
 from hostlake.schemas import TABLES, conform
@@ -121,3 +122,38 @@ def test_dns_from_decoded_rows_equals_the_joined_table(spark, sf_dir):
     assert one.count() == two.count() > 0
     assert one.exceptAll(two).count() == 0
     assert decoded.select("_id").distinct().count() == decoded.count()
+
+
+def test_attributions_known_are_not_compared_with_the_new_ones(spark, sf_dir, tmp_path, monkeypatch):
+    """The third day's attributions are new by their making, and a packet that comes again still gets none twice."""
+    lake, name = days_lake(spark, sf_dir, "compared", days=2), "gold_fact_process_network"
+    compared, real = [], changes.without_keys
+    monkeypatch.setattr(changes, "without_keys", lambda df, other, keys: compared.append(list(keys)) or real(df, other, keys))
+    load_day(lake, spark, sf_dir, 2, three_days(spark, sf_dir))
+    changes.refresh(lake, REFRESHES[2])
+    key = list(TABLES[name].key)
+    assert key not in compared
+    rows = lake.read(name)
+    assert rows.count() == rows.select(*key).distinct().count()
+    packet = rows.limit(1).collect()[0].packet_id
+    later = F.lit("2024-01-06 00:00:00").cast("timestamp_ntz")
+    for silver_name in ("silver_network_packet", "silver_network_ip", "silver_network_transport"):
+        old = lake.read(silver_name).where(F.col("_id" if "_id" in lake.read(silver_name).columns else "packet_id") == packet)
+        again = spark.createDataFrame(old.collect(), old.schema).withColumn("inserted_at", later)
+        lake.add(silver_name, again, datetime(2024, 1, 6).date())
+    before = rows.count()
+    changes.refresh_gold(lake, "2024-01-06 00:00:10")
+    assert key in compared
+    after = lake.read(name)
+    assert after.count() == after.select(*key).distinct().count() == before
+
+
+def test_times_that_others_do_not_hold(spark):
+    schema = "pid bigint, port int, started_at timestamp_ntz, inserted_at timestamp_ntz"
+    second = lambda n, micros=0: datetime(2024, 1, 1, 0, 0, n, micros)
+    own = [(1, 5, second(0), second(10)), (1, 5, second(8), second(20)), (2, 5, second(1), second(2)), (None, 5, second(3), second(3)), (4, 5, second(9), second(1))]
+    others = [(1, 5, second(4), second(9)), (1, 5, second(9), second(12)), (2, 6, second(0), second(9)), (2, 5, second(0), second(5))]
+    found = interval_join.uncovered(spark.createDataFrame(own, schema), spark.createDataFrame(others, schema), ["pid", "port"], "started_at", "inserted_at")
+    assert {tuple(r) for r in found.collect()} == {
+        (1, 5, second(0), second(3, 999_999)), (1, 5, second(12, 1), second(20)), (None, 5, second(3), second(3)),
+    }
